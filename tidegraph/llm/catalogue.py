@@ -82,5 +82,44 @@ WITH lines AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op8_neardup": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WHITE}+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) AS i FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b, k = x.n AND k = y.n AS equal FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a
+), parts AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1
+), classes AS (SELECT a AS doc_id, min(b) AS least_equal FROM links WHERE equal GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept, least(d.doc_id, coalesce(least_equal, d.doc_id)) AS class_id
+FROM documents d JOIN parts USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN classes USING (doc_id)
+""",
+    "op9_quality": f"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_WHITE}+'), lambda x: x <> '') AS ws FROM documents
+), words AS (SELECT doc_id, unnest(ws) AS a, unnest(range(1, len(ws) + 1)) AS i FROM w
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
+  FROM (SELECT doc_id, i, a, lead(a) OVER p AS b, lead(a, 2) OVER p AS c FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)) WHERE c IS NOT NULL
+), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM windows WHERE n > 1) GROUP BY 1
+), lines AS (
+  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1
+), m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(lines.dup, 0)::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0)::BIGINT AS n_word_lines
+  FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)
+), f AS (
+  SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT
+    + 8 * (4 * n_symbols > n_words)::INT + 16 * (2 * n_dup_lines > n_word_lines)::INT)::INT AS failed FROM m
+)
+SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f
 """,
 }
