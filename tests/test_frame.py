@@ -40,7 +40,7 @@ def test_events_are_sorted_by_time_kind_and_input(spark):
 
 def test_range_ranking_equals_a_global_sort(spark):
     rows = spark.range(500).selectExpr("(id * 37) % 501 AS a", "id % 3 AS b")
-    got = global_rank(rows, ["b", "a"], "place", small=None).collect()
+    got = global_rank(rows, ["b", "a"], "place", small=0).collect()
     expected = sorted((r["b"], r["a"]) for r in got)
     assert [(r["b"], r["a"]) for r in sorted(got, key=lambda r: r["place"])] == expected and sorted(r["place"] for r in got) == list(range(500))
 

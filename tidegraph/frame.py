@@ -44,6 +44,7 @@ class EventLog:
     nodes: DataFrame | None = None
     split: object | None = None
     bounds: tuple[int | None, int | None] = (None, None)  # times that were asked for, end exclusive
+    dense: bool = True  # whether event_idx counts the events from 0 without gaps: not so in a view
 
     @classmethod
     def of(
@@ -55,7 +56,7 @@ class EventLog:
         delta: TimeDelta | str = "r",
         order: dict[int, list[str]] | None = None,
         validate: bool = True,
-        small: int | None = SMALL,
+        small: int = SMALL,
     ) -> EventLog:
         """Join events of three kinds to one log.
 
@@ -106,7 +107,7 @@ class EventLog:
     # -- views ---------------------------------------------------------------------------------
 
     def where(self, test: Column | str) -> EventLog:
-        return replace(self, events=self.events.where(test))
+        return replace(self, events=self.events.where(test), dense=False)
 
     def slice_time(self, start: int | None, end: int | None) -> EventLog:
         """Events with start <= t < end; a slice of a slice is their intersection."""

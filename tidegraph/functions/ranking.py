@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from ..workspace import keep
 
-#: Below this many rows one task sorts them all: a job less, and the same numbers.
-SMALL = 2_000_000
+#: Below this many bytes of input one task sorts all rows: fewer jobs, and the same numbers.
+SMALL = 64 << 20
 
 
-def global_rank(rows: DataFrame, order: list[str | Column], name: str, small: int | None = SMALL) -> DataFrame:
+def input_bytes(rows: DataFrame) -> int:
+    """What the leaves of a plan are estimated to read; no job runs."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def global_rank(rows: DataFrame, order: list[str | Column], name: str, small: int = SMALL) -> DataFrame:
     """``rows`` with ``name`` (long, from 0): the place of each row in ``order``, which should be total.
 
     Rows are range-partitioned on the order and written; each range is numbered by itself, and the counts of
-    the ranges - one figure a partition - give where each begins.
+    the ranges - one figure a partition - give where each begins.  Inputs of at most ``small`` bytes are sorted by
+    one task instead.
     """
-    if small and rows.count() <= small:
+    if input_bytes(rows) <= small:
         return rows.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EmptyBatchError, EventOrderedConversionError, InvalidDiscretizationError
@@ -58,8 +58,8 @@ def batched(log: EventLog, size: int = 1, unit: str = "r", on_empty: str | None
     if on_empty not in ("skip", "raise", None):
         raise ValueError(f"on_empty must be skip, raise or None, not {on_empty!r}")
     if unit == "r":
-        rows = global_rank(log.events.withColumnRenamed("event_idx", "__old"), ["__old"], "event_idx").drop("__old")
-        start, stop, width, place = 0, log.facts["num_events"], size, F.col("event_idx")
+        rows = log.events if log.dense else global_rank(log.events.withColumnRenamed("event_idx", "__old"), ["__old"], "event_idx").drop("__old")
+        start, stop, width, place = 0, log.events.count(), size, F.col("event_idx")
     else:
         wanted = TimeDelta(unit, size)
         if log.delta.is_event_ordered:
@@ -67,8 +67,7 @@ def batched(log: EventLog, size: int = 1, unit: str = "r", on_empty: str | None
         if log.delta.is_coarser_than(wanted):
             raise InvalidDiscretizationError(f"batches of {wanted} are finer than the data's {log.delta}")
         rows, width, place = log.events, int(wanted.convert(log.delta)), F.col("t")
-        start, stop = log.facts["start_time"], None if log.facts["end_time"] is None else log.facts["end_time"] + 1
-        start, stop = (0, 0) if start is None or stop is None else (start, stop)
+        start, stop = _span(log)
     span = stop - start
     count = -(-span // width)
     if drop_last:
@@ -77,6 +76,17 @@ def batched(log: EventLog, size: int = 1, unit: str = "r", on_empty: str | None
     return Batches(events, count, on_empty)
 
 
+def _span(log: EventLog) -> tuple[int, int]:
+    """First time and one past the last: the bounds asked for, else observed; nothing where there is no event."""
+    start, stop = log.bounds
+    if start is None or stop is None:
+        first, last = log.events.agg(F.min("t"), F.max("t")).first()
+        if first is None:
+            return 0, 0
+        start, stop = first if start is None else start, last + 1 if stop is None else stop
+    return start, stop
+
+
 def batch_sizes(batches: Batches) -> DataFrame:
     """``batch_id, n_edges, n_node_x, n_node_y``; where empty batches count, a row of zeros for each."""
     kinds = (("n_edges", 0), ("n_node_x", 1), ("n_node_y", 2))
@@ -84,7 +94,3 @@ def batch_sizes(batches: Batches) -> DataFrame:
     if batches.on_empty is None:
         sums = batches.spine().join(sums, "batch_id", "left").fillna(0)
     return sums
-
-
-def empty_frame(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

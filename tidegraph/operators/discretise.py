@@ -39,7 +39,7 @@ def discretise(log: EventLog, delta: TimeDelta | str | None, reduce_op: str = "f
     bucketed = log.events.withColumn("t", t)
     kept = first_events(bucketed, reduce_op == "last") if reduce_op in ("first", "last") else _combined(bucketed, reduce_op)
     ranked = global_rank(kept.withColumnRenamed("event_idx", "__old"), ["t", "kind", "__old"], "event_idx").select(*COLUMNS)
-    return replace(log, events=ranked, delta=delta, bounds=(None, None))
+    return replace(log, events=ranked, delta=delta, bounds=(None, None), dense=True)
 
 
 def first_events(bucketed: DataFrame, last: bool = False) -> DataFrame:
