@@ -116,14 +116,16 @@ def discretize_week_first(spark, sf_dir):
 SELECT floor(t::DOUBLE * (1.0 / 2592000))::BIGINT AS t, kind::INT AS kind, src, dst, nid, round(arg_min(v, event_idx)::DOUBLE, 6) AS first_value
 FROM log GROUP BY 1, 2, 3, 4, 5"""))
 def discretize_month_floatbucket(spark, sf_dir):
-    value = F.coalesce(F.col("edge_x")[0], F.col("x")[0], F.get("y", F.lit(0)))
-    return discretise(activity(spark, sf_dir), "M").events.select("t", "kind", "src", "dst", "nid", rounded(value, "first_value"))
+    return discretise(activity(spark, sf_dir), "M").events.select("t", "kind", "src", "dst", "nid", rounded(first_element(), "first_value"))
 
 
-def _reduced(op: str, expression: str) -> Query:
-    value = F.coalesce(F.col("edge_x")[0], F.col("x")[0], F.get("y", F.lit(0)))
+def first_element() -> Column:
+    return F.coalesce(F.col("edge_x")[0], F.col("x")[0], F.get("y", F.lit(0)))
+
 
+def _reduced(op: str, expression: str) -> Query:
     def run(spark, sf_dir):
+        value = first_element()
         return discretise(activity(spark, sf_dir), "D", op).events.select("t", "kind", "src", "dst", "nid", rounded(value, "value", 3))
 
     run.__name__ = f"discretize_day_{op}"
