@@ -13,6 +13,7 @@ language, those with the least hashes of their ids.  Prediction covers every row
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +25,6 @@ from .common import map_texts
 SAMPLE, PER_CLASS, LANDMARKS = 4000, 500, 160
 RIDGE = 1e-3
 UNKNOWN = "und"
-GRAMS = 1 << 24 | 1 << 16 | 1 << 8  # more than any gram's code
 
 
 def grams(text: str) -> np.ndarray:
@@ -33,11 +33,7 @@ def grams(text: str) -> np.ndarray:
     two = b[:-1] << 8 | b[1:]
     three = two[:-1] << 8 | b[2:]
     # longer grams stand above shorter ones
-    return np.concatenate([np.unique(b), np.unique(two) + 256, _unique(three) + 65792])
-
-
-def _unique(codes: np.ndarray) -> np.ndarray:
-    return np.unique(codes)
+    return np.concatenate([np.unique(b), np.unique(two) + 256, np.unique(three) + 65792])
 
 
 @dataclass
@@ -56,6 +52,11 @@ class Model:
         table[self.vocabulary] = np.arange(len(self.vocabulary), dtype=np.int32)
         return table
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """``places``, made once in each Python worker."""
+        return self.places()
+
     def kernel(self, sets: list[np.ndarray], places: np.ndarray) -> np.ndarray:
         present = np.zeros((len(sets), len(self.vocabulary)), dtype=np.float32)
         for i, s in enumerate(sets):
@@ -104,12 +105,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE, per_class: int = PER_CLASS)
 
     Only sets of n-grams reach the driver: at most ``sample`` of them.
     """
-    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    h = F.xxhash64("doc_id")
+    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("__th", F.xxhash64("text"))
+    h = F.xxhash64("doc_id", "__th")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))
-    ids = usable.select("doc_id", "lang").withColumn("__rank", rank).where(F.col("__rank") <= per_class).orderBy("__rank", h, "doc_id", "lang").limit(sample)
-    ids = ids.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
-    rows = usable.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("doc_id", "lang", "text")
+    ids = usable.select("doc_id", "lang", "__th").withColumn("__rank", rank).where(F.col("__rank") <= per_class).orderBy("__rank", h, "doc_id", "lang").limit(sample)
+    ids = ids.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("__th").alias("__h")).distinct()
+    chosen = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("lang") == F.col("__lang")) & (F.col("__th") == F.col("__h"))
+    rows = usable.join(F.broadcast(ids), chosen).select("doc_id", "lang", "text").distinct()  # repeated rows of one document once
 
     def work(_, texts):
         return {"grams": [grams(t) for t in texts]}
@@ -124,9 +126,6 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-_PLACES: dict[int, np.ndarray] = {}
-
-
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, lang_pred, score`` for each row: the best language and its score, 0 to 1.
 
@@ -138,10 +137,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         m, out, score = shared.value, [UNKNOWN] * len(texts), [0.0] * len(texts)
         if m is None:
             return {"lang_pred": out, "score": score}
-        if id(m) not in _PLACES:
-            _PLACES.clear()
-            _PLACES[id(m)] = m.places()
-        places = _PLACES[id(m)]
+        places = m.table
         with_letters = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))]
         for start in range(0, len(with_letters), 256):
             part = with_letters[start : start + 256]
