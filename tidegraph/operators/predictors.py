@@ -40,6 +40,12 @@ def latest_before(history: DataFrame, queries: DataFrame, keys: list[str], value
     return queries.join(found, [*keys, "batch_id"])
 
 
+def initial_span(init: DataFrame) -> float:
+    """Time between the first and the last of the initial edges; 0 without any."""
+    first, last = init.agg(F.min("t"), F.max("t")).first()
+    return 0.0 if first is None else float(last - first)
+
+
 def edgebank(init: DataFrame, edges: DataFrame, queries: DataFrame, memory: str = "unlimited", window_ratio: float = 0.15, pos_prob: float = 1.0) -> DataFrame:
     """``queries`` (batch_id, src, dst) with ``score``: ``pos_prob`` if the pair was seen, else 0.
 
@@ -53,9 +59,9 @@ def edgebank(init: DataFrame, edges: DataFrame, queries: DataFrame, memory: str
     last = latest_before(history, queries, ["src", "dst"], "t", "last_t")
     hit = F.col("last_t").isNotNull()
     if memory == "fixed":
-        size = init.agg(((F.max("t") - F.min("t")) * F.lit(window_ratio)).alias("size"))  # one row
-        last = last.join(batch_clock(history, queries), "batch_id").crossJoin(F.broadcast(size))
-        hit = hit & (F.col("last_t") >= F.col("we") - F.col("size"))
+        size = initial_span(init) * window_ratio
+        last = last.join(batch_clock(history, queries), "batch_id")
+        hit = hit & (F.col("last_t") >= F.col("we") - F.lit(size))
     return last.select(*queries.columns, F.when(hit, float(pos_prob)).otherwise(0.0).alias("score"))
 
 
@@ -109,8 +115,7 @@ def tcomem(init: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 50, w
     if k <= 0 or not 0 <= weight <= 1:
         raise ValueError("k must be positive and the weight in [0, 1]")
     history = with_history(init, edges)
-    span = init.agg(F.greatest(F.max("t") - F.min("t"), F.lit(1)).cast("double").alias("w"))  # one row
-    clock = batch_clock(history, queries).crossJoin(F.broadcast(span))
+    clock = batch_clock(history, queries).withColumn("w", F.lit(max(initial_span(init), 1.0)))
     ring = recent_destinations(history, queries, k).join(clock, "batch_id").where("nbr_t <= we AND nbr_t >= we - w")
     decayed = ring.groupBy("batch_id", "src").agg(F.sum(F.exp(-(F.col("we") - F.col("nbr_t")) / F.col("w"))).alias("recency"))
     pairs = F.array(F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))

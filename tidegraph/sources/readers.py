@@ -122,7 +122,6 @@ def token_transfers(transfers: DataFrame) -> DataFrame:
     ends = transfers.select(F.col("from").alias("address"), F.col("ordinal").alias("at"), F.lit(0).alias("side")).unionByName(transfers.select(F.col("to").alias("address"), F.col("ordinal").alias("at"), F.lit(1).alias("side")))
     first = ends.groupBy("address").agg(F.min(F.struct("side", "at")).alias("f")).select("address", "f.side", "f.at")
     ids = global_rank(first, ["side", "at", "address"], "id").select("address", "id")
-    bounds = transfers.agg(F.min("timestamp").alias("t0"), F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row
-    rows = transfers.crossJoin(F.broadcast(bounds))
-    rows = rows.join(ids.withColumnRenamed("id", "src"), F.col("from") == F.col("address")).drop("address").join(ids.withColumnRenamed("id", "dst"), F.col("to") == F.col("address")).drop("address")
-    return rows.select("src", "dst", (F.col("timestamp") - F.col("t0")).alias("t"), min_max(F.col("value"), F.col("lo"), F.col("hi")).alias("w"), "ordinal")
+    t0, low, high = transfers.agg(F.min("timestamp"), F.min("value"), F.max("value")).first()
+    rows = transfers.join(ids.withColumnRenamed("id", "src"), F.col("from") == F.col("address")).drop("address").join(ids.withColumnRenamed("id", "dst"), F.col("to") == F.col("address")).drop("address")
+    return rows.select("src", "dst", (F.col("timestamp") - F.lit(t0)).alias("t"), min_max(F.col("value"), F.lit(low), F.lit(high)).alias("w"), "ordinal")
