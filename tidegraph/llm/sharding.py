@@ -54,9 +54,9 @@ def ordered_prefix(text: Column) -> Column:
     return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1))
 
 
-def _below(value: Column, cuts: Column) -> Column:
-    """How many of the cuts (null: none) are less than a value."""
-    return F.size(F.filter(F.coalesce(cuts, F.array().cast("array<long>")), lambda c: c < value))
+def _below(value: Column, cuts: list[int]) -> Column:
+    """How many of the cuts are less than a value."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c < value))
 
 
 def quantised(rows: DataFrame, dims: dict[str, Column], bits: int) -> DataFrame:
@@ -64,11 +64,11 @@ def quantised(rows: DataFrame, dims: dict[str, Column], bits: int) -> DataFrame:
     values = [f"__v{i}" for i in range(len(dims))]
     valued = rows.withColumns(dict(zip(values, dims.values(), strict=True)))
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = valued.agg(*(F.percentile_approx(v, steps, 1000).alias(v.replace("v", "c")) for v in values))  # one row
-    out = valued.crossJoin(F.broadcast(cuts))
+    cuts = valued.agg(*(F.percentile_approx(v, steps, 1000) for v in values)).first()  # 2 ** bits - 1 numbers a dimension
+    out = valued
     for i, v in enumerate(values):
-        out = out.withColumn(f"__q{i}", _below(F.col(v), F.col(f"__c{i}")))
-    return out.drop(*values, *(f"__c{i}" for i in range(len(values))))
+        out = out.withColumn(f"__q{i}", _below(F.col(v), cuts[i] or []))
+    return out.drop(*values)
 
 
 def ranked(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
