@@ -356,3 +356,35 @@ def test_language_learns_nothing_from_held_out_rows(small):
 
     spoiled = small.withColumn("lang", F.when(language.held_out(), F.lit("zz")).otherwise(F.col("lang")))
     assert sorted(map(tuple, language.language_report(spoiled).collect())) == sorted(map(tuple, language.language_report(small).collect()))
+
+
+def test_near_duplicates_of_many_edits(spark, monkeypatch):
+    """One page with more and more words changed: large groups that hold several components, compared in blocks."""
+    import random
+
+    rng = random.Random(4)
+    page = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(70):
+        words = list(page)
+        for _ in range(k % 14):
+            words[rng.randrange(150)] = f"edit{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "BLOCK", 2000)
+    same(neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept").collect(), components_of(rows))
+
+
+def test_block_links_are_those_of_brute_force():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.choice(60, 40)) for _ in range(12)] + [np.arange(45), np.arange(44), np.arange(100, 130), np.arange(100, 131)]
+    labels = [0, 0, *range(2, 16)]
+    rows = pd.DataFrame({"home": 0, "lo": 0, "hi": 1, "block": [i % 2 for i in range(16)], "rep": range(16), "label": labels, "shingles": sets})
+    found = {tuple(r) for r in neardup.block_links(rows).itertuples(index=False)}
+    assert (14, 15) in found and all((i + j) % 2 for i, j in found)
+    for i, j in found:
+        n = len(np.intersect1d(sets[i], sets[j]))
+        assert 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n) and labels[i] != labels[j]

@@ -5,9 +5,9 @@
    sets of similarity s share a bucket with probability 1 - (1 - s**ROWS)**BANDS: at s = 0.75 all but one pair
    in a million.
 3. In each bucket, members are paired with the bucket's least one.  Links are confirmed on whole sets and
-   joined to components by alternating stars.  Then, in buckets that still hold several components, members
-   are paired across components, all of them: within a component nothing is left to learn.  So no bucket has a
-   cap, and a large group of near copies costs as many pairs as it has members, not their square.
+   joined to components by alternating stars.  Within a component nothing is left to learn.  Then, in buckets
+   that still hold several components, members are compared across components, all of them, in blocks of bounded
+   size and without making pairs.  So no bucket has a cap.
 4. A pair goes to confirmation if the share of equal minima (a byte of each is kept) is within ``MARGIN`` of the
    threshold, six standard deviations and more.
 """
@@ -29,6 +29,8 @@ from .components import connected_components
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 50, 5
 MARGIN = 0.19
+#: Groups of more members than this are compared in blocks of about so many shingles.
+FEW, BLOCK = 8, 400_000
 SEED = 20240229
 
 _MIX = np.random.default_rng(SEED)
@@ -135,6 +137,81 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.withColumn("__n", common).where(100 * F.col("__n") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("__n"))).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
+def across_components(members: DataFrame, parts: DataFrame, classes: DataFrame, minima: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between different components whose members share a bucket; each bucket's pairs are compared, none is left out.
+
+    A mixed bucket belongs to the component that most of its members are in, its home.  All members of a home's
+    buckets are one group: a pair that shares a mixed bucket is in the group of the bucket's home.  Groups of up
+    to ``FEW`` members give pairs; larger ones are compared in blocks, see ``block_links``.
+    """
+    labelled = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    labelled = labelled.join(mixed, "key", "left_semi")
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    home = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top")).select("key", F.col("top")["label"].alias("home"))
+    weights = classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
+    group = keep(labelled.join(home, "key").select("home", "rep", "label").distinct().join(weights, "rep"), "groups")
+    of_home = group.groupBy("home").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight"))
+    few = group.join(of_home.where(F.col("members") <= FEW).select("home"), "home", "left_semi")
+    other = few.select("home", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"))
+    near_size = F.expr(f"least(n_shingles, nb) * 100 >= {PERCENT} * greatest(n_shingles, nb)")
+    pairs = few.join(other, "home").where((F.col("label") != F.col("lb")) & (F.col("rep") < F.col("b")) & near_size)
+    links = confirmed(promising(pairs.select(F.col("rep").alias("a"), "b").distinct(), minima), docs)
+
+    many = group.join(of_home.where(F.col("members") > FEW), "home").withColumn("blocks", F.ceil(F.col("weight") / BLOCK).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sets = shingle_sets(docs.join(many.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    placed = many.select("home", "rep", "label", "block", "blocks").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("home", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label", "shingles")
+    kind = classes.schema["rep"].dataType.simpleString()
+    return links.unionByName(placed.groupBy("home", "lo", "hi").applyInPandas(block_links, f"u {kind}, v {kind}"))
+
+
+def block_links(rows):
+    """Links between members of different components in one block, or between two blocks: whole sets, all pairs at once.
+
+    Sizes of intersections are a product of 0-1 matrices over the shingles that two members or more have,
+    some columns at a time.  Of the links only those that join components not joined in this block are given.
+    """
+    import pandas as pd
+
+    sets, labels, reps = [np.asarray(s) for s in rows["shingles"]], rows["label"].to_numpy(), rows["rep"].to_numpy()
+    lo, hi, block = rows["lo"].iloc[0], rows["hi"].iloc[0], rows["block"].to_numpy()
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = many > 1
+    column = np.cumsum(shared) - 1
+    held = shared[place]
+    owner, place = owner[held], column[place[held]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    for start in range(0, int(shared.sum()), 2048):
+        first, last = np.searchsorted(place, [start, start + 2048])
+        present = np.zeros((len(sets), 2048), dtype=np.float32)
+        present[owner[first:last], place[first:last] - start] = 1
+        common += present[left] @ present[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - common
+    linked = (100 * common >= PERCENT * union) & (labels[left][:, None] != labels[right][None, :])
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = find(labels[left[i]]), find(labels[right[j]])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((reps[left[i]], reps[right[j]]))
+    return pd.DataFrame(out, columns=["u", "v"]).astype(reps.dtype)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, class_id`` for each row of ``docs``.
 
@@ -146,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sets = keep(signed(docs), "signatures")
     usable = sets.where("doc_id IS NOT NULL AND set_hash IS NOT NULL")
-    classes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.min_by("minima", "doc_id").alias("minima"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n"))
+    classes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.min_by("minima", "doc_id").alias("minima"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n_shingles"))
     classes = keep(classes, "classes")
     minima = classes.select("rep", "minima").dropDuplicates(["rep", "minima"])
 
@@ -166,15 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = keep(links.unionByName(several), "links")
     parts = connected_components(links)
 
-    labelled = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    labelled = keep(labelled.join(mixed, "key", "left_semi"), "mixed")
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    home = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top")).select("key", F.col("top")["label"].alias("home"))
-    strangers = labelled.join(home, "key").where("label <> home").select("key", F.col("rep").alias("a"), F.col("label").alias("la"), "home")
-    across = strangers.join(labelled.select("key", F.col("rep").alias("b"), F.col("label").alias("lb")), "key").where("la <> lb AND (lb = home OR a < b)")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(promising(across, minima), docs)
+    more = across_components(members, parts, classes, minima, docs)
     merged = more.join(parts.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(parts.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
     merged = merged.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     final = connected_components(merged.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))))
