@@ -8,6 +8,9 @@ from tidegraph.llm import lines, neardup, packing, quality, secrets
 from tidegraph.llm.catalogue import vocabulary_path
 from tidegraph.workspace import keep
 
+#: Token chunks that a worker holds while it packs: fewer than alone, as executors still hold what earlier stages have grown to.
+PACKING_CACHE = 200_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality policy keeps."""
@@ -31,7 +34,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences of 2048 tokens."""
-    return packing.packing_report(docs, vocabulary_path())
+    return packing.packing_report(docs, vocabulary_path(), cached=PACKING_CACHE)
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,17 +50,50 @@ def _slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]
 
 
 class BoundedCache(dict):
-    """A dict that computes missing values and stops growing at ``limit`` entries.
+    """A dict that computes missing values and holds at most ``limit`` of them, those used lately.
 
-    What does not fit is computed anew each time, so the bound changes cost, never results.
+    It has two halves: when the newer one is full it becomes the older one, whose values are moved back as they
+    are asked for.  What is forgotten is computed anew, so the bound changes cost, never results.
     """
 
     def __init__(self, make: Callable, limit: int, longest: int = 64):
         super().__init__()
-        self._make, self._limit, self._longest = make, limit, longest
+        self._make, self._half, self._longest = make, limit // 2, longest
+        self.older: dict = {}
 
     def __missing__(self, key):
-        value = self._make(key)
-        if len(self) < self._limit and len(key) <= self._longest:
+        value = self.older.get(key)
+        if value is None:
+            value = self._make(key)
+        if len(key) <= self._longest:
             self[key] = value
+            self._turn()
         return value
+
+    def put(self, new: dict) -> None:
+        """Add values that were computed together."""
+        self.update((k, v) for k, v in new.items() if len(k) <= self._longest)
+        self._turn()
+
+    def _turn(self) -> None:
+        if len(self) >= self._half:
+            self.older = dict(self)
+            self.clear()
+
+
+_RESIDENT: dict = {}
+
+
+def resident(name, make: Callable):
+    """What ``make`` gives, held by this worker until another name is asked for.
+
+    Workers outlive a stage: so the caches of one operator are gone when the next one runs in the same worker.
+    """
+    if name not in _RESIDENT:
+        if _RESIDENT:
+            _RESIDENT.clear()
+            gc.collect()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc: gives freed memory back
+                trim(0)
+        _RESIDENT[name] = make()
+    return _RESIDENT[name]

@@ -14,8 +14,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workspace import keep
-from .common import BoundedCache, map_texts
+from .common import BoundedCache, map_texts, resident
 from .components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -32,6 +30,8 @@ MARGIN = 0.19
 #: Groups of more members than this are compared in blocks of about so many shingles.
 FEW, BLOCK = 8, 400_000
 SEED = 20240229
+#: Word hashes that a worker holds.
+CACHED_WORDS = 200_000
 
 _MIX = np.random.default_rng(SEED)
 _PLACE = _MIX.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,9 +41,8 @@ _ROW = _MIX.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint
 _BAND = _MIX.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
 
-@lru_cache(maxsize=1)
 def _words() -> BoundedCache:
-    return BoundedCache(xxhash.xxh3_64_intdigest, 500_000)
+    return resident("neardup", lambda: BoundedCache(xxhash.xxh3_64_intdigest, CACHED_WORDS))
 
 
 def _spread(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +22,29 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.taskcontext import TaskContext
 
 from ..workspace import keep
-from .bpe import CACHED_CHUNKS, WordBpe
-from .common import map_texts
+from .bpe import WordBpe
+from .common import BoundedCache, map_texts, resident
 
 CAPACITY, END = 2048, 0
 GROUP = 20_000
 #: Steps the local search spends on one bin, and bins that it gives up before it ends.
 PATIENCE, GIVEN_UP = 400, 12
+#: Chunks whose ids a worker holds: about 250 bytes each.
+RECENT_CHUNKS = 1_000_000
 
 
 class LibraryIds(WordBpe):
     """Ids by the tokenizers library; chunks between white space that have been seen are looked up."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, cached: int = RECENT_CHUNKS):
         from tokenizers import Tokenizer
 
+        # only what cutting needs: the tables for merging stay out of a packing worker's memory
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self._ids: dict[str, bytes] = {}
+        self._marks = [t.content[:2] for t in self.library.get_added_tokens_decoder().values()]
+        self._ids = BoundedCache(self.whole, cached)
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -50,11 +52,14 @@ class LibraryIds(WordBpe):
         cut = [self.chunks(t) if self.plain(t) else None for t in texts]
         got = [c and list(map(get, c)) for c in cut]
         lacking = [k for k, g in enumerate(got) if g and None in g]
-        need = list({c for k in lacking for c, g in zip(cut[k], got[k], strict=True) if g is None})
-        coded = self.library.encode_batch_fast(need, add_special_tokens=False) if need else []
-        new = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(need, coded, strict=True)}
-        if len(known) + len(new) <= CACHED_CHUNKS:
-            known.update((c, x) for c, x in new.items() if len(c) <= 64)
+        need = {c for k in lacking for c, g in zip(cut[k], got[k], strict=True) if g is None}
+        new = {c: known.older[c] for c in need if c in known.older}
+        need = list(need - new.keys())
+        for start in range(0, len(need), 1024):  # an encoding is much larger than its ids
+            part = need[start : start + 1024]
+            coded = self.library.encode_batch_fast(part, add_special_tokens=False)
+            new.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, coded, strict=True))
+        known.put(new)
         for k in lacking:
             got[k] = [new[c] if g is None else g for c, g in zip(cut[k], got[k], strict=True)]
         return [self.whole(t) if g is None else b"".join(g) for t, g in zip(texts, got, strict=True)]
@@ -63,12 +68,11 @@ class LibraryIds(WordBpe):
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
-def library(path: str) -> LibraryIds:
-    return LibraryIds(path)
+def library(path: str, cached: int = RECENT_CHUNKS) -> LibraryIds:
+    return resident(("packing", path, cached), lambda: LibraryIds(path, cached))
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False, cached: int = RECENT_CHUNKS) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``, little-endian unsigned 32-bit): each document's ids and END, cut only where longer than ``capacity``.
 
     A null or empty text has the one id END.
@@ -79,7 +83,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
 
     def work(_, texts):
         out = {"take": [], "piece": [], "start": [], "length": [], "ids_crc32": []} | ({"ids": []} if with_ids else {})
-        for row, ids in enumerate(library(path).many(texts)):
+        for row, ids in enumerate(library(path, cached).many(texts)):
             ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
@@ -223,10 +227,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFr
     return cut.repartition(groups).mapInArrow(run, schema)
 
 
-def packing_report(docs: DataFrame, path: str) -> DataFrame:
+def packing_report(docs: DataFrame, path: str, cached: int = RECENT_CHUNKS) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: one row for each piece of each row of ``docs``.
 
     Null and empty texts are one piece of length 1.  Repeated rows are packed each; an empty table gives an
-    empty result; further columns are not read.
+    empty result; further columns are not read.  ``cached`` trades a worker's memory for time.
     """
-    return pack(pieces(docs, path))
+    return pack(pieces(docs, path, cached=cached))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, map_texts
+from .common import WHITE, map_texts, resident
 
 #: Rules in the order of their bits.
 RULES = ("few_words", "repeated_words", "word_length", "symbols", "repeated_lines")
@@ -123,6 +123,7 @@ def filter_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     def measured(texts):
         import pandas as pd
 
+        resident("quality", dict)  # nothing to hold: frees what a stage before has left
         return pd.DataFrame([measure(t or "") for t in texts], columns=list(MEASURES))
 
     judged = docs.withColumn("__m", measured("text"))
