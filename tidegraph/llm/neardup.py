@@ -27,8 +27,8 @@ from .components import connected_components
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 50, 5
 MARGIN = 0.19
-#: Groups of more members than this are compared in blocks of about so many shingles.
-FEW, BLOCK = 8, 400_000
+#: Groups of more members than this are compared in blocks of about so many shingles, each member counting as so many more.
+FEW, BLOCK, EACH = 8, 400_000, 200
 SEED = 20240229
 #: Word hashes that a worker holds.
 CACHED_WORDS = 200_000
@@ -150,7 +150,7 @@ def across_components(members: DataFrame, parts: DataFrame, classes: DataFrame,
     home = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top")).select("key", F.col("top")["label"].alias("home"))
     weights = classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
     group = keep(labelled.join(home, "key").select("home", "rep", "label").distinct().join(weights, "rep"), "groups")
-    of_home = group.groupBy("home").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight"))
+    of_home = group.groupBy("home").agg(F.count("*").alias("members"), F.sum(F.col("n_shingles") + EACH).alias("weight"))
     few = group.join(of_home.where(F.col("members") <= FEW).select("home"), "home", "left_semi")
     other = few.select("home", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"))
     near_size = F.expr(f"least(n_shingles, nb) * 100 >= {PERCENT} * greatest(n_shingles, nb)")
