@@ -179,3 +179,29 @@ def test_rank_ties(spark):
 def test_spectral_density_adds_up(spark):
     edges = edges_of(spark, [(i, (i + 1) % 12, i) for i in range(12)], 12)
     assert sum(r["density"] for r in analytics.spectral_density(edges).collect()) == pytest.approx(1.0, abs=0.05)
+
+
+def test_common_neighbors_of_every_batch_see_the_batches_before(spark):
+    rng = random.Random(7)
+    triples, size = [(rng.randrange(6), rng.randrange(6), i) for i in range(40)], 8
+    edges = edges_of(spark, triples, size)
+    asked = [(i, i // size, s, (s * 7 + 1) % 6) for i, (s, _, _) in enumerate(triples)]
+    pairs = spark.createDataFrame(asked, "pair_id long, batch_id long, i long, j long")
+    expected = {}
+    for pair, batch, i, j in asked:
+        adj = defaultdict(lambda: defaultdict(float))
+        for s, d, _ in triples[: batch * size]:
+            adj[s][d] += 1
+            adj[d][s] += 1
+        two = {}
+        for x in (i, j):
+            two[x] = defaultdict(float)
+            for m, w in adj[x].items():
+                for v, a in adj[m].items():
+                    if not {m, v} & {i, j}:
+                        two[x][v] += w * a
+        for order, a, b in (("1-1", adj[i], adj[j]), ("0-1", {i: 1}, adj[j]), ("1-0", adj[i], {j: 1}), ("1-2", adj[i], two[j]), ("2-1", two[i], adj[j]), ("2-2", two[i], two[j])):
+            expected |= {(pair, order, v): a[v] * b[v] for v in a if v in b and (order[:1] + order[2:] in ("11", "01", "10") or v not in (i, j))}
+    got = kernels.common_neighbors(pairs, edges, 8, before=True).collect()
+    assert {(r["pair_id"], r["order"], r["nbr"]): r["weight"] for r in got} == expected and len(got) == len(expected)
+    assert {p // size for p, _, _ in expected} == {1, 2, 3, 4}

@@ -14,6 +14,7 @@ from .operators import analytics, kernels, metrics, negatives, neighbors, predic
 from .operators.batching import batch_sizes, batched
 from .operators.discretise import discretise
 from .sources.readers import token_transfers
+from .workspace import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -587,6 +588,39 @@ def common_neighbor_features(spark, sf_dir):
     return kernels.weighted_features(found, features).withColumn("value", F.round("value", 6))
 
 
+_ALL_PAIRS = """half AS (SELECT batch_id AS b, src AS u, dst AS v FROM edges UNION ALL SELECT batch_id, dst, src FROM edges), users AS (SELECT max(src) + 1 AS n FROM edges),
+ids AS (SELECT event_idx AS pair_id, batch_id, src AS i, (src * 7 + 1) % n AS j FROM edges, users),
+i1 AS (SELECT pair_id, batch_id, i, j, v AS nbr, count(*)::DOUBLE AS w FROM ids JOIN half ON u = i AND b < batch_id GROUP BY 1, 2, 3, 4, 5),
+j1 AS (SELECT pair_id, batch_id, i, j, v AS nbr, count(*)::DOUBLE AS w FROM ids JOIN half ON u = j AND b < batch_id GROUP BY 1, 2, 3, 4, 5),
+i2 AS (SELECT pair_id, i, j, v AS nbr, sum(w) AS w FROM i1 JOIN half ON u = nbr AND b < batch_id WHERE nbr <> i AND nbr <> j AND v <> i AND v <> j GROUP BY 1, 2, 3, 4),
+j2 AS (SELECT pair_id, i, j, v AS nbr, sum(w) AS w FROM j1 JOIN half ON u = nbr AND b < batch_id WHERE nbr <> i AND nbr <> j AND v <> i AND v <> j GROUP BY 1, 2, 3, 4),
+cn AS (SELECT pair_id, '1-1' AS "order", nbr, i1.w * j1.w AS weight FROM i1 JOIN j1 USING (pair_id, nbr)
+  UNION ALL SELECT pair_id, '0-1', i, w FROM j1 WHERE nbr = i UNION ALL SELECT pair_id, '1-0', j, w FROM i1 WHERE nbr = j
+  UNION ALL SELECT pair_id, '1-2', nbr, i1.w * j2.w FROM i1 JOIN j2 USING (pair_id, nbr) WHERE nbr <> i1.i AND nbr <> i1.j
+  UNION ALL SELECT pair_id, '2-1', nbr, i2.w * j1.w FROM i2 JOIN j1 USING (pair_id, nbr) WHERE nbr <> i2.i AND nbr <> i2.j
+  UNION ALL SELECT pair_id, '2-2', nbr, i2.w * j2.w FROM i2 JOIN j2 USING (pair_id, nbr))"""
+
+
+def _all_common(spark, sf_dir) -> DataFrame:
+    """The pairs of every batch, with partners among all users, against the edges of the batches before."""
+    edges = keep(edges_of(spark, sf_dir), "edges")
+    n = edges.agg(F.max("src")).first()[0] + 1
+    pairs = edges.select(F.col("event_idx").alias("pair_id"), "batch_id", F.col("src").alias("i"), ((F.col("src") * 7 + 1) % n).alias("j"))
+    return kernels.common_neighbors(pairs, edges, 8, before=True)
+
+
+@query(on_activity(f', {_ALL_PAIRS} SELECT pair_id, "order", nbr, round(weight, 6) AS weight FROM cn'))
+def common_neighbors_all(spark, sf_dir):
+    return _all_common(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+
+
+@query(on_activity(f', {_ALL_PAIRS} SELECT pair_id, "order", 0::INT AS pos, round(sum(weight * (nbr % 10)), 6) AS value FROM cn GROUP BY 1, 2'))
+def common_neighbor_features_all(spark, sf_dir):
+    # weighted_features of the feature nid % 10 that every node has; a join would only look it up
+    rows = _all_common(spark, sf_dir).groupBy("pair_id", "order").agg(F.sum(F.col("weight") * (F.col("nbr") % 10)).alias("value"))
+    return rows.select("pair_id", "order", F.lit(0).alias("pos"), rounded("value", "value"))
+
+
 _WALKS = 3
 
 

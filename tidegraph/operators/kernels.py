@@ -119,7 +119,16 @@ def adjacency(edges: DataFrame, upto: Column | None = None) -> DataFrame:
     return rows.select(F.explode(ways).alias("e")).select("e.*").groupBy("u", "v").agg(F.count("*").cast("double").alias("a"))
 
 
-def common_neighbors(pairs: DataFrame, edges: DataFrame, k: int = 2, now: Column | int | None = None, updates: DataFrame | None = None) -> DataFrame:
+def adjacency_before(edges: DataFrame) -> DataFrame:
+    """``u, v, a, since, until``: the adjacency of the edges of all batches before a batch, for each of the batches since < batch <= until."""
+    ways = F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))
+    rows = edges.select("batch_id", F.explode(ways).alias("e")).select("e.*", F.col("batch_id").alias("since")).groupBy("u", "v", "since").agg(F.count("*").cast("double").alias("n"))
+    of_pair = Window.partitionBy("u", "v").orderBy("since")
+    so_far = F.sum("n").over(of_pair.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select("u", "v", so_far.alias("a"), "since", F.coalesce(F.lead("since").over(of_pair), F.lit(2**63 - 1)).alias("until"))
+
+
+def common_neighbors(pairs: DataFrame, edges: DataFrame, k: int = 2, now: Column | int | None = None, updates: DataFrame | None = None, before: bool = False) -> DataFrame:
     """``pair_id, order, nbr, weight`` of ``pair_id, i, j``: the neighbours that two nodes have in common.
 
     ``1-1``: next to both, weighted by the product of the numbers of edges.  With ``k`` 4 also ``0-1`` and ``1-0``: j's
@@ -127,12 +136,19 @@ def common_neighbors(pairs: DataFrame, edges: DataFrame, k: int = 2, now: Column
     steps, of which those over the pair's own link are taken out, and the pair's nodes never count.
 
     With ``updates`` (nid, last_update) weights decay by exp(-(now - last_update) / 10000).
+    With ``before``, pairs and edges have a ``batch_id`` and a pair sees the edges of the batches before its own.
     Two-step paths of i start from the pairs asked for only, and are summed before they meet j's.
     """
     if k not in (2, 4, 8):
         raise ValueError(f"k is 2, 4 or 8, not {k}")
-    adj = adjacency(edges)
-    one = lambda side: pairs.select("pair_id", "i", "j", F.col(side).alias("u")).join(adj, "u").select("pair_id", "i", "j", F.col("v").alias("nbr"), F.col("a").alias("w"))
+    at = ["batch_id"] if before else []
+    adj = adjacency_before(edges) if before else adjacency(edges)
+
+    def step(rows: DataFrame) -> DataFrame:
+        found = rows.join(adj, "u")
+        return found.where("since < batch_id AND batch_id <= until") if before else found
+
+    one = lambda side: step(pairs.select("pair_id", *at, "i", "j", F.col(side).alias("u"))).select("pair_id", *at, "i", "j", F.col("v").alias("nbr"), F.col("a").alias("w"))
 
     def meet(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
         other = b.select("pair_id", "nbr", F.col("w").alias("w2"))
@@ -147,8 +163,8 @@ def common_neighbors(pairs: DataFrame, edges: DataFrame, k: int = 2, now: Column
     if k == 8:
 
         def two(first: DataFrame) -> DataFrame:
-            step = first.where(outside).select("pair_id", "i", "j", F.col("nbr").alias("u"), "w").join(adj, "u")
-            return step.groupBy("pair_id", "i", "j", F.col("v").alias("nbr")).agg(F.sum(F.col("w") * F.col("a")).alias("w")).where(outside)
+            rows = step(first.where(outside).select("pair_id", *at, "i", "j", F.col("nbr").alias("u"), "w"))
+            return rows.groupBy("pair_id", "i", "j", F.col("v").alias("nbr")).agg(F.sum(F.col("w") * F.col("a")).alias("w")).where(outside)
 
         i2, j2 = two(i1), two(j1)
         for name, a, b in (("1-2", i1, j2), ("2-1", i2, j1), ("2-2", i2, j2)):
