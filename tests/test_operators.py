@@ -205,3 +205,23 @@ def test_common_neighbors_of_every_batch_see_the_batches_before(spark):
     got = kernels.common_neighbors(pairs, edges, 8, before=True).collect()
     assert {(r["pair_id"], r["order"], r["nbr"]): r["weight"] for r in got} == expected and len(got) == len(expected)
     assert {p // size for p, _, _ in expected} == {1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("layers", [1, 2, 3])
+def test_walk_sums_equal_the_fold_over_all_batches(spark, layers):
+    rng = random.Random(9)
+    triples = [(rng.randrange(5), rng.randrange(5), 3 * i) for i in range(30)]
+    decay, state, before = 0.02, {(0, x, x): 1.0 for x in range(5)}, None
+    for b in range(0, 30, 3):
+        batch = triples[b : b + 3]
+        top = max(t for *_, t in batch)
+        gap = 0 if before is None else top - before
+        old = {(i, u, c): v * 2.718281828459045 ** (-decay * gap * i) for (i, u, c), v in state.items()}
+        state, before = defaultdict(float, old), top
+        for s, d, t in batch:
+            for u, m in ((s, d), (d, s)):
+                for (i, node, c), v in old.items():
+                    if node == m and i < layers:
+                        state[i + 1, u, c] += v * 2.718281828459045 ** (-decay * (top - t))
+    got = {(r["layer"], r["node"], r["col"]): r["val"] for r in kernels.walk_sums(edges_of(spark, triples, 3), layers, decay).collect()}
+    assert got == pytest.approx({k: v for k, v in state.items() if k[0] > 0})

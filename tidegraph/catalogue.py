@@ -635,6 +635,17 @@ def walk_matrices(spark, sf_dir):
     return kernels.walk_matrices(edges, 2).where("layer > 0").select("layer", "node", "col", rounded("val", "val"))
 
 
+@query(on_activity(""", tops AS (SELECT batch_id, max(t) AS top FROM edges GROUP BY 1), fin AS (SELECT max(top) AS f FROM tops),
+wy AS (SELECT batch_id, u, v, sum(exp(-1e-6::DOUBLE * (top - t))) AS w FROM (SELECT batch_id, t, src AS u, dst AS v FROM edges UNION ALL SELECT batch_id, t, dst, src FROM edges) JOIN tops USING (batch_id) GROUP BY 1, 2, 3),
+one AS (SELECT u, v, sum(w * exp(-1e-6::DOUBLE * (f - top))) AS val FROM wy JOIN tops USING (batch_id), fin GROUP BY 1, 2),
+two AS (SELECT a.u, b.v, sum(a.w * b.w * exp(-1e-6::DOUBLE * (ta.top - tb.top)) * exp(-2e-6::DOUBLE * (f - ta.top))) AS val
+  FROM wy a JOIN wy b ON b.u = a.v AND b.batch_id < a.batch_id JOIN tops ta ON ta.batch_id = a.batch_id JOIN tops tb ON tb.batch_id = b.batch_id, fin GROUP BY 1, 2)
+SELECT 1::INT AS layer, u AS node, v AS col, round(val, 6) AS val FROM one UNION ALL SELECT 2::INT, u, v, round(val, 6) FROM two"""))
+def walk_matrices_all(spark, sf_dir):
+    """The walk matrices after all batches of the log."""
+    return kernels.walk_sums(edges_of(spark, sf_dir), 2).select("layer", "node", "col", rounded("val", "val"))
+
+
 # -- sources -----------------------------------------------------------------------------------------
 
 
