@@ -35,3 +35,9 @@ def test_entry_point(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_node_analytics_of_all_nodes(spark, duck):
+    got = {r["nid"] for r in catalogue.QUERIES["node_analytics_all"](spark, SF).select("nid").collect()}
+    seen = "SELECT user_id AS nid FROM events WHERE event_type <> 'error' UNION SELECT regexp_extract(props, '[0-9]+')::BIGINT + 1000 FROM events WHERE event_type NOT IN ('signup', 'error')"
+    assert got == {n for (n,) in duck.sql(seen).fetchall()}

@@ -245,6 +245,27 @@ def node_analytics(spark, sf_dir):
     return out.withColumn("activity", F.round("activity", 6))
 
 
+_ALL_NODES = f""", {_DAYS}, now AS (SELECT batch_id, max(t) AS now FROM d GROUP BY 1), ft AS (SELECT t, min(batch_id) AS batch_id FROM d GROUP BY 1),
+spine AS (SELECT batch_id, now, sum(n) OVER (ORDER BY batch_id)::BIGINT AS times FROM now JOIN (SELECT batch_id, count(*) AS n FROM ft GROUP BY 1) USING (batch_id)),
+ends AS (SELECT batch_id, t, kind, unnest(CASE WHEN kind = 0 THEN [src, dst] ELSE [nid] END) AS nid FROM d),
+p AS (SELECT nid, batch_id, count(*) FILTER (WHERE kind = 0) AS degree FROM ends GROUP BY 1, 2),
+pt AS (SELECT nid, batch_id, count(*) AS fresh FROM (SELECT nid, t, min(batch_id) AS batch_id FROM ends GROUP BY 1, 2) GROUP BY 1, 2),
+q AS (SELECT nid, batch_id, count(*) AS new_neighbors FROM (SELECT nid, nbr, min(batch_id) AS batch_id FROM (SELECT batch_id, src AS nid, dst AS nbr FROM d WHERE kind = 0 UNION ALL SELECT batch_id, dst, src FROM d WHERE kind = 0) GROUP BY 1, 2) GROUP BY 1, 2),
+grid AS (SELECT s.batch_id, s.now, s.times, n.nid, degree, new_neighbors, sum(fresh) OVER w AS appearances, min(CASE WHEN p.nid IS NOT NULL THEN s.now END) OVER w AS first_seen,
+  max(CASE WHEN p.nid IS NOT NULL THEN s.now END) OVER w AS last_seen FROM spine s CROSS JOIN (SELECT DISTINCT nid FROM ends) n
+  LEFT JOIN p ON p.nid = n.nid AND p.batch_id = s.batch_id LEFT JOIN pt ON pt.nid = n.nid AND pt.batch_id = s.batch_id LEFT JOIN q ON q.nid = n.nid AND q.batch_id = s.batch_id
+  WINDOW w AS (PARTITION BY n.nid ORDER BY s.batch_id))
+SELECT batch_id, nid, coalesce(degree, 0) AS degree, coalesce(new_neighbors, 0) AS new_neighbors, appearances::BIGINT AS appearances, round(appearances::DOUBLE / greatest(times, 1), 6) AS activity,
+  (last_seen - first_seen)::DOUBLE AS lifetime, (now - last_seen)::DOUBLE AS time_since_last_seen FROM grid WHERE last_seen IS NOT NULL"""
+
+
+@query(on_activity(_ALL_NODES))
+def node_analytics_all(spark, sf_dir):
+    """All nodes of the log tracked."""
+    out = analytics.node_analytics(daily(spark, sf_dir), activity(spark, sf_dir).get_nodes())
+    return out.withColumn("activity", F.round("activity", 6))
+
+
 @query(on_activity(f""", {_DAYS}, f AS (SELECT nid, min(batch_id) AS b FROM (SELECT batch_id, unnest(CASE WHEN kind = 0 THEN [src, dst] ELSE [nid] END) AS nid FROM d) GROUP BY 1)
 SELECT batch_id, count(*) FILTER (WHERE b = batch_id) AS new_node_count, round(count(*) FILTER (WHERE b = batch_id) / count(*)::DOUBLE, 6) AS node_novelty
 FROM d JOIN f USING (nid) WHERE kind = 1 GROUP BY 1"""))
