@@ -562,6 +562,15 @@ def time_encoding(spark, sf_dir):
     return kernels.encode_times(rows, 4).select("event_idx", "role", "dt", *(rounded(F.col("time_x")[i], f"c{i}", 5) for i in range(4)))
 
 
+@query(on_activity(f""", {_MSG}, u AS (SELECT node, batch_id, max(t) AS top FROM m GROUP BY 1, 2),
+s AS (SELECT node, batch_id, coalesce(max(top) OVER (PARTITION BY node ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM u)
+SELECT m.event_idx, m.role::INT AS role, t - since AS dt, {", ".join(f"round(cos({w!r}::DOUBLE * (t - since)), 5) AS c{i}" for i, w in enumerate(_W))} FROM m JOIN s ON s.node = m.node AND s.batch_id = m.batch_id"""))
+def time_encoding_all(spark, sf_dir):
+    """With the messages of a node's first batch, whose time counts from 0."""
+    rows = kernels.relative_times(kernels.messages(edges_of(spark, sf_dir)))
+    return kernels.encode_times(rows, 4).select("event_idx", "role", "dt", *(rounded(F.col("time_x")[i], f"c{i}", 5) for i in range(4)))
+
+
 @query(on_trade("SELECT src AS node, 0::INT AS pos, round(avg(price::DOUBLE), 4) AS value FROM log GROUP BY 1 UNION ALL SELECT src, 1::INT, round(avg(discount::DOUBLE), 4) FROM log GROUP BY 1"))
 def pooling(spark, sf_dir):
     rows = trade(spark, sf_dir).edges().withColumnRenamed("src", "node")
