@@ -212,6 +212,29 @@ def test_cut_is_the_longest_prefix(library):
     assert v.cut(text, counts[-1]) == -1
 
 
+ODD_CUTS = [
+    "שלום עולם, don't 'retry it's 12 naïve\ufe0f ok!", "  สวัสดี ชาวโลก  the end ", "مرحبا بالعالم we'll see \U0001f9e0\U0001f9e0 x", "a!!<|endoftext|><|startoftext|>'s b<|endof", "x <|ENDOFTEXT|> İstanbul ΣΑΣ \U0001f9ff",
+]
+
+
+@pytest.mark.parametrize("text", ODD_CUTS)
+def test_prefixes_and_cut_of_texts_that_are_not_plain(library, text):
+    v = tokens.counter(PATH)
+    assert not v.plain(text)
+    normal = library.normalizer.normalize_str(text)
+    expected = [len(library.encode(normal[:i], add_special_tokens=False).ids) for i in range(len(normal) + 1)]
+    assert v.prefixes(text) == expected
+    for budget in range(expected[-1]):
+        assert v.odd_cut(text, budget) == max(i for i, n in enumerate(expected) if n <= budget)
+
+
+def test_cut_at_of_a_long_text_that_is_not_plain(spark, library):
+    text = "wizards quietly mix a potion " * 400 + "שלום"
+    (row,) = tokens.token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH, 100).collect()
+    fits = lambda i: len(library.encode(library.normalizer.normalize_str(text)[:i], add_special_tokens=False).ids) <= 100
+    assert row["over_limit"] and fits(row["cut_at"]) and not any(fits(i) for i in range(row["cut_at"] + 1, row["cut_at"] + 40))
+
+
 def check_packing(rows, docs, library):
     cut = defaultdict(list)
     for i, t in texts(docs):

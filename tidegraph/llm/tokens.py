@@ -144,11 +144,68 @@ class PrefixCounter(WordBpe):
             return sum([totals[c] for c in self.chunks(text)])
         return self._odd_counts(text)
 
+    def normal_form(self, text: str) -> str:
+        """Any text as the library normalises it."""
+        next(self.odd_parts(""), None)  # loads the library
+        return self._library.normalizer.normalize_str(text)
+
+    def _units(self, normal: str) -> list[tuple[int, int, str | None]] | None:
+        """Start, stop and word of each word of a normal form, in order; the word of an added token is None.
+
+        None if normalising or cutting moves characters.
+        """
+        next(self.odd_parts(""), None)
+        out, base = [], 0
+        for part in self._special.split(normal) if self._special else [normal]:
+            if part in self.added:
+                out.append((base, base + len(part), None))
+            elif part:
+                if self._library.normalizer.normalize_str(part) != part:
+                    return None
+                for (_, (a, b)), word in zip(self._library.pre_tokenizer.pre_tokenize_str(part), next(self.odd_parts(part)), strict=True):
+                    if part[a:b] != word:
+                        return None
+                    out.append((base + a, base + b, word))
+            base += len(part)
+        return out
+
+    def _inside(self, normal: str, units: list, k: int, before: int) -> list[int]:
+        """Counts of the prefixes that end in a unit; ``before``: the count up to it.
+
+        A prefix of a word is a word, but for a contraction begun; a begun added token may run on from the word before.
+        """
+        start, stop, word = units[k]
+        if word is None:
+            first = units[k - 1][0] if k and units[k - 1][2] is not None and units[k - 1][1] == start else start
+            base = before - (self.word_counts[units[k - 1][2]][-1] if first < start else 0)
+            return [base + self._odd_counts(normal[first:i]) for i in range(start + 1, stop)] + [before + 1]
+        if word[0] == "'" and word[1:].isalpha():
+            return [before + self._odd_counts(normal[start:i]) for i in range(start + 1, stop + 1)]
+        counts = self.word_counts[word]
+        return [before + counts[at - 1] for at in accumulate(len(c.encode("utf-8", "surrogatepass")) for c in word)]
+
+    def _odd_prefixes(self, normal: str) -> list[int]:
+        """Counts of all prefixes of a normal form with any characters, accumulated word by word."""
+        units = self._units(normal)
+        if units is None:
+            return [0, *(self._odd_counts(normal[:i]) for i in range(1, len(normal) + 1))]
+        out = [0]
+        for k, (start, _, _) in enumerate(units):
+            out.extend([out[-1]] * (start + 1 - len(out)))
+            out.extend(self._inside(normal, units, k, out[-1]))
+        return out + [out[-1]] * (len(normal) + 1 - len(out))
+
+    def odd_cut(self, text: str, budget: int) -> int:
+        """``cut`` of any text; -1 if its normal form fits."""
+        counts = self._odd_prefixes(self.normal_form(text))
+        if counts[-1] <= budget:
+            return -1
+        return next(i for i in range(len(counts) - 1, -1, -1) if counts[i] <= budget)
+
     def prefixes(self, text: str) -> list[int]:
         """Counts of all prefixes of the normalised text, the empty one first."""
         if not self.plain(text):
-            normal = self.folded(text)
-            return [0, *(self._odd_counts(normal[:i]) for i in range(1, len(normal) + 1))]
+            return self._odd_prefixes(self.normal_form(text))
         out, normal, before, at = [0], " ".join(self.chunks(f"x{text}x"))[1:-1], 0, 0
         for chunk in normal.split(" "):
             if at:
@@ -181,18 +238,23 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
+def _odd_cut(v: PrefixCounter, text: str, limit: int) -> int:
+    at = v.odd_cut(text, limit)
+    return len(v.normal_form(text)) if at < 0 else at
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit, cut_at`` for each row of ``docs``.
 
-    ``cut_at``: where a text over ``limit`` is to be cut to fit (code points of its normal form; null
-    if it fits, or if it has characters that only the library can cut).  Null and empty texts have 0
+    ``cut_at``: where a text over ``limit`` is to be cut to fit (code points of its normal form, all of
+    them if that fits; null if the text fits).  Null and empty texts have 0
     bytes and 0 tokens.  Repeated rows give repeated rows; further columns are not read.
     """
 
     def work(_, texts):
         v = counter(path)
         n = [v.count(t) for t in texts]
-        cuts = [None if k <= limit or not v.plain(t) else v.cut(t, limit) for k, t in zip(n, texts, strict=True)]
+        cuts = [None if k <= limit else v.cut(t, limit) if v.plain(t) else _odd_cut(v, t, limit) for k, t in zip(n, texts, strict=True)]
         return {"n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": n, "over_limit": [k > limit for k in n], "cut_at": cuts}
 
     return map_texts(docs, work, [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("cut_at", T.LongType())])
