@@ -281,6 +281,17 @@ def test_sharding(docs):
     assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in rows)
 
 
+def test_sources_with_one_long_prefix_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, None if i % 17 == 16 else f"https://crawl.example/{i % 17:02}") for i in range(170)]
+    got = sharding.quantised(spark.createDataFrame(rows, "doc_id long, source string"), {"source": F.col("source")}, 2).collect()
+    values = sorted((s for _, s in rows), key=lambda s: (s is not None, s or ""))
+    cuts = [values[-(-len(values) * k // 4) - 1] for k in (1, 2, 3)]
+    assert {(r["source"], r["__q0"]) for r in got} == {(s, sum(s is not None and (c is None or c < s) for c in cuts)) for _, s in rows}
+    assert len({r["__q0"] for r in got}) == 4
+
+
 @pytest.mark.parametrize("n,bits", [(2, 3), (3, 2), (4, 2)])
 def test_hilbert_neighbours_are_adjacent(n, bits):
     cells = sorted(itertools.product(range(1 << bits), repeat=n), key=lambda c: sharding.hilbert_index(c, bits))

@@ -11,8 +11,11 @@ range is numbered by itself, and the ranges' counts (as many as partitions) give
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..workspace import keep
 
@@ -48,10 +51,38 @@ def hilbert_index(cell: tuple[int, ...], bits: int) -> int:
     return index
 
 
-def ordered_prefix(text: Column) -> Column:
-    """The first 7 bytes of a string as a number in the order of the strings; null is least."""
-    digits = F.rpad(F.substring(F.hex(text), 1, 14), 14, "0")
-    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1))
+def string_cuts(rows: DataFrame, value: str, steps: list[float]) -> list[str | None]:
+    """The quantiles of a string column over whole values, nulls least: at each step the first value in order that it reaches.
+
+    Counts of distinct values are range-partitioned and summed up within each range and over the ranges before.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = F.col(value).asc_nulls_first()
+    counts = rows.groupBy(value).agg(F.count("*").alias("__n")).repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
+    counts = keep(counts, "shard-values")
+    sums = sorted((r["__part"], r["n"]) for r in counts.groupBy("__part").agg(F.sum("__n").alias("n")).collect())  # a row a partition
+    total, table = sum(n for _, n in sums), []
+    for part, n in sums:
+        table.append((part, table[-1][1] + table[-1][2] if table else 0, n))
+    targets = [max(1, math.ceil(total * s)) for s in steps]
+    wanted = {p: [t - before for t in targets if before < t <= before + n] for p, before, n in table}
+    near = [p for p, inside in wanted.items() if inside]
+    if not near:
+        return []
+    upto = F.sum("__n").over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hit = F.lit(False)
+    for p in near:
+        for t in wanted[p]:
+            hit = hit | ((F.col("__part") == p) & (F.col("__upto") >= t) & (F.col("__upto") - F.col("__n") < t))
+    found = {(r["__part"], r["__upto"]): (r[value], r["__n"]) for r in counts.where(F.col("__part").isin(near)).withColumn("__upto", upto).where(hit).collect()}  # at most a row a step
+    return [next(v for (part, upto), (v, n) in found.items() if part == p and upto - n < t <= upto) for p in near for t in wanted[p]]
+
+
+def _strings_below(value: Column, cuts: list[str | None]) -> Column:
+    """How many of the cuts are less than a string; null is least."""
+    nulls, known = cuts.count(None), [c for c in cuts if c is not None]
+    below = sum(((value > F.lit(c)).cast("int") for c in known), F.lit(nulls))
+    return F.when(value.isNull(), 0).otherwise(below)
 
 
 def _below(value: Column, cuts: list[int]) -> Column:
@@ -64,10 +95,11 @@ def quantised(rows: DataFrame, dims: dict[str, Column], bits: int) -> DataFrame:
     values = [f"__v{i}" for i in range(len(dims))]
     valued = rows.withColumns(dict(zip(values, dims.values(), strict=True)))
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = valued.agg(*(F.percentile_approx(v, steps, 1000) for v in values)).first()  # 2 ** bits - 1 numbers a dimension
+    numbers = [v for v in values if valued.schema[v].dataType != T.StringType()]
+    cuts = valued.agg(F.lit(0), *(F.percentile_approx(v, steps, 1000).alias(v) for v in numbers)).first()  # 2 ** bits - 1 numbers a dimension
     out = valued
     for i, v in enumerate(values):
-        out = out.withColumn(f"__q{i}", _below(F.col(v), cuts[i] or []))
+        out = out.withColumn(f"__q{i}", _below(F.col(v), cuts[v] or []) if v in numbers else _strings_below(F.col(v), string_cuts(valued, v, steps)))
     return out.drop(*values)
 
 
@@ -106,7 +138,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) ->
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     known = {c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")}
     meta = keep(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *(c.alias(k) for k, c in known.items())), "shard-meta")
-    dims = {"lang": ordered_prefix(F.col("lang")), "source": ordered_prefix(F.col("source")), "size": F.col("size")}
+    dims = {"lang": F.col("lang"), "source": F.col("source"), "size": F.col("size")}
     celled = quantised(meta, dims, bits)
     n, side = len(dims), 1 << bits
     cells = [(*c, hilbert_index(c, bits)) for c in ((k // side**2, k // side % side, k % side) for k in range(side**n))]
