@@ -269,6 +269,27 @@ def test_local_search_empties_bins():
     assert len(out) == 3 and sorted(i for b in out for i in b) == list(range(6)) and all(lengths[b].sum() <= 10 for b in out)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_local_search_leaves_no_step(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    lengths = np.concatenate([rng.integers(45, 70, 60), rng.integers(25, 40, 20 * (seed % 2))])
+    bins = packing.local_search([[i] for i in range(len(lengths))], lengths, 100)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    fill = [int(lengths[b].sum()) for b in bins]
+    assert max(fill) <= 100
+    if len(bins) == -(-int(lengths.sum()) // 100):
+        return
+    for p, mine in enumerate(bins):
+        for q, theirs in enumerate(bins):
+            if p != q and fill[p] <= fill[q] < 100:
+                for out in [*itertools.combinations(mine, 1), *itertools.combinations(mine, 2)]:
+                    n = int(lengths[list(out)].sum())
+                    assert len(out) > 1 or fill[q] + n > 100
+                    assert all(not (n > lengths[t] and fill[q] - lengths[t] + n <= 100) for t in theirs)
+
+
 def test_sharding(docs):
     rows = sharding.shard_report(docs).collect()
     same([(r["doc_id"], r["size"], r["text_crc32"]) for r in rows], [(i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts(docs)])

@@ -3,8 +3,8 @@
 Documents become token pieces of at most ``CAPACITY``.  Pieces are dealt evenly into groups of bounded size,
 each packed by one task: best fit, longest first, and then local search over the bins that are not full.  The
 search takes the emptiest bin and moves its documents out, or exchanges one or two of them for a shorter one
-of a fuller bin; each step raises the sum of squared fills, and a bin that runs empty is gone.  A group wastes
-less than its own last bin, so the number of sequences is within one for each ``GROUP`` pieces of its bound.
+of a fuller bin; each step raises the sum of squared fills, and a bin that runs empty is gone.  It goes on until
+no bin has a step or the group has as few bins as its tokens need.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from .common import BoundedCache, map_texts, resident
 
 CAPACITY, END = 2048, 0
 GROUP = 20_000
-#: Steps the local search spends on one bin, and bins that it gives up before it ends.
-PATIENCE, GIVEN_UP = 400, 12
 #: Chunks whose ids a worker holds: about 250 bytes each.
 RECENT_CHUNKS = 1_000_000
 
@@ -125,17 +123,18 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Empty bins by moves, one-for-one and two-for-one exchanges, until none helps or the bound is reached.
+    """Empty bins by moves, one-for-one and two-for-one exchanges, until none helps or no fewer bins can hold the items.
 
-    Each step moves tokens from the emptiest bin to one at least as full, which raises the sum of squared fills.
+    Each step moves tokens out of the emptiest bin that has one to a bin at least as full, which raises the sum of
+    squared fills, so the search ends.  A bin without a step is set aside, and tried again as long as others change.
     """
     least = math.ceil(int(lengths.sum()) / capacity)
-    count, stuck = len(bins), 0
+    count, changed = len(bins), False
     fills = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
     home = np.empty(len(lengths), dtype=np.int64)
     for b, items in enumerate(bins):
         home[items] = b
-    given_up = np.zeros(len(bins), dtype=bool)
+    aside = np.zeros(len(bins), dtype=bool)
     members = [set(b) for b in bins]
 
     def move(item: int, to: int) -> None:
@@ -146,27 +145,28 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
         fills[to] += lengths[item]
         home[item] = to
 
-    while count > least and given_up.sum() < GIVEN_UP:
-        alive = np.flatnonzero((fills > 0) & (fills < capacity) & ~given_up)
-        if len(alive) < 2:
-            break
+    while count > least:
+        alive = np.flatnonzero((fills > 0) & (fills < capacity) & ~aside)
+        if not len(alive):
+            if not changed:
+                break  # no bin has a step
+            aside[:], changed = False, False
+            continue
         poorest = int(alive[np.argmin(fills[alive])])
-        others = np.flatnonzero((fills > 0) & (fills < capacity))
+        others = np.flatnonzero((fills >= fills[poorest]) & (fills < capacity))
         others = others[others != poorest]
-        if not len(others) or int((capacity - fills[others]).sum()) < int(fills[poorest]):
-            break  # the other bins' room together is too small
-        step = _step(poorest, others, members, fills, home, lengths, capacity)
-        stuck += 1
-        if step is None or stuck > PATIENCE:
-            given_up[poorest], stuck = True, 0
+        step = _step(poorest, others, members, fills, home, lengths, capacity) if len(others) else None
+        if step is None:
+            aside[poorest] = True
             continue
+        changed = True
         out, back, to = step
         for item in out:
             move(item, to)
         if back is not None:
             move(back, poorest)
         if fills[poorest] == 0:
-            count, stuck = count - 1, 0
+            count -= 1
     return [sorted(m) for m in members if m]
 
 
@@ -174,21 +174,29 @@ def _step(poorest, others, members, fills, home, lengths, capacity):
     """The step that moves most tokens out of a bin: (items out, item back or None, bin to)."""
     room = capacity - fills[others]
     mine = sorted(members[poorest], key=lambda i: -lengths[i])
+    most = room.max()
     for item in mine:  # move whole documents, to the fullest bin that takes them
-        fits = room >= lengths[item]
-        if fits.any():
+        if lengths[item] <= most:
+            fits = room >= lengths[item]
             return (item,), None, int(others[fits][np.argmin(room[fits])])
-    there = np.flatnonzero(np.isin(home, others))
+    open_bin = np.zeros(len(fills), dtype=bool)
+    open_bin[others] = True
+    there = np.flatnonzero(open_bin[home])
     limit = (capacity - fills[home[there]]) + lengths[there]  # the most that can take the item's place
-    best, gain = None, 0
-    singles = [((i,), int(lengths[i])) for i in mine]
-    pairs = [((a, b), int(lengths[a] + lengths[b])) for k, a in enumerate(mine[:24]) for b in mine[k + 1 : 24]]
-    for out, n in singles + pairs:
-        more = np.where(limit >= n, n - lengths[there], 0)
-        k = int(np.argmax(more)) if len(more) else 0
-        if len(more) and more[k] > gain:
-            best, gain = (out, int(there[k]), int(home[there[k]])), int(more[k])
-    return best
+    shortest = np.full(capacity + 1, capacity + 1, dtype=np.int64)  # of the items with a limit of at least so much
+    np.minimum.at(shortest, limit, lengths[there])
+    shortest = np.minimum.accumulate(shortest[::-1])[::-1]
+    by_length: dict[int, list[int]] = {}  # items of one length are alike, and a bin has few lengths
+    for i in mine:
+        by_length.setdefault(int(lengths[i]), []).append(i)
+    kinds = list(by_length)
+    sums = [((n,), n) for n in kinds] + [((a, b), a + b) for k, a in enumerate(kinds) for b in kinds[k:] if a != b or len(by_length[a]) > 1]
+    parts, n = max(sums, key=lambda s: s[1] - shortest[s[1]])
+    if n <= shortest[n]:
+        return None
+    k = int(there[np.flatnonzero((limit >= n) & (lengths[there] == shortest[n]))[0]])
+    out = (by_length[parts[0]][0],) if len(parts) == 1 else (by_length[parts[0]][0], by_length[parts[1]][1 if parts[0] == parts[1] else 0])
+    return out, k, int(home[k])
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
