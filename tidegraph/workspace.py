@@ -45,4 +45,14 @@ def keep(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataF
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._scratch = path
+    return kept
+
+
+def release(*kept: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote and that no DataFrame still to be run reads."""
+    for df in kept:
+        hadoop_path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        fs = hadoop_path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(hadoop_path, True)
