@@ -430,6 +430,20 @@ def test_near_duplicates_of_many_edits(spark, monkeypatch):
     same(neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept").collect(), components_of(rows))
 
 
+def test_common_shingles():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a, b = ([np.unique(rng.choice(3000, n)) for n in (0, 5, 400, 3000)[k:]] for k in (0, 1))
+    assert neardup.common_shingles(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+def test_near_duplicates_of_string_ids(spark):
+    rows = [(f"d{k}", f"one two three four five six {'seven' if k < 3 else k}") for k in range(6)] + [("d0", "another text of the first one here"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    same(neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept").collect(), components_of(rows))
+
+
 def test_block_links_are_those_of_brute_force():
     import numpy as np
     import pandas as pd
@@ -437,7 +451,8 @@ def test_block_links_are_those_of_brute_force():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.choice(60, 40)) for _ in range(12)] + [np.arange(45), np.arange(44), np.arange(100, 130), np.arange(100, 131)]
     labels = [0, 0, *range(2, 16)]
-    rows = pd.DataFrame({"home": 0, "lo": 0, "hi": 1, "block": [i % 2 for i in range(16)], "rep": range(16), "label": labels, "shingles": sets})
+    whole = [bytes(k in s for k in map(int, np.arange(131))) for s in sets]  # presence in place of minima: as alike as the sets are, or more
+    rows = pd.DataFrame({"home": 0, "lo": 0, "hi": 1, "block": [i % 2 for i in range(16)], "rep": range(16), "label": labels, "minima": whole, "shingles": sets})
     found = {tuple(r) for r in neardup.block_links(rows).itertuples(index=False)}
     assert (14, 15) in found and all((i + j) % 2 for i, j in found)
     for i, j in found:
