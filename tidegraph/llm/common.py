@@ -7,6 +7,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 WHITE = " \t\n\x0b\f\r"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def map_texts(docs: DataFrame, work: Callable[[list, list[str]], dict], fields: list[T.StructField], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Run ``work(rows of the kept columns, texts)`` over Arrow batches of ``docs``.
 
@@ -43,10 +52,17 @@ def map_texts(docs: DataFrame, work: Callable[[list, list[str]], dict], fields:
     return narrow.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch, so that the Python objects of only a few rows exist at a time."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+def _slices(batch: pa.RecordBatch, rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows, and so many bytes of text unless one row has more: the Python objects of only a few rows exist at a time."""
+    sizes = pc.binary_length(batch.column("text")).to_pylist()
+    start = held = 0
+    for at, n in enumerate(sizes):
+        if at - start == rows or (at > start and held + n > size):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 class BoundedCache(dict):
@@ -75,6 +91,16 @@ class BoundedCache(dict):
         self.update((k, v) for k, v in new.items() if len(k) <= self._longest)
         self._turn()
 
+    def among(self, keys, make: Callable) -> dict:
+        """The values of distinct keys; ``make`` gives those of all that are not held, as a dict."""
+        found = {k: self.get(k) for k in keys}
+        new = {k: self.older.get(k) for k, v in found.items() if v is None}
+        new.update(make([k for k, v in new.items() if v is None]))
+        found.update(new)
+        self.update((k, v) for k, v in new.items() if len(k) <= self._longest)
+        self._turn()
+        return found
+
     def _turn(self) -> None:
         if len(self) >= self._half:
             self.older = dict(self)
