@@ -1,23 +1,27 @@
 """Operator 2: line dedup over levelled sorted runs of line hashes.  DataFrame functions only.
 
-A run is a table (h1, h2, n_docs) sorted by a 128-bit hash of line keys.  A batch of documents becomes one
-run of level 0; when a level holds ``fanout`` runs they are merged into one run of the next level, so a
-key is rewritten a logarithmic number of times.  A line goes when its key's runs add up to at least
-``min_docs`` documents.
+A run is a table (h1, h2, n_docs) sorted by a 128-bit hash of line keys.  Documents come in batches.  The
+counted keys of a batch are merge-anti-joined with the keys that the runs already know to be frequent, as
+nothing more is to be learnt of those, and the rest becomes one run of level 0; when a level holds ``fanout``
+runs they are merged into one run of the next level, so a key is rewritten a logarithmic number of times.  A
+line goes when its key's runs add up to at least ``min_docs`` documents, from the documents of all batches.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import keep
-from .common import WHITE
+from ..workspace import keep, release
+from .common import WHITE, unused
 
 MIN_DOCS = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A batch has about so many bytes, as the optimiser estimates them; and how few and how many batches there are (it calls what it cannot estimate huge).
+BATCH_BYTES, LEAST_BATCHES, MOST_BATCHES = 1 << 40, 4, 64
 
 
 def line_key(line: Column) -> Column:
@@ -25,6 +29,11 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
 
 
+def key_hash(key: Column) -> tuple[Column, Column]:
+    """The 128 bits that stand for a key."""
+    return F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")
+
+
 def text_lines(text: Column) -> Column:
     """The lines of a text; a null or empty text is one empty line."""
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -32,79 +41,101 @@ def text_lines(text: Column) -> Column:
 
 def batch_keys(docs: DataFrame) -> DataFrame:
     """``doc_id, h1, h2``: the distinct keys of each document; keys without a character are left out."""
-    keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(text_lines(F.col("text")), line_key))).alias("__key"))
-    return keys.where("__key <> ''").select("doc_id", F.xxhash64("__key").alias("h1"), F.xxhash64(F.lit(1), "__key").alias("h2")).distinct()
+    keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(text_lines(F.col("text")), line_key))).alias("key"))
+    return keys.where("key <> ''").select("doc_id", *key_hash(F.col("key"))).distinct()
 
 
 class LineRuns:
     """The runs of each level, in the shared folder."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = 4):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.levels: list[list[DataFrame]] = []
 
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
 
     def add(self, keys: DataFrame) -> None:
-        """Add a batch of (doc_id, h1, h2), distinct, of documents in no earlier batch; compact full levels."""
+        """Add a batch of (doc_id, h1, h2), distinct, of documents in no earlier batch; compact full levels.
+
+        Keys that a run holds as frequent are left out: their count is beyond ``min_docs`` whatever comes.
+        """
         run = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
-        level = 0
+        if known := self.runs():
+            frequent = reduce(DataFrame.unionByName, known).where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+            run = run.join(frequent.hint("merge"), ["h1", "h2"], "left_anti")
+        level, merged = 0, []
         while True:
             run = keep(run.sortWithinPartitions("h1", "h2"), f"line-run-{level}")
+            release(*merged)
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fanout:
                 return
-            run, self.levels[level] = self._merged(self.levels[level]), []
+            merged = self.levels[level]
+            run, self.levels[level] = self._merged(merged), []
             level += 1
 
-    def frequent(self, min_docs: int) -> DataFrame:
+    def frequent(self) -> DataFrame:
         """``h1, h2`` of keys in at least ``min_docs`` documents of all batches."""
-        runs = [r for level in self.levels for r in level]
-        return self._merged(runs).where(F.col("n_docs") >= min_docs).select("h1", "h2")
+        return keep(self._merged(self.runs()).where(F.col("n_docs") >= self.min_docs).select("h1", "h2"), "frequent-lines")
 
 
-def without_lines(docs: DataFrame, keys: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``docs`` with ``__lines`` (before) and ``__kept``: the merge anti-join of each document's lines with the frequent keys.
+def without_lines(docs: DataFrame, keys: DataFrame, frequent: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a struct of ``before`` and ``kept``, the lines and what the frequent keys leave of them, and its name.
 
     The frequent keys of each document are gathered, by an id, and the lines are tested where they are, so
-    lines are not shuffled one by one and keep their order.
+    lines are not shuffled one by one and keep their order.  Both sides of the join with the frequent keys are
+    read from tables, so that adaptive execution splits the documents of a very common line among tasks.
     """
-    hot = keys.join(frequent, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_set("h1").alias("__hot")).withColumnRenamed("doc_id", "__id")
-    lined = docs.join(hot, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id").withColumn("__lines", text_lines(F.col("text")))
-    fresh = F.filter("__lines", lambda line: (line_key(line) == "") | ~F.array_contains(F.col("__hot"), F.xxhash64(line_key(line))))
-    return lined.withColumn("__kept", F.when(F.col("__hot").isNull(), F.col("__lines")).otherwise(fresh)).drop("__hot")
+    place, held, name = (unused(docs, x) for x in ("line_doc", "line_keys", "lines"))
+    hot = keys.join(frequent.hint("merge"), ["h1", "h2"], "left_semi").groupBy(F.col("doc_id").alias(place)).agg(F.collect_set(F.struct("h1", "h2")).alias(held))
+    lined = docs.join(hot.hint("merge"), docs["doc_id"].eqNullSafe(hot[place]), "left").drop(place)
+    lines = text_lines(F.col("text"))
+    gone = lambda line: F.array_contains(held, F.struct(*key_hash(line_key(line))))
+    fresh = F.filter(lines, lambda line: (line_key(line) == "") | ~gone(line))
+    both = F.struct(lines.alias("before"), F.when(F.col(held).isNull(), lines).otherwise(fresh).alias("kept"))
+    return lined.select(*(F.col(f"`{c}`") for c in docs.columns), both.alias(name)), name
 
 
-def frequent_keys(docs: DataFrame, min_docs: int = MIN_DOCS, batch_bits: int = 2) -> tuple[DataFrame, DataFrame]:
-    """The documents' keys, and those in at least ``min_docs`` documents, by adding ``2 ** batch_bits`` batches to runs.
+def frequent_keys(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents' keys, and those in at least ``min_docs`` documents, by adding batches to runs.
 
-    Equal ``doc_id`` are one document, so they go to one batch: the leading bits of the id's hash.
+    Equal ``doc_id`` are one document, so they go to one batch: by the id's hash.  Without ``batches`` their number
+    follows the estimated size of ``docs``; it changes cost, never results.
     """
     spark = docs.sparkSession
-    batch = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - batch_bits).cast("int")
-    keys = keep(batch_keys(docs.select("doc_id", "text")).withColumn("batch", batch), "line-keys", ("batch",))
-    runs = LineRuns(spark)
-    for b in range(1 << batch_bits):
+    if batches is None:
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        batches = min(max(LEAST_BATCHES, math.ceil(size / BATCH_BYTES)), MOST_BATCHES)
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    found = batch_keys(docs.select("doc_id", "text")).withColumn("batch", batch)
+    keys = keep(found.hint("rebalance", "batch"), "line-keys", ("batch",))
+    runs = LineRuns(spark, min_docs)
+    for b in range(batches):
         runs.add(keys.where(F.col("batch") == b).drop("batch"))
-    return keys.drop("batch"), runs.frequent(min_docs)
+    frequent = runs.frequent()
+    release(*runs.runs())
+    return keys.drop("batch"), frequent
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of ``docs`` with ``text`` replaced by its kept lines and, if there, ``n_chars`` counted anew.
 
-    Null texts stay null; a text of which nothing is kept is empty.
+    Null texts stay null; a text of which nothing is kept is empty.  Rows with the same ``doc_id`` (null
+    included) are one document to the counts; an empty table stays empty; columns of any name may be there.
     """
-    keys, frequent = frequent_keys(docs, min_docs)
-    columns = docs.columns
-    out = without_lines(docs, keys, frequent)
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join("__kept", "\n")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    out, name = without_lines(docs, *frequent_keys(docs, min_docs))
+    text = F.when(F.col("text").isNotNull(), F.array_join(F.col(name)["kept"], "\n"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -115,7 +146,7 @@ def line_report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     result; further columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    keys, frequent = frequent_keys(docs, min_docs)
-    out = without_lines(docs, keys, frequent)
-    n, kept = F.size("__lines").cast("long"), F.size("__kept").cast("long")
-    return out.select("doc_id", n.alias("n_lines"), (n - kept).alias("n_dropped"), F.sha2(F.array_join("__kept", "\n").cast("binary"), 256).alias("kept_sha256"))
+    out, name = without_lines(docs, *frequent_keys(docs, min_docs))
+    before, kept = F.col(name)["before"], F.col(name)["kept"]
+    n, left = F.size(before).cast("long"), F.size(kept).cast("long")
+    return out.select("doc_id", n.alias("n_lines"), (n - left).alias("n_dropped"), F.sha2(F.array_join(kept, "\n").cast("binary"), 256).alias("kept_sha256"))
