@@ -155,7 +155,7 @@ def links_across(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataF
     group = labelled.join(home.hint("merge"), "key").select("home", "rep", "label").distinct()
     group = keep(group.join(sets.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles")).hint("merge"), "rep").withColumn("stray", F.col("label") != F.col("home")), "groups")
     weight = lambda stray: F.ceil(F.sum(F.when(F.col("stray") == stray, F.col("n_shingles") + EACH)) / BLOCK).cast("int")
-    blocks = group.groupBy("home").agg(weight(True).alias("strays"), F.coalesce(weight(False), F.lit(0)).alias("own"))
+    blocks = keep(group.groupBy("home").agg(weight(True).alias("strays"), F.coalesce(weight(False), F.lit(0)).alias("own")), "blocks")  # a table, so that a large home's rows can be split
     # blocks of strays come first; each meets all blocks, and a block of the home those of strays
     placed = group.drop("n_shingles").join(blocks.hint("merge"), "home")
     in_strays, in_own = F.pmod(F.xxhash64("rep"), F.col("strays")), F.col("strays") + F.pmod(F.xxhash64("rep"), F.col("own"))
@@ -165,7 +165,7 @@ def links_across(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataF
     kind = group.schema["rep"].dataType.simpleString()
     filled = placed.join(sets.select("rep", "minima", "shingles").hint("merge"), "rep")
     links = keep(filled.groupBy("home", "lo", "hi").applyInPandas(block_links, f"u {kind}, v {kind}"), "links")
-    release(group)
+    release(group, blocks)
     return links
 
 
