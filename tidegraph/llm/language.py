@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from .common import map_texts
 
 SAMPLE, PER_CLASS, LANDMARKS = 4000, 500, 160
+CELL_BITS = 12
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -105,10 +106,16 @@ def train(labelled: DataFrame, sample: int = SAMPLE, per_class: int = PER_CLASS)
 
     Only sets of n-grams reach the driver: at most ``sample`` of them.
     """
-    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("__th", F.xxhash64("text"))
+    usable = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").withColumn("__th", F.xxhash64("text"))
     h = F.xxhash64("doc_id", "__th")
+    # by counts of the hashes' leading bits, the rows that can be among the least of their language: so a common one is no single group
+    cell = F.shiftright(h, 64 - CELL_BITS)
+    cells = usable.groupBy("lang", cell.alias("__cell")).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy("lang").orderBy("__cell"))  # at most 2 ** CELL_BITS rows a language
+    last = cells.withColumn("__upto", upto).where(F.col("__upto") - F.col("__n") < per_class).groupBy("lang").agg(F.max("__cell").alias("__last"))
+    least = usable.select("doc_id", "lang", "__th").join(F.broadcast(last), "lang").where(cell <= F.col("__last"))  # a row a language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))
-    ids = usable.select("doc_id", "lang", "__th").withColumn("__rank", rank).where(F.col("__rank") <= per_class).orderBy("__rank", h, "doc_id", "lang").limit(sample)
+    ids = least.select("doc_id", "lang", "__th").withColumn("__rank", rank).where(F.col("__rank") <= per_class).orderBy("__rank", h, "doc_id", "lang").limit(sample)
     ids = ids.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("__th").alias("__h")).distinct()
     chosen = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("lang") == F.col("__lang")) & (F.col("__th") == F.col("__h"))
     rows = usable.join(F.broadcast(ids), chosen).select("doc_id", "lang", "text").distinct()  # repeated rows of one document once
