@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import map_texts, unused
 
 UNIT = 576
 RATE = 16_000
@@ -246,7 +246,8 @@ def sniff_column(rows: DataFrame) -> DataFrame:
         got = [(d, []) if b is None else correct(d, bytes(b)) for d, b in zip(declared, data, strict=True)]
         return pd.DataFrame({"actual": [k for k, _ in got], "embedded": [[{"kind": f.kind, "start": f.start, "stop": f.stop} for f in e] for _, e in got]})
 
-    return rows.withColumn("__f", found("declared", "media")).select("*", "__f.actual", "__f.embedded").drop("__f")
+    name = unused(rows, "found")
+    return rows.withColumn(name, found("declared", "media")).select("*", f"{name}.actual", f"{name}.embedded").drop(name)
 
 
 def media_report(docs: DataFrame) -> DataFrame:

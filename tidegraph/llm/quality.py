@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, map_texts, resident
+from .common import WHITE, map_texts, resident, unused
 
 #: Rules in the order of their bits.
 RULES = ("few_words", "repeated_words", "word_length", "symbols", "repeated_lines")
@@ -116,8 +116,12 @@ def quality_report(docs: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with all their columns, in one pass over the texts."""
-    columns = docs.columns
+    """The rows of ``docs`` that a policy keeps, with all their columns, in one pass over the texts.
+
+    Null and empty texts have no words and go; repeated rows are judged alike; an empty table stays empty;
+    columns of any name may be there.
+    """
+    name = unused(docs, "measures")
 
     @F.pandas_udf("struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">")
     def measured(texts):
@@ -126,5 +130,5 @@ def filter_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
         resident("quality", dict)  # nothing to hold: frees what a stage before has left
         return pd.DataFrame([measure(t or "") for t in texts], columns=list(MEASURES))
 
-    judged = docs.withColumn("__m", measured("text"))
-    return judged.where(failures("__m.").bitwiseAND(F.lit(mask(POLICIES[version]))) == 0).select(*columns)
+    judged = docs.withColumn(name, measured("text"))
+    return judged.where(failures(f"{name}.").bitwiseAND(F.lit(mask(POLICIES[version]))) == 0).drop(name)

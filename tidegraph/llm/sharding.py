@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workspace import keep
+from .common import unused
 
 SHARDS = 8
 BITS = 4
@@ -128,8 +129,8 @@ def cut_runs(rows: DataFrame, total: int, shards: int) -> DataFrame:
     return rows.withColumn("shard", shard).withColumn("slot", (rank - start).cast("long")).drop("__rank")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """``doc_id, size, text_crc32, lang, source, hilbert, shard, slot`` for each row of ``docs``.
+def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, whole: bool = False) -> DataFrame:
+    """``doc_id, size, text_crc32, lang, source, hilbert, shard, slot`` for each row of ``docs``; with ``whole`` also ``row``, a struct of all its columns.
 
     Law: ``rows``.  Size: UTF-8 bytes of the text (null: 0) plus 1.  Null languages and sources come first;
     ties on the curve are ordered by text and id; equal rows in either order.  An empty table gives an
@@ -137,7 +138,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) ->
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     known = {c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")}
-    meta = keep(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *(c.alias(k) for k, c in known.items())), "shard-meta")
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * whole
+    meta = keep(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *(c.alias(k) for k, c in known.items()), *row), "shard-meta")
     dims = {"lang": F.col("lang"), "source": F.col("source"), "size": F.col("size")}
     celled = quantised(meta, dims, bits)
     n, side = len(dims), 1 << bits
@@ -155,8 +157,10 @@ def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write ``docs`` as one folder for each shard, rows in slot order within a file."""
-    places = shard_documents(docs, shards).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot").dropDuplicates(["__id", "__crc"])
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    placed = docs.withColumn("__c", crc).join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__c") == F.col("__crc")))
-    placed.drop("__id", "__crc", "__c").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Write ``docs``, all rows and columns, as one folder ``shard=N`` for each shard, rows in slot order within a file.
+
+    Repeated rows and rows without an id are written each.  If ``docs`` has a column ``shard``, the folders are ``shard_=N``.
+    """
+    shard, slot = unused(docs, "shard"), unused(docs, "slot")
+    placed = shard_documents(docs, shards, whole=True).select("row.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
+    placed.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).parquet(path)
