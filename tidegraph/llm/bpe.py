@@ -19,11 +19,13 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import BoundedCache, map_texts
 
 NEVER = 1 << 62
 #: The word pattern in the vocabulary file.
@@ -184,7 +186,7 @@ class WordBpe:
         self._marks = [t[:2] for t in self.added]
         self._library = None
         self.kind = np.dtype("<u2" if max(self.tokens) < 1 << 16 else "<u4")
-        self._words: dict[str, bytes] = {}
+        self._words = BoundedCache(None, CACHED_WORDS)
 
     # -- cutting -------------------------------------------------------------------------------
 
@@ -204,6 +206,17 @@ class WordBpe:
         """The chunks between white space of a plain text."""
         return self.folded(text).split()
 
+    def factorised(self, texts: list[str]) -> tuple[list[int], list[str], np.ndarray, np.ndarray]:
+        """The plain texts among some: their places, the distinct chunks of all, each chunk's number, and where each text's chunks begin and end.
+
+        Chunks repeat, so what follows costs a look-up a distinct chunk and array operations for the rest.  A
+        text without chunks has the empty chunk.
+        """
+        rows = [i for i, t in enumerate(texts) if self.plain(t)]
+        lists = pc.utf8_split_whitespace(pa.array([self.folded(texts[i]).strip() for i in rows], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        return rows, coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
+
     def odd_parts(self, text: str):
         """Any text, part by part: an added token's id, or the words of what lies between, by the library."""
         if self._library is None:
@@ -253,13 +266,8 @@ class WordBpe:
         return out
 
     def words_ids(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of all the words: from the cache, else merged and kept while there is room."""
-        known = self._words
-        need = [w for w in words if w not in known]
-        made = self.merge_words(need)
-        if len(known) + len(made) <= CACHED_WORDS:
-            known.update((w, i) for w, i in made.items() if len(w) <= 64)
-        return {w: known.get(w) or made[w] for w in words}
+        """Ids of all the words: from the cache, else merged."""
+        return self._words.among(words, self.merge_words)
 
     def chunk_ids(self, chunks) -> dict[str, bytes]:
         """Ids of each of some chunks, as bytes."""
@@ -296,25 +304,32 @@ class _Strings(WordBpe):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self._made: dict[str, tuple[str, str]] = {}
+        self._made = BoundedCache(None, CACHED_CHUNKS)
         self._decimal = [str(i) for i in range(max(self.tokens) + 1)]
         self._token = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
 
-    def of(self, texts: list[list[str] | None]) -> list[list[tuple[str, str]] | None]:
-        """What is kept of each chunk of each text (None: as given)."""
-        made, get = self._made, self._made.get
-        got = [t and list(map(get, t)) for t in texts]
-        lacking = [k for k, g in enumerate(got) if g and None in g]
-        need = {c for k in lacking for c, g in zip(texts[k], got[k], strict=True) if g is None}
+    def _strings(self, chunks: list[str]) -> dict[str, tuple[str, str]]:
         decimal, token, new = self._decimal, self._token, {}
-        for chunk, data in self.chunk_ids(need).items():
+        for chunk, data in self.chunk_ids(chunks).items():
             ids = np.frombuffer(data, dtype=self.kind).tolist()
             new[chunk] = " ".join([decimal[i] for i in ids]), " ".join([token[i] for i in ids])
-        if len(made) + len(new) <= CACHED_CHUNKS:
-            made.update((c, x) for c, x in new.items() if len(c) <= 64)
-        for k in lacking:
-            got[k] = [g or new[c] for c, g in zip(texts[k], got[k], strict=True)]
-        return got
+        return new
+
+    def of(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """The number of ids of each text, the ids in decimal and their decoding."""
+        rows, chunks, codes, stops = self.factorised(texts)
+        made = self._made.among(chunks, self._strings)
+        numbers, decoded = (np.array([made[c][k] for c in chunks], dtype=object) for k in (0, 1))
+        out: list = [None] * len(texts)
+        for i, first, last in zip(rows, stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+            part = codes[first:last]
+            joined = " ".join(numbers[part].tolist())
+            out[i] = joined.count(" ") + 1 if joined else 0, joined, " ".join(decoded[part].tolist())
+        for i, text in enumerate(texts):
+            if out[i] is None:
+                ids = self.encode(text)
+                out[i] = len(ids), " ".join(map(str, ids)), self.decode(ids)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -354,17 +369,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def work(_, texts):
-        v, out = _strings(path), {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        cut = [v.chunks(t) if v.plain(t) else None for t in texts]
-        for text, chunks, got in zip(texts, cut, v.of(cut), strict=True):
-            if got:
-                numbers, decoded = map(" ".join, zip(*got, strict=True))
-                n = numbers.count(" ") + 1
-            elif chunks is not None:
-                n, numbers, decoded = 0, "", ""
-            else:
-                ids = v.encode(text)
-                n, numbers, decoded = len(ids), " ".join(map(str, ids)), v.decode(ids)
+        out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for n, numbers, decoded in _strings(path).of(texts):
             out["n_tokens"].append(n)
             out["ids_sha256"].append(hashlib.sha256(numbers.encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())

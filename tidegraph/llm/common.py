@@ -86,11 +86,6 @@ class BoundedCache(dict):
             self._turn()
         return value
 
-    def put(self, new: dict) -> None:
-        """Add values that were computed together."""
-        self.update((k, v) for k, v in new.items() if len(k) <= self._longest)
-        self._turn()
-
     def among(self, keys, make: Callable) -> dict:
         """The values of distinct keys; ``make`` gives those of all that are not held, as a dict."""
         found = {k: self.get(k) for k in keys}

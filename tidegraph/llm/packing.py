@@ -42,25 +42,33 @@ class LibraryIds(WordBpe):
         self.library.no_truncation()
         self.library.no_padding()
         self._marks = [t.content[:2] for t in self.library.get_added_tokens_decoder().values()]
-        self._ids = BoundedCache(self.whole, cached)
+        self._ids = BoundedCache(None, cached)
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        known, get = self._ids, self._ids.get
-        cut = [self.chunks(t) if self.plain(t) else None for t in texts]
-        got = [c and list(map(get, c)) for c in cut]
-        lacking = [k for k, g in enumerate(got) if g and None in g]
-        need = {c for k in lacking for c, g in zip(cut[k], got[k], strict=True) if g is None}
-        new = {c: known.older[c] for c in need if c in known.older}
-        need = list(need - new.keys())
-        for start in range(0, len(need), 1024):  # an encoding is much larger than its ids
-            part = need[start : start + 1024]
+        rows, chunks, codes, stops = self.factorised(texts)
+        made = self._ids.among(chunks, self._encoded)
+        ids = [made[c] for c in chunks]
+        sizes = np.array([len(b) >> 2 for b in ids], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        # each chunk's ids lie together: from where they begin, counting on
+        place = np.repeat(starts[codes] - ends[:-1], lengths) + np.arange(ends[-1])
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")[place]
+        bounds = ends[stops]
+        out: list = [None] * len(texts)
+        for i, first, last in zip(rows, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i] = flat[first:last].tobytes()
+        return [self.whole(t) if b is None else b for t, b in zip(texts, out, strict=True)]
+
+    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for start in range(0, len(chunks), 1024):  # an encoding is much larger than its ids
+            part = chunks[start : start + 1024]
             coded = self.library.encode_batch_fast(part, add_special_tokens=False)
-            new.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, coded, strict=True))
-        known.put(new)
-        for k in lacking:
-            got[k] = [new[c] if g is None else g for c, g in zip(cut[k], got[k], strict=True)]
-        return [self.whole(t) if g is None else b"".join(g) for t, g in zip(texts, got, strict=True)]
+            out.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, coded, strict=True))
+        return out
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

@@ -16,6 +16,7 @@ from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -83,8 +84,9 @@ class PrefixCounter(WordBpe):
 
     def _keep(self, key: int) -> bool:
         found = self._unwind(key >> 20, key & 0xFFFFF)
-        if len(self._stands) < PAIRS:
-            self._stands[key] = found
+        if len(self._stands) >= PAIRS:
+            self._stands.clear()
+        self._stands[key] = found
         return found
 
     def _word_counts(self, word: str):
@@ -144,6 +146,15 @@ class PrefixCounter(WordBpe):
             return sum([totals[c] for c in self.chunks(text)])
         return self._odd_counts(text)
 
+    def many(self, texts: list[str]) -> list[int]:
+        """Tokens of each whole text."""
+        rows, chunks, codes, stops = self.factorised(texts)
+        made = self.chunk_totals.among(chunks, lambda lacking: {c: self._chunk_total(c) for c in lacking})
+        totals = np.array([made[c] for c in chunks], dtype=np.int64)
+        sums = np.concatenate([[0], np.cumsum(totals[codes])])[stops]
+        out = dict(zip(rows, (sums[1:] - sums[:-1]).tolist(), strict=True))
+        return [out[i] if i in out else self._odd_counts(t) for i, t in enumerate(texts)]
+
     def normal_form(self, text: str) -> str:
         """Any text as the library normalises it."""
         next(self.odd_parts(""), None)  # loads the library
@@ -253,7 +264,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     def work(_, texts):
         v = counter(path)
-        n = [v.count(t) for t in texts]
+        n = v.many(texts)
         cuts = [None if k <= limit else v.cut(t, limit) if v.plain(t) else _odd_cut(v, t, limit) for k, t in zip(n, texts, strict=True)]
         return {"n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": n, "over_limit": [k > limit for k in n], "cut_at": cuts}
 
