@@ -63,11 +63,17 @@ class LibraryIds(WordBpe):
         return [self.whole(t) if b is None else b for t, b in zip(texts, out, strict=True)]
 
     def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of distinct chunks: many are encoded as one text, and its ids are cut where the chunks' characters are."""
         out: dict[str, bytes] = {}
-        for start in range(0, len(chunks), 1024):  # an encoding is much larger than its ids
-            part = chunks[start : start + 1024]
-            coded = self.library.encode_batch_fast(part, add_special_tokens=False)
-            out.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, coded, strict=True))
+        for start in range(0, len(chunks), 512):  # an encoding is much larger than its ids
+            part = chunks[start : start + 512]
+            coded = self.library.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(c) + 1 for c in part])
+            stops = 4 * np.searchsorted([first for first, _ in coded.offsets], ends)
+            ids, before = np.array(coded.ids, dtype="<u4").tobytes(), 0
+            for chunk, stop in zip(part, stops.tolist(), strict=True):
+                out[chunk] = ids[before:stop]
+                before = stop
         return out
 
     def whole(self, text: str) -> bytes:
