@@ -38,9 +38,29 @@ def test_events_are_sorted_by_time_kind_and_input(spark):
     assert rows_of(log, "t", "kind", "src", "dst", "nid") == [(1, 0, 10, 20, None), (5, 0, 2, 3, None), (6, 1, None, None, 3), (7, 1, None, None, 2), (8, 1, None, None, 1)]
 
 
+def test_ordinals_keep_their_types(spark):
+    edges = spark.createDataFrame([(1, 2, 5, 2**53 + 1), (3, 4, 5, 2**53), (5, 6, 5, 2**53 + 2)], E)
+    labels = spark.createDataFrame([(1, 5, "b"), (2, 5, "a")], "nid long, t long, o string")
+    log = EventLog.of(edges, None, labels, order={0: ["o"], 2: ["o"]})
+    assert rows_of(log, "src", "nid") == [(3, None), (1, None), (5, None), (None, 2), (None, 1)]
+
+
+def test_a_stored_log_keeps_its_order_and_slices_reach_the_files(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log = log_of(spark, [(1, 2, 3), (2, 1, 1), (3, 4, 2)], x=[(1, 1)], delta="s").slice_time(0, 9)
+    log.write(path)
+    back = EventLog.read(spark, path)
+    assert sorted(map(tuple, back.events.collect())) == sorted(map(tuple, log.events.collect()))
+    assert (back.delta, back.bounds, back.dense, back.nodes) == (log.delta, (0, 9), False, None)
+    view = back.slice_time(1, 3).slice_events(1, 3)
+    assert rows_of(view, "event_idx", "t") == [(1, 1), (2, 2)]
+    plan = view.events._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(" in plan and "Window" not in plan and "Exchange" not in plan
+
+
 def test_range_ranking_equals_a_global_sort(spark):
     rows = spark.range(500).selectExpr("(id * 37) % 501 AS a", "id % 3 AS b")
-    got = global_rank(rows, ["b", "a"], "place", small=0).collect()
+    got = global_rank(rows, ["b", "a"], "place").collect()
     expected = sorted((r["b"], r["a"]) for r in got)
     assert [(r["b"], r["a"]) for r in sorted(got, key=lambda r: r["place"])] == expected and sorted(r["place"] for r in got) == list(range(500))
 

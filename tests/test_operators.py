@@ -159,7 +159,7 @@ def test_walks_equal_dense_matrices(spark):
             a[i] = a[i] + gain
         before = top
     got = [np.zeros((5, 5)) for _ in range(layers + 1)]
-    for r in kernels.walk_matrices(edges, layers, decay, every=2).collect():
+    for r in kernels.walk_matrices(edges, layers, decay).collect():
         got[r["layer"]][r["node"], r["col"]] = r["val"]
     for x, y in zip(got[1:], a[1:], strict=True):
         np.testing.assert_allclose(x, y)
@@ -208,7 +208,7 @@ def test_common_neighbors_of_every_batch_see_the_batches_before(spark):
 
 
 @pytest.mark.parametrize("layers", [1, 2, 3])
-def test_walk_sums_equal_the_fold_over_all_batches(spark, layers):
+def test_walk_matrices_equal_the_fold_over_all_batches(spark, layers):
     rng = random.Random(9)
     triples = [(rng.randrange(5), rng.randrange(5), 3 * i) for i in range(30)]
     decay, state, before = 0.02, {(0, x, x): 1.0 for x in range(5)}, None
@@ -223,5 +223,52 @@ def test_walk_sums_equal_the_fold_over_all_batches(spark, layers):
                 for (i, node, c), v in old.items():
                     if node == m and i < layers:
                         state[i + 1, u, c] += v * 2.718281828459045 ** (-decay * (top - t))
-    got = {(r["layer"], r["node"], r["col"]): r["val"] for r in kernels.walk_sums(edges_of(spark, triples, 3), layers, decay).collect()}
+    got = {(r["layer"], r["node"], r["col"]): r["val"] for r in kernels.walk_matrices(edges_of(spark, triples, 3), layers, decay).where("layer > 0").collect()}
     assert got == pytest.approx({k: v for k, v in state.items() if k[0] > 0})
+
+
+def test_scalar_and_vector_functions(spark):
+    from pyspark.sql import functions as F
+
+    from tidegraph.functions import scalar
+
+    row = spark.createDataFrame([([1.0, 2.0, 3.0], [True, True, False], [1, 2, 3])], "a array<double>, ok array<boolean>, n array<int>").select(
+        scalar.softmax(F.col("a")).alias("soft"), scalar.softmax(F.col("a"), F.col("ok")).alias("masked"), scalar.vector_sum(F.col("a"), F.col("a")).alias("sum"), scalar.dot(F.col("a"), F.col("a")).alias("dot"),
+        *(f(F.col("n"), k, F.lit(-1)).alias(f"{f.__name__}{k}") for f in (scalar.pad_left, scalar.pad_right) for k in (2, 5)),
+        kernels.merge(F.col("a"), F.col("a")).alias("concat"), kernels.merge(F.col("a"), F.col("a"), "sum", (2.0, 1.0)).alias("weighted"), kernels.patches(F.col("n"), 2).alias("patches"),
+    ).first()
+    total = sum(2.718281828459045**x for x in (1, 2, 3))
+    assert row["soft"] == pytest.approx([2.718281828459045**x / total for x in (1, 2, 3)])
+    assert row["masked"] == pytest.approx([1 / (1 + 2.718281828459045), 2.718281828459045 / (1 + 2.718281828459045), 0.0])
+    assert row["sum"] == [2.0, 4.0, 6.0] and row["dot"] == 14.0 and row["concat"] == [1.0, 2.0, 3.0] * 2 and row["weighted"] == [3.0, 6.0, 9.0]
+    assert (row["pad_left2"], row["pad_left5"], row["pad_right2"], row["pad_right5"]) == ([2, 3], [-1, -1, 1, 2, 3], [1, 2], [1, 2, 3, -1, -1])
+    assert row["patches"] == [[1, 2], [3]] and scalar.pretty_number(1500) == "1.5K"
+
+
+def test_pair_features_of_walks(spark):
+    state = spark.createDataFrame([(0, 1, 1, 1.0), (1, 1, 2, 0.5), (0, 2, 2, 1.0), (1, 2, 1, -2.0)], "layer int, node long, col long, val double")
+    pairs = spark.createDataFrame([(7, 1, 2)], "pair_id long, i long, j long")
+    got = {(r["li"], r["lj"]): r["value"] for r in kernels.walk_features(pairs, state).collect()}
+    assert got == pytest.approx({(0, 1): 0.0, (1, 0): 0.4054651081081644})  # log(1 + relu(-2)), log(1 + 0.5)
+
+
+def test_places_of_ids(spark):
+    ids = spark.createDataFrame([(0, 5), (0, 3), (0, -1), (1, 5)], "batch_id long, nid long")
+    got = tracking.global_to_local(ids, tracking.local_ids(ids)).collect()
+    assert sorted((r["batch_id"], r["nid"], r["local_id"]) for r in got if r["nid"] >= 0) == [(0, 3, 0), (0, 5, 1), (1, 5, 0)] and [r["local_id"] for r in got if r["nid"] < 0] == [None]
+
+
+def test_a_hub_is_numbered_in_parts(spark, monkeypatch):
+    from tidegraph.functions import ranking
+
+    monkeypatch.setattr(ranking, "SPAN", 4)
+    rows = spark.createDataFrame([("hub" if i % 5 else "x", i // 3, i) for i in range(60)], "k string, step long, o long")
+    got = {r["o"]: r["n"] for r in ranking.numbered(rows, ["k"], "step", ["o"], "n").collect()}
+    expected, seen = {}, defaultdict(int)
+    for i in range(60):
+        seen["hub" if i % 5 else "x"] += 1
+        expected[i] = seen["hub" if i % 5 else "x"]
+    assert got == expected
+    asked = spark.createDataFrame([("hub", s) for s in range(25)] + [("no", 3)], "k string, step long")
+    before = {(r["k"], r["step"]): r["c"] for r in ranking.count_before(rows, asked, ["k"], "step", "c").collect()}
+    assert before == {("hub", s): sum(1 for i in range(60) if i % 5 and i // 3 < s) for s in range(25)} | {("no", 3): 0}

@@ -84,3 +84,73 @@ def test_recipe(spark):
         assert all(10 <= r["neg"] <= 12 for r in out["neg"].collect())
     with pytest.raises(UndefinedRecipeError):
         recipes.build("nothing")
+
+
+def frame_of(spark, triples, size, labels=()):
+    rows = [(i, i // size, t, 0, s, d, None) for i, (s, d, t) in enumerate(triples)] + [(1000 + i, b, t, 2, None, None, n) for i, (n, b, t) in enumerate(labels)]
+    return BatchFrame(spark.createDataFrame(rows, "event_idx long, batch_id long, t long, kind int, src long, dst long, nid long").selectExpr("*", "cast(null as array<float>) AS edge_x"))
+
+
+TRIPLES = [(1, 2, 0), (2, 3, 1), (1, 3, 2), (3, 4, 3), (2, 4, 4), (1, 4, 5)]
+
+
+def neighbours(out):
+    return sorted((r["seed_id"], r["nbr"]) for r in out["nbr_nids"].select("seed_id", "nbr").collect())
+
+
+def test_state_is_carried_from_one_iteration_to_the_next_until_reset(spark):
+    ops = lambda: (library.RecentNeighbors([2]), library.SeenNodes(), library.HistoricalNegatives())
+    together = ops()
+    whole = frame_of(spark, TRIPLES, 1, [(2, 5, 5), (9, 5, 5)])
+    parts = [BatchFrame(whole.events.where("batch_id < 2")), BatchFrame(whole.events.where("batch_id BETWEEN 2 AND 3").selectExpr("* EXCEPT (batch_id)", "batch_id - 2 AS batch_id")), BatchFrame(whole.events.where("batch_id > 3").selectExpr("* EXCEPT (batch_id)", "batch_id - 4 AS batch_id"))]
+    expected, carried = neighbours(together[0].apply(whole)), ops()
+    found = [n for part in parts for n in neighbours(carried[0].apply(part))]
+    assert sorted(found) == expected and len(expected) > 6
+    carried[0].reset_state()
+    assert neighbours(carried[0].apply(parts[2])) == neighbours(ops()[0].apply(parts[2])) != [n for n in expected if n[0] >= 8]
+    seen = [sorted(r["nid"] for r in carried[1].apply(part)["seen_nodes"].collect()) for part in parts]
+    assert seen == [[], [], [2]] == [[], [], sorted(r["nid"] for r in together[1].apply(whole)["seen_nodes"].collect())]
+    past = [{r["src"]: r["valid"] for r in carried[2].apply(part)["valid_neg_mask"].collect()} for part in parts]
+    assert past == [{1: False, 2: False}, {1: True, 3: False}, {1: True, 2: True}]
+
+
+def test_seeds_of_any_key(spark):
+    frame = frame_of(spark, TRIPLES, 2, [(3, 1, 3), (3, 2, 5)])
+    out = library.RecentNeighbors([2], ["node_y_nids"]).apply(frame)
+    got = {(r["batch_id"], r["node"], r["nbr"]) for r in out["nbr_nids"].collect()}
+    # batch 0 has no seeds, so its edges are in no buffer
+    assert got == {(2, 3, 1), (2, 3, 4)}
+    seeds = frame.with_table("mine", spark.createDataFrame([(2, 4, 9), (2, 4, 9), (2, -1, 9)], "batch_id long, node long, q long"))
+    out = library.RecentNeighbors([3], ["edge_src", "mine"]).apply(seeds)
+    assert sorted((r["node"], r["nbr"]) for r in out["nbr_nids"].where("seed_id < 0").collect()) == [(4, 3), (4, 3)]
+    mask = out["seed_node_nbr_mask"].where("batch_id = 2").collect()
+    assert sorted((r["key"], r["position"]) for r in mask) == [("edge_src", 0), ("edge_src", 1), ("mine", 2), ("mine", 3)]
+
+
+@pytest.mark.parametrize("rows,schema", [([(0, 1)], "batch_id long, node long"), ([(0, 1.5, 1)], "batch_id long, node double, q long"), ([(0, [1], 1)], "batch_id long, node array<long>, q long")])
+def test_seeds_that_are_no_seeds(spark, rows, schema):
+    frame = frame_of(spark, TRIPLES, 2).with_table("mine", spark.createDataFrame(rows, schema))
+    with pytest.raises(ValueError):
+        library.RecentNeighbors([2], ["mine"]).apply(frame)
+
+
+def test_missing_and_bad_seeds(spark):
+    frame = frame_of(spark, TRIPLES, 2)
+    with pytest.raises(ValueError, match="nowhere"):
+        library.RecentNeighbors([2], ["nowhere"]).apply(frame)
+    with pytest.warns(UserWarning, match="mine"):
+        out = library.RecentNeighbors([2], ["edge_src", "mine"]).apply(frame.with_table("mine", None))
+    assert out["nbr_nids"].count() > 0
+    for node, q in ((-2, 1), (1, -1)):
+        bad = frame.with_table("mine", spark.createDataFrame([(1, node, q)], "batch_id long, node long, q long"))
+        with pytest.raises(Exception, match="seed"):
+            library.RecentNeighbors([2], ["mine"]).apply(bad)["seed_nids"].collect()
+
+
+def test_operators_make_what_they_promise(spark):
+    frame = frame_of(spark, TRIPLES, 2, [(3, 1, 3)])
+    frame = BatchFrame(frame.events.selectExpr("*", "cast(null as array<float>) AS x"))
+    prepared = spark.createDataFrame([(1, 2, 0, [4])], "src long, dst long, t long, negs array<long>")
+    for op in (library.RandomNegatives(0, 5, id="r"), library.HistoricalNegatives("h"), library.ListedNegatives(prepared), library.RecentNeighbors([1, 2], id="n"), library.UniformNeighbors(2), library.Deduplication(["neg"]), library.SeenNodes(), library.BatchAnalytics(), library.NodeAnalytics(spark.range(5).withColumnRenamed("id", "nid"))):
+        frame = op.apply(frame)
+        assert op.produces <= set(frame.tables), type(op)

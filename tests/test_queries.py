@@ -39,13 +39,13 @@ def test_entry_point(spark):
 
 
 def test_node_analytics_of_all_nodes(spark, duck):
-    got = {r["nid"] for r in catalogue.QUERIES["node_analytics_all"](spark, SF).select("nid").collect()}
+    got = {r["nid"] for r in catalogue.QUERIES["node_analytics"](spark, SF).select("nid").collect()}
     seen = "SELECT user_id AS nid FROM events WHERE event_type <> 'error' UNION SELECT regexp_extract(props, '[0-9]+')::BIGINT + 1000 FROM events WHERE event_type NOT IN ('signup', 'error')"
     assert got == {n for (n,) in duck.sql(seen).fetchall()}
 
 
 def test_time_encoding_has_both_messages_of_every_edge(spark, duck):
-    got = catalogue.QUERIES["time_encoding_all"](spark, SF).toPandas()
+    got = catalogue.QUERIES["time_encoding"](spark, SF).toPandas()
     (edges,) = duck.sql("SELECT count(*) FROM events WHERE event_type NOT IN ('signup', 'error')").fetchall()[0]
     assert len(got) == 2 * edges and not got.duplicated(["event_idx", "role"]).any()
     first = got[got["dt"] > 1_000_000_000]

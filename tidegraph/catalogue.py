@@ -14,7 +14,7 @@ from .operators import analytics, kernels, metrics, negatives, neighbors, predic
 from .operators.batching import batch_sizes, batched
 from .operators.discretise import discretise
 from .sources.readers import token_transfers
-from .workspace import keep
+from .workspace import keep, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,7 +59,7 @@ def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(on_activity("SELECT event_idx, t, kind::INT AS kind, src, dst, nid FROM log"))
 def event_order(spark, sf_dir):
-    return activity(spark, sf_dir).events.select("event_idx", "t", "kind", "src", "dst", "nid")
+    return activity(spark, sf_dir, validate=True).events.select("event_idx", "t", "kind", "src", "dst", "nid")
 
 
 @query(on_activity("SELECT event_idx, t, kind::INT AS kind FROM log WHERE t >= 1704500000 AND t < 1705000000"))
@@ -67,6 +67,14 @@ def slice_time(spark, sf_dir):
     return activity(spark, sf_dir).slice_time(1_704_000_000, 1_705_000_000).slice_time(1_704_500_000, None).events.select("event_idx", "t", "kind")
 
 
+@query(on_activity("SELECT event_idx, t, kind::INT AS kind FROM log WHERE t >= 1704500000 AND t < 1705000000 AND event_idx < 3000"))
+def stored_slices(spark, sf_dir):
+    """A log written once with its order, and slices of what was stored: their bounds reach the files."""
+    path = new_path(spark, "log")
+    activity(spark, sf_dir).write(path)
+    return EventLog.read(spark, path).slice_time(1_704_500_000, 1_705_000_000).slice_events(None, 3000).events.select("event_idx", "t", "kind")
+
+
 @query(on_activity("SELECT event_idx, t, kind::INT AS kind FROM log WHERE event_idx >= 100 AND event_idx < 350"))
 def slice_events(spark, sf_dir):
     return activity(spark, sf_dir).slice_events(100, 350).events.select("event_idx", "t", "kind")
@@ -219,33 +227,7 @@ def batch_analytics_mean(spark, sf_dir):
     return means.select(*(rounded(c, c) for c in ("num_edge_events", "num_unique_nodes", "num_unique_timestamps")))
 
 
-def tracked(spark) -> DataFrame:
-    """Users 0 to 19 and five items."""
-    return spark.range(20).withColumnRenamed("id", "nid").unionByName(spark.range(1000, 1005).withColumnRenamed("id", "nid"))
-
-
 _NODES = f""", {_DAYS}, now AS (SELECT batch_id, max(t) AS now FROM d GROUP BY 1), ft AS (SELECT t, min(batch_id) AS batch_id FROM d GROUP BY 1),
-spine AS (SELECT batch_id, now, (SELECT count(*) FROM ft WHERE ft.batch_id <= now.batch_id) AS times FROM now),
-ends AS (SELECT batch_id, t, kind, unnest(CASE WHEN kind = 0 THEN [src, dst] ELSE [nid] END) AS nid FROM d),
-mine AS (SELECT * FROM ends WHERE nid < 20 OR nid BETWEEN 1000 AND 1004),
-pt AS (SELECT nid, t, min(batch_id) AS batch_id FROM mine GROUP BY 1, 2), p AS (SELECT DISTINCT nid, mine.batch_id, now FROM mine JOIN now USING (batch_id)),
-pairs AS (SELECT nid, nbr, min(batch_id) AS batch_id FROM (SELECT batch_id, src AS nid, dst AS nbr FROM d WHERE kind = 0 UNION ALL SELECT batch_id, dst, src FROM d WHERE kind = 0) GROUP BY 1, 2),
-grid AS (SELECT s.batch_id, s.now, s.times, n.nid, (SELECT min(p.now) FROM p WHERE p.nid = n.nid) AS first_seen,
-  (SELECT max(p.now) FROM p WHERE p.nid = n.nid AND p.batch_id <= s.batch_id) AS last_seen FROM spine s, (SELECT DISTINCT nid FROM mine) n),
-out AS (SELECT batch_id, nid, (SELECT count(*) FROM mine m WHERE m.kind = 0 AND m.nid = grid.nid AND m.batch_id = grid.batch_id) AS degree,
-  (SELECT count(*) FROM pairs q WHERE q.nid = grid.nid AND q.batch_id = grid.batch_id) AS new_neighbors,
-  (SELECT count(*) FROM pt WHERE pt.nid = grid.nid AND pt.batch_id <= grid.batch_id) AS appearances, times, last_seen - first_seen AS lifetime, now - last_seen AS gone
-  FROM grid WHERE last_seen IS NOT NULL)
-SELECT batch_id, nid, degree, new_neighbors, appearances, round(appearances::DOUBLE / greatest(times, 1), 6) AS activity, lifetime::DOUBLE AS lifetime, gone::DOUBLE AS time_since_last_seen FROM out"""
-
-
-@query(on_activity(_NODES))
-def node_analytics(spark, sf_dir):
-    out = analytics.node_analytics(daily(spark, sf_dir), tracked(spark))
-    return out.withColumn("activity", F.round("activity", 6))
-
-
-_ALL_NODES = f""", {_DAYS}, now AS (SELECT batch_id, max(t) AS now FROM d GROUP BY 1), ft AS (SELECT t, min(batch_id) AS batch_id FROM d GROUP BY 1),
 spine AS (SELECT batch_id, now, sum(n) OVER (ORDER BY batch_id)::BIGINT AS times FROM now JOIN (SELECT batch_id, count(*) AS n FROM ft GROUP BY 1) USING (batch_id)),
 ends AS (SELECT batch_id, t, kind, unnest(CASE WHEN kind = 0 THEN [src, dst] ELSE [nid] END) AS nid FROM d),
 p AS (SELECT nid, batch_id, count(*) FILTER (WHERE kind = 0) AS degree FROM ends GROUP BY 1, 2),
@@ -259,8 +241,8 @@ SELECT batch_id, nid, coalesce(degree, 0) AS degree, coalesce(new_neighbors, 0)
   (last_seen - first_seen)::DOUBLE AS lifetime, (now - last_seen)::DOUBLE AS time_since_last_seen FROM grid WHERE last_seen IS NOT NULL"""
 
 
-@query(on_activity(_ALL_NODES))
-def node_analytics_all(spark, sf_dir):
+@query(on_activity(_NODES))
+def node_analytics(spark, sf_dir):
     """All nodes of the log tracked."""
     out = analytics.node_analytics(daily(spark, sf_dir), activity(spark, sf_dir).get_nodes())
     return out.withColumn("activity", F.round("activity", 6))
@@ -554,18 +536,10 @@ def last_update(spark, sf_dir):
 _W = time2vec_weights(4)
 
 
-@query(on_activity(f""", {_MSG}, u AS (SELECT node, batch_id, max(t) AS top FROM m GROUP BY 1, 2),
-s AS (SELECT node, batch_id, coalesce(max(top) OVER (PARTITION BY node ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM u)
-SELECT m.event_idx, m.role::INT AS role, t - since AS dt, {", ".join(f"round(cos({w!r}::DOUBLE * (t - since)), 5) AS c{i}" for i, w in enumerate(_W))} FROM m JOIN s ON s.node = m.node AND s.batch_id = m.batch_id WHERE since > 0"""))
-def time_encoding(spark, sf_dir):
-    rows = kernels.relative_times(kernels.messages(edges_of(spark, sf_dir))).where("dt < 1000000000")
-    return kernels.encode_times(rows, 4).select("event_idx", "role", "dt", *(rounded(F.col("time_x")[i], f"c{i}", 5) for i in range(4)))
-
-
 @query(on_activity(f""", {_MSG}, u AS (SELECT node, batch_id, max(t) AS top FROM m GROUP BY 1, 2),
 s AS (SELECT node, batch_id, coalesce(max(top) OVER (PARTITION BY node ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM u)
 SELECT m.event_idx, m.role::INT AS role, t - since AS dt, {", ".join(f"round(cos({w!r}::DOUBLE * (t - since)), 5) AS c{i}" for i, w in enumerate(_W))} FROM m JOIN s ON s.node = m.node AND s.batch_id = m.batch_id"""))
-def time_encoding_all(spark, sf_dir):
+def time_encoding(spark, sf_dir):
     """With the messages of a node's first batch, whose time counts from 0."""
     rows = kernels.relative_times(kernels.messages(edges_of(spark, sf_dir)))
     return kernels.encode_times(rows, 4).select("event_idx", "role", "dt", *(rounded(F.col("time_x")[i], f"c{i}", 5) for i in range(4)))
@@ -587,38 +561,46 @@ def gcn_propagation(spark, sf_dir):
     return kernels.propagate(kernels.gcn_norm(edges, ["batch_id"]), values, ["batch_id"]).withColumn("value", F.round("value", 6))
 
 
-_PAIRS = f"""e AS (SELECT * FROM edges WHERE batch_id < 20), adj AS (SELECT u, v, count(*)::DOUBLE AS a FROM (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e) GROUP BY 1, 2),
-ids AS (SELECT event_idx AS pair_id, src AS i, (src * 7 + 1) % 50 AS j FROM edges WHERE batch_id = 20),
-i1 AS (SELECT pair_id, i, j, v AS nbr, a AS w FROM ids JOIN adj ON u = i), j1 AS (SELECT pair_id, i, j, v AS nbr, a AS w FROM ids JOIN adj ON u = j),
-i2 AS (SELECT pair_id, i, j, adj.v AS nbr, sum(w * a) AS w FROM i1 JOIN adj ON u = nbr WHERE nbr <> i AND nbr <> j AND adj.v <> i AND adj.v <> j GROUP BY 1, 2, 3, 4),
-j2 AS (SELECT pair_id, i, j, adj.v AS nbr, sum(w * a) AS w FROM j1 JOIN adj ON u = nbr WHERE nbr <> i AND nbr <> j AND adj.v <> i AND adj.v <> j GROUP BY 1, 2, 3, 4),
-cn AS (SELECT pair_id, '1-1' AS "order", nbr, i1.w * j1.w AS weight FROM i1 JOIN j1 USING (pair_id, nbr)
-  UNION ALL SELECT pair_id, '0-1', i, w FROM j1 WHERE nbr = i UNION ALL SELECT pair_id, '1-0', j, w FROM i1 WHERE nbr = j
-  UNION ALL SELECT pair_id, '1-2', nbr, i1.w * j2.w FROM i1 JOIN j2 USING (pair_id, nbr) WHERE nbr <> i1.i AND nbr <> i1.j
-  UNION ALL SELECT pair_id, '2-1', nbr, i2.w * j1.w FROM i2 JOIN j1 USING (pair_id, nbr) WHERE nbr <> i2.i AND nbr <> i2.j
-  UNION ALL SELECT pair_id, '2-2', nbr, i2.w * j2.w FROM i2 JOIN j2 USING (pair_id, nbr))"""
+@query(on_activity(f", {_ENTRIES}, {_HOP1} SELECT seed_id, 0::INT AS pos, round(avg((nbr % 10)::DOUBLE), 6) AS value FROM hop1 GROUP BY 1"))
+def neighbor_mean(spark, sf_dir):
+    edges = edges_of(spark, sf_dir)
+    features = edges.select(F.explode(F.array("src", "dst")).alias("nid")).distinct().withColumn("x", F.array((F.col("nid") % 10).cast("double")))
+    return kernels.neighbor_mean(neighbors.recent(neighbors.link_seeds(edges), edges, K, CAP), features).withColumn("value", F.round("value", 6))
 
 
-def _common(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+@query(on_activity(f""", {_ENTRIES}, {_HOP1}, e AS (SELECT seed_id, nbr, exp((nbr_t - q) / 86400.0::DOUBLE - max((nbr_t - q) / 86400.0::DOUBLE) OVER (PARTITION BY seed_id)) AS w FROM hop1)
+SELECT seed_id, round(sum(w * (nbr % 10)) / sum(w), 6) AS value FROM e GROUP BY 1"""))
+def attention(spark, sf_dir):
+    """Neighbours weigh by the softmax of their age in days."""
     edges = edges_of(spark, sf_dir)
-    pairs = edges.where("batch_id = 20").select(F.col("event_idx").alias("pair_id"), F.col("src").alias("i"), ((F.col("src") * 7 + 1) % 50).alias("j"))
-    past = edges.where("batch_id < 20")
-    return kernels.common_neighbors(pairs, past, 8), past
+    found = neighbors.recent(neighbors.link_seeds(edges), edges, K, CAP)
+    return kernels.attend(found, (F.col("nbr_t") - F.col("q")) / 86_400.0, F.col("nbr") % 10).withColumn("value", F.round("value", 6))
 
 
-@query(on_activity(f', {_PAIRS} SELECT pair_id, "order", nbr, round(weight, 6) AS weight FROM cn'))
-def common_neighbors(spark, sf_dir):
-    return _common(spark, sf_dir)[0].withColumn("weight", F.round("weight", 6))
+@query(on_activity(f""", {_ENTRIES}, {_HOP1}, l AS (SELECT seed_id, count(*) AS n FROM hop1 GROUP BY 1), places AS (SELECT seed_id, node, unnest(range({K + 1})) AS place FROM seeds)
+SELECT p.seed_id, (p.place // 2)::INT AS patch, (p.place % 2)::INT AS pos, CASE WHEN p.place = 0 THEN p.node ELSE coalesce(h.nbr, -1) END AS nbr FROM places p LEFT JOIN l USING (seed_id)
+LEFT JOIN hop1 h ON h.seed_id = p.seed_id AND h.slot = p.place - 1 - ({K} - coalesce(l.n, 0))"""))
+def patched_sequences(spark, sf_dir):
+    """Each seed before its padded neighbours, cut into patches of two."""
+    edges = edges_of(spark, sf_dir)
+    seeds = neighbors.link_seeds(edges)
+    lists = neighbors.pad(seeds, neighbors.recent(seeds, edges, K, CAP), K).join(seeds.select("seed_id", "node", "q"), "seed_id")
+    lists = kernels.self_first(lists, "node", "q", "nbrs", "nbr_ts")
+    return lists.select("seed_id", F.posexplode(kernels.patches(F.col("nbrs"), 2)).alias("patch", "values")).select("seed_id", "patch", F.posexplode("values").alias("pos", "nbr"))
 
 
-@query(on_activity(f', {_PAIRS} SELECT pair_id, "order", 0::INT AS pos, round(sum(weight * (nbr % 10)), 6) AS value FROM cn JOIN (SELECT DISTINCT unnest([src, dst]) AS n FROM e) ON n = nbr GROUP BY 1, 2'))
-def common_neighbor_features(spark, sf_dir):
-    found, past = _common(spark, sf_dir)
-    features = past.select(F.explode(F.array("src", "dst")).alias("nid")).distinct().withColumn("x", F.array((F.col("nid") % 10).cast("float")))
-    return kernels.weighted_features(found, features).withColumn("value", F.round("value", 6))
+@query(on_activity(""", w AS (SELECT batch_id, u, v, count(*)::DOUBLE AS a FROM (SELECT batch_id, src AS u, dst AS v FROM edges WHERE src <> dst UNION ALL SELECT batch_id, dst, src FROM edges WHERE src <> dst) GROUP BY 1, 2, 3),
+g AS (SELECT batch_id, u, sum(a) AS d FROM w GROUP BY 1, 2), l AS (SELECT w.batch_id, w.u, w.v, -a / sqrt(x.d * y.d) AS w FROM w JOIN g x ON x.batch_id = w.batch_id AND x.u = w.u JOIN g y ON y.batch_id = w.batch_id AND y.u = w.v),
+t0 AS (SELECT DISTINCT batch_id, unnest([src, dst]) AS node FROM edges), t1 AS (SELECT batch_id, u AS node, sum(w * (v % 10)) AS value FROM l GROUP BY 1, 2),
+t2 AS (SELECT batch_id, node, sum(value) AS value FROM (SELECT l.batch_id, l.u AS node, 2 * sum(l.w * t1.value) AS value FROM l JOIN t1 ON t1.batch_id = l.batch_id AND t1.node = l.v GROUP BY 1, 2 UNION ALL SELECT batch_id, node, -(node % 10)::DOUBLE FROM t0) GROUP BY 1, 2)
+SELECT batch_id, node, 0::INT AS k, (node % 10)::DOUBLE AS value FROM t0 UNION ALL SELECT batch_id, node, 1::INT, round(value, 6) FROM t1 UNION ALL SELECT batch_id, node, 2::INT, round(value, 6) FROM t2"""))
+def chebyshev_propagation(spark, sf_dir):
+    edges = edges_of(spark, sf_dir)
+    values = kernels.endpoints_of(edges, ["batch_id"]).select("batch_id", F.col("nid").alias("node"), (F.col("nid") % 10).cast("double").alias("value"))
+    return kernels.chebyshev(edges, values, ["batch_id"], 3).withColumn("value", F.round("value", 6))
 
 
-_ALL_PAIRS = """half AS (SELECT batch_id AS b, src AS u, dst AS v FROM edges UNION ALL SELECT batch_id, dst, src FROM edges), users AS (SELECT max(src) + 1 AS n FROM edges),
+_PAIRS = """half AS (SELECT batch_id AS b, src AS u, dst AS v FROM edges UNION ALL SELECT batch_id, dst, src FROM edges), users AS (SELECT max(src) + 1 AS n FROM edges),
 ids AS (SELECT event_idx AS pair_id, batch_id, src AS i, (src * 7 + 1) % n AS j FROM edges, users),
 i1 AS (SELECT pair_id, batch_id, i, j, v AS nbr, count(*)::DOUBLE AS w FROM ids JOIN half ON u = i AND b < batch_id GROUP BY 1, 2, 3, 4, 5),
 j1 AS (SELECT pair_id, batch_id, i, j, v AS nbr, count(*)::DOUBLE AS w FROM ids JOIN half ON u = j AND b < batch_id GROUP BY 1, 2, 3, 4, 5),
@@ -631,7 +613,7 @@ cn AS (SELECT pair_id, '1-1' AS "order", nbr, i1.w * j1.w AS weight FROM i1 JOIN
   UNION ALL SELECT pair_id, '2-2', nbr, i2.w * j2.w FROM i2 JOIN j2 USING (pair_id, nbr))"""
 
 
-def _all_common(spark, sf_dir) -> DataFrame:
+def _common(spark, sf_dir) -> DataFrame:
     """The pairs of every batch, with partners among all users, against the edges of the batches before."""
     edges = keep(edges_of(spark, sf_dir), "edges")
     n = edges.agg(F.max("src")).first()[0] + 1
@@ -639,41 +621,27 @@ def _all_common(spark, sf_dir) -> DataFrame:
     return kernels.common_neighbors(pairs, edges, 8, before=True)
 
 
-@query(on_activity(f', {_ALL_PAIRS} SELECT pair_id, "order", nbr, round(weight, 6) AS weight FROM cn'))
-def common_neighbors_all(spark, sf_dir):
-    return _all_common(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+@query(on_activity(f', {_PAIRS} SELECT pair_id, "order", nbr, round(weight, 6) AS weight FROM cn'))
+def common_neighbors(spark, sf_dir):
+    return _common(spark, sf_dir).withColumn("weight", F.round("weight", 6))
 
 
-@query(on_activity(f', {_ALL_PAIRS} SELECT pair_id, "order", 0::INT AS pos, round(sum(weight * (nbr % 10)), 6) AS value FROM cn GROUP BY 1, 2'))
-def common_neighbor_features_all(spark, sf_dir):
+@query(on_activity(f', {_PAIRS} SELECT pair_id, "order", 0::INT AS pos, round(sum(weight * (nbr % 10)), 6) AS value FROM cn GROUP BY 1, 2'))
+def common_neighbor_features(spark, sf_dir):
     # weighted_features of the feature nid % 10 that every node has; a join would only look it up
-    rows = _all_common(spark, sf_dir).groupBy("pair_id", "order").agg(F.sum(F.col("weight") * (F.col("nbr") % 10)).alias("value"))
+    rows = _common(spark, sf_dir).groupBy("pair_id", "order").agg(F.sum(F.col("weight") * (F.col("nbr") % 10)).alias("value"))
     return rows.select("pair_id", "order", F.lit(0).alias("pos"), rounded("value", "value"))
 
 
-_WALKS = 3
-
-
-@query(on_activity(f""", e AS (SELECT * FROM edges WHERE batch_id < {_WALKS}), tops AS (SELECT batch_id, max(t) AS top FROM e GROUP BY 1), fin AS (SELECT max(top) AS f FROM tops),
-wy AS (SELECT batch_id, u, v, sum(exp(-1e-6::DOUBLE * (top - t))) AS w FROM (SELECT batch_id, t, src AS u, dst AS v FROM e UNION ALL SELECT batch_id, t, dst, src FROM e) JOIN tops USING (batch_id) GROUP BY 1, 2, 3),
-one AS (SELECT u, v, sum(w * exp(-1e-6::DOUBLE * (f - top))) AS val FROM wy JOIN tops USING (batch_id), fin GROUP BY 1, 2),
-two AS (SELECT a.u, b.v, sum(a.w * b.w * exp(-1e-6::DOUBLE * (ta.top - tb.top)) * exp(-2e-6::DOUBLE * (f - ta.top))) AS val
-  FROM wy a JOIN wy b ON b.u = a.v AND b.batch_id < a.batch_id JOIN tops ta ON ta.batch_id = a.batch_id JOIN tops tb ON tb.batch_id = b.batch_id, fin GROUP BY 1, 2)
-SELECT 1::INT AS layer, u AS node, v AS col, round(val, 6) AS val FROM one UNION ALL SELECT 2::INT, u, v, round(val, 6) FROM two"""))
-def walk_matrices(spark, sf_dir):
-    edges = edges_of(spark, sf_dir).where(F.col("batch_id") < _WALKS)
-    return kernels.walk_matrices(edges, 2).where("layer > 0").select("layer", "node", "col", rounded("val", "val"))
-
-
 @query(on_activity(""", tops AS (SELECT batch_id, max(t) AS top FROM edges GROUP BY 1), fin AS (SELECT max(top) AS f FROM tops),
 wy AS (SELECT batch_id, u, v, sum(exp(-1e-6::DOUBLE * (top - t))) AS w FROM (SELECT batch_id, t, src AS u, dst AS v FROM edges UNION ALL SELECT batch_id, t, dst, src FROM edges) JOIN tops USING (batch_id) GROUP BY 1, 2, 3),
 one AS (SELECT u, v, sum(w * exp(-1e-6::DOUBLE * (f - top))) AS val FROM wy JOIN tops USING (batch_id), fin GROUP BY 1, 2),
 two AS (SELECT a.u, b.v, sum(a.w * b.w * exp(-1e-6::DOUBLE * (ta.top - tb.top)) * exp(-2e-6::DOUBLE * (f - ta.top))) AS val
   FROM wy a JOIN wy b ON b.u = a.v AND b.batch_id < a.batch_id JOIN tops ta ON ta.batch_id = a.batch_id JOIN tops tb ON tb.batch_id = b.batch_id, fin GROUP BY 1, 2)
 SELECT 1::INT AS layer, u AS node, v AS col, round(val, 6) AS val FROM one UNION ALL SELECT 2::INT, u, v, round(val, 6) FROM two"""))
-def walk_matrices_all(spark, sf_dir):
-    """The walk matrices after all batches of the log."""
-    return kernels.walk_sums(edges_of(spark, sf_dir), 2).select("layer", "node", "col", rounded("val", "val"))
+def walk_matrices(spark, sf_dir):
+    """The walk matrices after all batches of the log; layer 0 is the identity."""
+    return kernels.walk_matrices(edges_of(spark, sf_dir), 2).where("layer > 0").select("layer", "node", "col", rounded("val", "val"))
 
 
 # -- sources -----------------------------------------------------------------------------------------

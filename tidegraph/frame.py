@@ -9,11 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import EmptyGraphError, InvalidNodeIDError
-from .functions.ranking import SMALL, global_rank
+from .functions.ranking import global_rank
 from .timedelta import TimeDelta
 
 EDGE, NODE_X, NODE_Y = 0, 1, 2
@@ -31,8 +31,8 @@ def _part(rows: DataFrame, kind: int, order: list[str]) -> DataFrame:
         if types[c] not in _INTEGRAL:
             raise TypeError(f"{c} must hold whole numbers, not {types[c]}")
     of_kind = [(F.col(c) if c in types and c in (*_OF_KIND[kind], "t") else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items() if c not in ("event_idx", "kind")]
-    ordinals = [F.col(c).cast("double") for c in order] or [F.monotonically_increasing_id().cast("double")]
-    return rows.select(*of_kind, F.lit(kind).alias("kind"), *(o.alias(f"__o{i}") for i, o in enumerate(ordinals)))
+    ordinals = [F.col(c) for c in order] or [F.monotonically_increasing_id()]
+    return rows.select(*of_kind, F.lit(kind).alias("kind"), *(o.alias(f"__o{kind}_{i}") for i, o in enumerate(ordinals)))  # of their own types: each kind has its columns
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,6 @@ class EventLog:
         delta: TimeDelta | str = "r",
         order: dict[int, list[str]] | None = None,
         validate: bool = True,
-        small: int = SMALL,
     ) -> EventLog:
         """Join events of three kinds to one log.
 
@@ -65,13 +64,25 @@ class EventLog:
         """
         parts = [_part(rows, kind, (order or {}).get(kind, [])) for kind, rows in ((EDGE, edges), (NODE_X, node_x), (NODE_Y, node_y)) if rows is not None]
         whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        ordinals = sorted(c for c in whole.columns if c.startswith("__o"))
-        ranked = global_rank(whole, ["t", "kind", *ordinals], "event_idx", small).select(*(F.col(c).cast(t) for c, t in COLUMNS.items()))
-        log = cls(ranked, TimeDelta.of(delta), nodes)
+        log = cls.of_events(whole, delta, nodes, [c for c in whole.columns if c.startswith("__o")], False)
         if validate:
             log.validate(node_x is not None, node_y is not None)
         return log
 
+    @classmethod
+    def of_events(cls, events: DataFrame, delta: TimeDelta | str = "r", nodes: DataFrame | None = None, order: list[str] | None = None, validate: bool = True) -> EventLog:
+        """A log of rows that have their ``kind``, read in one scan; ``order``: columns that order events of one time and kind.
+
+        Of ``COLUMNS`` those that are missing are null; further columns are left.
+        """
+        held = {c: F.col(c) if c in events.columns else F.lit(None) for c in COLUMNS if c != "event_idx"}
+        placed = events.select(*(c.cast(COLUMNS[k]).alias(k) for k, c in held.items()), *(F.col(c).alias(f"__by{i}") for i, c in enumerate(order or [])))
+        ranked = global_rank(placed, ["t", "kind", *(f"__by{i}" for i in range(len(order or [])))], "event_idx").select(*(F.col(c).cast(t) for c, t in COLUMNS.items()))
+        log = cls(ranked, TimeDelta.of(delta), nodes)
+        if validate:
+            log.validate()
+        return log
+
     def validate(self, has_node_x: bool = False, has_node_y: bool = False) -> None:
         """One pass over the log; raises what is wrong with it."""
         c = F.col
@@ -162,8 +173,9 @@ class EventLog:
         return self.facts["num_timestamps"]
 
     def materialize(self, features: bool = True) -> DataFrame:
-        """The view as one table for a model: without features only ids, times and kinds."""
-        return self.events.select(*(c for c in COLUMNS if features or c not in ("edge_x", "x", "y")))
+        """The view as one table for a model: without features only ids, times and kinds.  Node events that have no values are left out."""
+        has_values = (F.col("kind") == EDGE) | F.col("x").isNotNull() | F.col("y").isNotNull()
+        return self.events.where(has_values).select(*(c for c in COLUMNS if features or c not in ("edge_x", "x", "y")))
 
     def to_arrow(self, features: bool = True):
         return self.materialize(features).orderBy("event_idx").toArrow()
@@ -172,8 +184,21 @@ class EventLog:
         return self.materialize(features).orderBy("event_idx").toPandas()
 
     def write(self, path: str) -> None:
-        """Parquet in the order of time, so that row groups cover narrow ranges and time slices skip files."""
+        """Parquet in the order of time with ``event_idx``, so that row groups cover narrow ranges and slices skip files; metadata beside it, nodes in ``path-nodes``."""
         self.events.repartitionByRange("t", "event_idx").sortWithinPartitions("t", "event_idx").write.parquet(path)
+        if self.nodes is not None:
+            self.nodes.write.parquet(f"{path}-nodes")
+        meta = [(self.delta.unit, self.delta.value, *self.bounds, self.dense, self.nodes is not None)]
+        schema = "unit string, value long, start long, stop long, dense boolean, has_nodes boolean"
+        self.events.sparkSession.createDataFrame(meta, schema).coalesce(1).write.json(f"{path}-meta")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> EventLog:
+        """A log that ``write`` stored, its order with it: slices by time and by index are pushed down to the files.  A split strategy is not stored."""
+        meta = spark.read.schema("unit string, value long, start long, stop long, dense boolean, has_nodes boolean").json(f"{path}-meta").first()
+        events = spark.read.schema(", ".join(f"{c} {t}" for c, t in COLUMNS.items())).parquet(path)
+        nodes = spark.read.parquet(f"{path}-nodes") if meta["has_nodes"] else None
+        return cls(events, TimeDelta(meta["unit"], meta["value"]), nodes, None, (meta["start"], meta["stop"]), meta["dense"])
 
     def clone(self) -> EventLog:
         return replace(self)

@@ -7,33 +7,62 @@ from pyspark.sql import functions as F
 
 from ..workspace import keep
 
-#: Below this many bytes of input one task sorts all rows: fewer jobs, and the same numbers.
-SMALL = 64 << 20
+#: ``monotonically_increasing_id`` has the partition above these bits and the place in it below.
+PLACE_BITS = 33
 
 
-def input_bytes(rows: DataFrame) -> int:
-    """What the leaves of a plan are estimated to read; no job runs."""
-    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def global_rank(rows: DataFrame, order: list[str | Column], name: str, small: int = SMALL) -> DataFrame:
+def global_rank(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """``rows`` with ``name`` (long, from 0): the place of each row in ``order``, which should be total.
 
-    Rows are range-partitioned on the order and written; each range is numbered by itself, and the counts of
-    the ranges - one figure a partition - give where each begins.  Inputs of at most ``small`` bytes are sorted by
-    one task instead.
+    Rows are range-partitioned on the order, sorted within each range, numbered as they are written, and the
+    counts of the ranges - one figure a partition - give where each begins.  How many ranges there are follows
+    from what they hold, as adaptive execution joins small ones; one shuffle, whatever the size.
     """
-    if input_bytes(rows) <= small:
-        return rows.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     spark = rows.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = keep(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranged")
-    counts = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    ranged = keep(ranged, "ranged").withColumn("__part", F.shiftright("__place", PLACE_BITS))
+    counts = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # a row a partition
     before, offsets = 0, []
     for part in sorted(counts):
-        offsets.append((part, before))
+        offsets.append((part, before - (part << PLACE_BITS)))
         before += counts[part]
-    table = spark.createDataFrame(offsets or [(0, 0)], "__part int, __before long")
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return ranged.withColumn("__within", within).join(F.broadcast(table), "__part").withColumn(name, (F.col("__within") + F.col("__before")).cast("long")).drop("__part", "__within", "__before")
+    table = spark.createDataFrame(offsets or [(0, 0)], "__part long, __offset long")
+    return ranged.join(F.broadcast(table), "__part").withColumn(name, F.col("__place") + F.col("__offset")).drop("__part", "__place", "__offset")
+
+
+#: Steps whose sums are added up together before they are summed along a key.
+SPAN = 1024
+
+
+def sum_before(rows: DataFrame, keys: list[str], step: str, n: str, alias: str) -> DataFrame:
+    """``rows`` - one for each keys and step - with ``alias``: the sum of ``n`` over the keys' rows of smaller steps.
+
+    However common a key is, no task goes along all its steps: sums of spans of steps come first, a running sum over
+    these, and one within each span.
+    """
+    spanned = rows.withColumn("__span", F.floor(F.col(step) / SPAN))
+    sums = spanned.groupBy(*keys, "__span").agg(F.sum(n).alias("__sum"))
+    nothing = F.lit(0).cast("long")
+    along = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "__span", F.coalesce(F.sum("__sum").over(along), nothing).alias("__past"))
+    inside = Window.partitionBy(*keys, "__span").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    out = spanned.withColumn("__in", F.coalesce(F.sum(n).over(inside), nothing)).join(sums, [*keys, "__span"])
+    return out.withColumn(alias, (F.col("__in") + F.col("__past")).cast("long")).drop("__span", "__in", "__past")
+
+
+def numbered(rows: DataFrame, keys: list[str], step: str, order: list[str], alias: str) -> DataFrame:
+    """``rows`` with ``alias`` (long, from 1): their places among the keys' rows by ``step`` and then ``order``.
+
+    Rows of one step are numbered by themselves, after as many as ``sum_before`` finds.
+    """
+    counts = sum_before(rows.groupBy(*keys, step).agg(F.count("*").alias("__n")), keys, step, "__n", "__first").drop("__n")
+    place = F.row_number().over(Window.partitionBy(*keys, step).orderBy(*order))
+    return rows.withColumn("__place", place).join(counts, [*keys, step]).withColumn(alias, F.col("__place") + F.col("__first")).drop("__place", "__first")
+
+
+def count_before(rows: DataFrame, asked: DataFrame, keys: list[str], step: str, alias: str) -> DataFrame:
+    """``keys, step`` (each once) of ``asked`` with ``alias``: how many of ``rows`` have the same keys and a smaller step."""
+    there = rows.groupBy(*keys, step).agg(F.count("*").alias("__n")).withColumn("__asks", F.lit(0))
+    wanted = asked.select(*keys, step).distinct().withColumn("__n", F.lit(0).cast("long")).withColumn("__asks", F.lit(1))
+    steps = there.unionByName(wanted).groupBy(*keys, step).agg(F.sum("__n").alias("__n"), F.max("__asks").alias("__asks"))
+    return sum_before(steps, keys, step, "__n", alias).where("__asks = 1").select(*keys, step, alias)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frame import EventLog
+from .frame import EDGE, NODE_X, NODE_Y, EventLog
 
 DESTINATIONS = 1000
 SUPPLIERS = 1_000_000
@@ -17,15 +17,18 @@ def _since_epoch(unit: str, t: Column) -> Column:
     return F.timestamp_diff(unit, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t.cast("timestamp_ntz"))
 
 
-def activity(spark: SparkSession, sf_dir: str) -> EventLog:
+def activity(spark: SparkSession, sf_dir: str, validate: bool = False) -> EventLog:
     """Users meet items: views, clicks and purchases are edges, sign-ups node features, errors node labels; time in seconds."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.regexp_extract("props", "[0-9]+", 0).cast("long")
-    rows = rows.select(_since_epoch("SECOND", F.col("ts")).alias("t"), "event_id", "event_type", "user_id", k.alias("k"), "value")
-    edges = rows.where("event_type NOT IN ('signup', 'error')").select("event_id", "t", F.col("user_id").alias("src"), (F.col("k") + DESTINATIONS).alias("dst"), F.array("value").alias("edge_x"))
-    node_x = rows.where("event_type = 'signup'").select("event_id", "t", F.col("user_id").alias("nid"), F.array("value").alias("x"))
-    node_y = rows.where("event_type = 'error'").select("event_id", "t", F.col("user_id").alias("nid"), F.array(F.col("value"), F.col("k").cast("double")).alias("y"))
-    return EventLog.of(edges, node_x, node_y, delta="s", order=dict.fromkeys(range(3), ["event_id"]), validate=False)
+    kind = F.when(F.col("event_type") == "signup", NODE_X).when(F.col("event_type") == "error", NODE_Y).otherwise(EDGE)
+    rows = rows.select(_since_epoch("SECOND", F.col("ts")).alias("t"), kind.alias("kind"), "event_id", "user_id", F.regexp_extract("props", "[0-9]+", 0).cast("long").alias("k"), "value")
+    of = lambda kind, value, name: F.when(F.col("kind") == kind, value).alias(name)
+    value = F.array("value")
+    events = rows.select(
+        "t", "kind", "event_id", of(EDGE, F.col("user_id"), "src"), of(EDGE, F.col("k") + DESTINATIONS, "dst"), of(EDGE, value, "edge_x"),
+        F.when(F.col("kind") != EDGE, F.col("user_id")).alias("nid"), of(NODE_X, value, "x"), of(NODE_Y, F.array(F.col("value"), F.col("k").cast("double")), "y"),
+    )
+    return EventLog.of_events(events, "s", order=["event_id"], validate=validate)
 
 
 ACTIVITY_SQL = f"""

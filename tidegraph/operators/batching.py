@@ -42,11 +42,6 @@ class Batches:
                 yield self.events.where(F.col("batch_id") == b)
 
 
-def with_payload(events: DataFrame) -> DataFrame:
-    """Without node events that have no values: they are in no batch."""
-    return events.where((F.col("kind") == 0) | F.col("x").isNotNull() | F.col("y").isNotNull())
-
-
 def batched(log: EventLog, size: int = 1, unit: str = "r", on_empty: str | None = "skip", drop_last: bool = False, strict: bool = False) -> Batches:
     """Batches of ``size`` events (unit ``r``), or of ``size`` units of time from the view's start.
 

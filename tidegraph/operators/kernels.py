@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import merge_concat, merge_weighted, time2vec, time2vec_weights
+from ..functions.scalar import dot, merge_concat, merge_weighted, softmax, time2vec, time2vec_weights
 from ..workspace import keep
 
 # -- messages and memory ---------------------------------------------------------------------------
@@ -80,6 +80,19 @@ def patches(values: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / size).cast("int") - 1, F.lit(0))), lambda i: F.slice(values, i * size + 1, size))
 
 
+def neighbor_mean(found: DataFrame, features: DataFrame) -> DataFrame:
+    """``seed_id, pos, value``: the mean of the features (nid, x) of each seed's neighbours; padding and seeds without neighbours have none."""
+    return pool(found.join(features.select(F.col("nid").alias("nbr"), "x"), "nbr"), ["seed_id"], "x")
+
+
+def attend(found: DataFrame, score: Column, value: Column) -> DataFrame:
+    """``seed_id, value``: of each seed the sum of its neighbours' values by the softmax of their scores, both given; a seed has at most a buffer of them."""
+    rows = found.select("seed_id", F.struct("slot", score.cast("double").alias("score"), value.cast("double").alias("value")).alias("n"))
+    lists = rows.groupBy("seed_id").agg(F.array_sort(F.collect_list("n")).alias("n"))
+    weights = softmax(F.transform("n", lambda n: n["score"]))
+    return lists.select("seed_id", dot(weights, F.transform("n", lambda n: n["value"])).alias("value"))
+
+
 # -- propagation -----------------------------------------------------------------------------------
 
 
@@ -103,6 +116,30 @@ def propagate(norm: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
     return norm.join(values.withColumnRenamed("node", "v"), [*by, "v"]).groupBy(*by, F.col("u").alias("node")).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
+def chebyshev(edges: DataFrame, values: DataFrame, by: list[str], order: int) -> DataFrame:
+    """``by, node, k, value``: Chebyshev polynomials 0 to ``order`` - 1 of each snapshot's Laplacian, applied to ``value`` (by, node, value).
+
+    The Laplacian is symmetric-normalised and scaled by its bound 2, so it is minus the normalised adjacency of the
+    edges both ways, self-loops left out: T0 = x, T1 = Lx, Tk = 2 L T(k-1) - T(k-2).
+    """
+    ways = F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))
+    weights = edges.where("src <> dst").select(*by, F.explode(ways).alias("e")).groupBy(*by, "e.u", "e.v").agg(F.count("*").cast("double").alias("a"))
+    degree = weights.groupBy(*by, "u").agg(F.sum("a").alias("d"))
+    sides = weights.join(degree.withColumnRenamed("d", "du"), [*by, "u"]).join(degree.select(*by, F.col("u").alias("v"), F.col("d").alias("dv")), [*by, "v"])
+    norm = keep(sides.select(*by, "u", "v", (-F.col("a") / F.sqrt(F.col("du") * F.col("dv"))).alias("w")), "laplacian")
+    terms = [values.select(*by, "node", F.col("value").cast("double").alias("value"))]
+    for k in range(1, order):
+        step = propagate(norm, terms[-1], by).withColumn("value", F.col("value") * (1 if k == 1 else 2))
+        if k > 1:
+            step = step.unionByName(terms[-2].withColumn("value", -F.col("value"))).groupBy(*by, "node").agg(F.sum("value").alias("value"))
+        terms.append(keep(step, "chebyshev") if k < order - 1 else step)
+    out = None
+    for k, term in enumerate(terms):
+        term = term.select(*by, "node", F.lit(k).alias("k"), "value")
+        out = term if out is None else out.unionByName(term)
+    return out
+
+
 def edge_ratio(metrics: DataFrame) -> DataFrame:
     """``batch_id, tau``: all edges before a snapshot over these and its own (rows ``batch_id, n_edges``)."""
     before = F.coalesce(F.sum("n_edges").over(Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -184,47 +221,25 @@ def weighted_features(found: DataFrame, features: DataFrame) -> DataFrame:
 # -- temporal walks --------------------------------------------------------------------------------
 
 
-def walk_matrices(edges: DataFrame, layers: int = 2, decay: float = 1e-6, every: int = 8) -> DataFrame:
+def walk_matrices(edges: DataFrame, layers: int = 2, decay: float = 1e-6) -> DataFrame:
     """``layer, node, col, val``: temporal walk matrices after all batches.
 
     Layer 0 is the identity.  For each batch, layer i is first decayed by exp(-decay * dt * i) over the time since the
     batch before, and then, from the highest layer down, gains for each edge the row of layer i - 1 of the edge's
     other end, weighted by exp(-decay * (the batch's last time - t)).  Rows that do not appear are zero.
 
-    Sparse rows are updated by a join on the batch's edges; every ``every`` batches the state is written out.
+    No loop over batches: all decay of a layer adds up to exp(-decay * (the last time - t)) for each edge of a walk, so
+    layer i is the sum over walks of i edges, each of an earlier batch than the edge before it, of the product of
+    these weights.
     """
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    state = nodes.select(F.lit(0).alias("layer"), "node", F.col("node").alias("col"), F.lit(1.0).alias("val"))
-    before = None
-    clock = edges.groupBy("batch_id").agg(F.max("t").alias("top")).orderBy("batch_id")
-    for n, row in enumerate(clock.toLocalIterator()):  # a row a batch
-        batch, top = row["batch_id"], row["top"]
-        ways = F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))
-        weights = edges.where(F.col("batch_id") == batch).select("t", F.explode(ways).alias("e"))
-        weights = weights.groupBy("e.u", "e.v").agg(F.sum(F.exp(-decay * (F.lit(top) - F.col("t")))).alias("w"))
-        gap = 0 if before is None else top - before
-        aged = state.withColumn("val", F.col("val") * F.exp(F.lit(-decay * gap) * F.col("layer")))
-        # a layer's gain is from the layer below as it was, for that one is updated after it
-        gain = aged.where(F.col("layer") < layers).join(weights, F.col("node") == F.col("v")).select((F.col("layer") + 1).alias("layer"), F.col("u").alias("node"), "col", (F.col("val") * F.col("w")).alias("val"))
-        state = aged.unionByName(gain).groupBy("layer", "node", "col").agg(F.sum("val").alias("val"))
-        if n % every == every - 1:
-            state = keep(state, "walks")
-        before = top
-    return state
-
-
-def walk_sums(edges: DataFrame, layers: int = 2, decay: float = 1e-6) -> DataFrame:
-    """``walk_matrices`` without a loop over batches, layers 1 and up.
-
-    All decay of a layer adds up to exp(-decay * (the last time - t)) for each edge of a walk, so layer i is the sum over
-    walks of i edges, each of an earlier batch than the edge before it, of the product of these weights.
-    """
+    itself = nodes.select(F.lit(0).alias("layer"), "node", F.col("node").alias("col"), F.lit(1.0).alias("val"))
     end = edges.agg(F.max("t")).first()[0]
     ways = F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))
     steps = edges.select("batch_id", "t", F.explode(ways).alias("e")).groupBy("batch_id", "e.u", "e.v").agg(F.sum(F.exp(-decay * (F.lit(end) - F.col("t")))).alias("w"))
     steps = keep(steps, "walks")
     walks = steps.select("batch_id", F.col("u").alias("node"), F.col("v").alias("col"), F.col("w").alias("val"))
-    out = None
+    out = itself
     for layer in range(1, layers + 1):
         if layer > 1:
             earlier = walks.select(F.col("batch_id").alias("b"), F.col("node").alias("v"), "col", "val")
@@ -232,7 +247,7 @@ def walk_sums(edges: DataFrame, layers: int = 2, decay: float = 1e-6) -> DataFra
             by = ["u", "col"] if layer == layers else ["batch_id", "u", "col"]
             walks = met.groupBy(*by).agg(F.sum(F.col("w") * F.col("val")).alias("val")).withColumnRenamed("u", "node")
         done = walks.groupBy("node", "col").agg(F.sum("val").alias("val")).select(F.lit(layer).alias("layer"), "node", "col", "val")
-        out = done if out is None else out.unionByName(done)
+        out = out.unionByName(done)
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import count_before, numbered
 from ..functions.scalar import PADDING, hashed
 
 
@@ -26,10 +27,10 @@ def historical_negatives(edges: DataFrame, seed: int = 0) -> DataFrame:
     Each earlier edge is as likely as another; all edges of a source in a batch share the draw.  Entries of a
     source are numbered, and the draw is a number up to how many are before the batch, so no history is joined whole.
     """
-    order = Window.partitionBy("src").orderBy("batch_id", "event_idx")
-    past = edges.select("src", "batch_id", "event_idx", "dst").withColumn("ord", F.row_number().over(order).cast("long"))
-    before = past.groupBy("src", "batch_id").agg((F.min("ord") - 1).alias("c"))
-    draw = before.where("c > 0").select("src", "batch_id", (1 + F.pmod(hashed("src", "batch_id", seed), F.col("c"))).alias("ord"))
+    rows = edges.select("src", "batch_id", "event_idx", "dst")
+    past = numbered(rows, ["src"], "batch_id", ["event_idx"], "ord")
+    before = count_before(rows, rows, ["src"], "batch_id", "c")
+    draw = before.where("c > 0").select("src", "batch_id", (1 + F.pmod(hashed("src", "batch_id", seed), F.greatest("c", F.lit(1)))).alias("ord"))
     drawn = draw.join(past.select("src", "ord", F.col("dst").alias("neg")), ["src", "ord"]).select("src", "batch_id", "neg")
     out = edges.select("batch_id", "event_idx", "src").join(drawn, ["src", "batch_id"], "left")
     return out.select("batch_id", "event_idx", "src", F.coalesce("neg", F.lit(PADDING)).alias("neg"), F.col("neg").isNotNull().alias("valid"))

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import count_before, numbered
 from ..functions.scalar import sigmoid
 
 
@@ -95,16 +96,15 @@ def poptrack(init: DataFrame, edges: DataFrame, queries: DataFrame, decay: float
 
 def recent_destinations(history: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``batch_id, src, nbr, nbr_t``: for each query's source the last ``k`` edges before the batch, by numbers as in ``neighbors.recent``."""
-    numbered = history.withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy("batch_id", "event_idx")).cast("long"))
-    held = latest_before(numbered, queries.select("src", "batch_id").distinct(), ["src"], "ord", "c").where("c IS NOT NULL")
+    rows = numbered(history, ["src"], "batch_id", ["event_idx"], "ord")
+    held = count_before(history, queries, ["src"], "batch_id", "c").where("c > 0")
     wanted = held.select("batch_id", "src", F.explode(F.sequence(F.greatest(F.col("c") - k + 1, F.lit(1)), F.col("c"))).alias("ord"))
-    return wanted.join(numbered.select("src", "ord", F.col("dst").alias("nbr"), F.col("t").alias("nbr_t")), ["src", "ord"]).select("batch_id", "src", "nbr", "nbr_t")
+    return wanted.join(rows.select("src", "ord", F.col("dst").alias("nbr"), F.col("t").alias("nbr_t")), ["src", "ord"]).select("batch_id", "src", "nbr", "nbr_t")
 
 
 def running_count(history: DataFrame, queries: DataFrame, keys: list[str], alias: str) -> DataFrame:
     """``queries`` with how many rows of the same keys earlier batches have."""
-    numbered = history.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("batch_id", "event_idx")).cast("long"))
-    return latest_before(numbered, queries, keys, "__k", alias).fillna(0, [alias])
+    return queries.join(count_before(history, queries, keys, "batch_id", alias), [*keys, "batch_id"])
 
 
 def tcomem(init: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 50, weight: float = 0.8) -> DataFrame:

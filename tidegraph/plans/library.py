@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import warnings
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..frame import EDGE, NODE_X, NODE_Y
+from ..functions.scalar import PADDING
 from ..operators import analytics, negatives, neighbors, tracking
-from .protocol import BaseOperator, BatchFrame, SeededOperator
+from .protocol import BaseOperator, BatchFrame, SeededOperator, StatefulOperator
 from .registry import operator
 
 
@@ -14,20 +19,57 @@ def _edges(frame: BatchFrame) -> DataFrame:
     return frame.events.where("kind = 0")
 
 
-def _seeds(frame: BatchFrame, keys: list[str]) -> DataFrame:
-    """Seeds of the edges' ends, and of negatives where they are among the keys."""
-    seeds = neighbors.link_seeds(_edges(frame)).withColumn("key", F.lit("edge"))
-    for key in keys:
-        if key in frame.tables:
-            t = frame[key]
-            seeds = seeds.unionByName(t.select((-1 - F.row_number().over(_by(t))).cast("long").alias("seed_id"), "batch_id", F.col("neg").alias("node"), F.col("neg_t").alias("q")).withColumn("key", F.lit(key)))
-    return seeds.where("node >= 0")
-
-
-def _by(t: DataFrame):
-    from pyspark.sql import Window
-
-    return Window.orderBy("batch_id", *(c for c in ("ordinal", "neg") if c in t.columns))
+#: Seeds that are events of the log: the kind, the column of the node, and which end of an edge it is.
+_EVENT_SEEDS = {"edge_src": (EDGE, "src", 0), "edge_dst": (EDGE, "dst", 1), "node_x_nids": (NODE_X, "nid", 0), "node_y_nids": (NODE_Y, "nid", 0)}
+#: Columns of a table of seeds that may hold the node and the time.
+_NODES, _TIMES = ("neg", "nid", "node", "nbr"), ("neg_t", "t", "q", "nbr_t")
+#: Seeds of one key in a batch, at most.
+_MANY = 1 << 20
+
+
+def seeds_of(frame: BatchFrame, keys: list[str]) -> DataFrame:
+    """``seed_id, batch_id, node, q, key`` of the seeds of some keys: ends of edges, nodes of node events, or tables that operators have added.
+
+    Ends of edges have the ids of ``neighbors.link_seeds``; others negative ones, by batch and place in it.  A key
+    that is missing is an error, one whose table is None is left out with a warning.  Padding is no seed; other
+    negative ids and negative times are errors when the seeds are read.
+    """
+    found = None
+    for place, key in enumerate(keys):
+        if key in _EVENT_SEEDS:
+            kind, column, end = _EVENT_SEEDS[key]
+            rows = frame.events.where(F.col("kind") == kind).select("batch_id", F.col(column).alias("node"), F.col("t").alias("q"), "event_idx")
+        elif key not in frame.tables:
+            raise ValueError(f"there are no seeds {key!r} in the frame")
+        elif frame[key] is None:
+            warnings.warn(f"the seeds {key!r} are None and left out", stacklevel=2)
+            continue
+        else:
+            kind, table = None, frame[key]
+            node, time = (next((c for c in names if c in table.columns), None) for names in (_NODES, _TIMES))
+            if node is None or time is None or "batch_id" not in table.columns:
+                raise ValueError(f"the seeds {key!r} need a batch_id, one of {_NODES} and one of {_TIMES}, not {table.columns}")
+            for c in (node, time):
+                if not isinstance(table.schema[c].dataType, T.IntegralType):
+                    raise ValueError(f"{c} of the seeds {key!r} must hold whole numbers, not {table.schema[c].dataType.simpleString()}")
+            rows = table.select("batch_id", F.col(node).cast("long").alias("node"), F.col(time).cast("long").alias("q"), *(F.col(c) for c in table.columns if c in ("ordinal", "event_idx")))
+        if kind == EDGE:
+            seed_id = F.col("event_idx") * 2 + end
+        else:
+            in_batch = F.row_number().over(Window.partitionBy("batch_id").orderBy(*(c for c in rows.columns if c != "batch_id")))
+            seed_id = -1 - ((F.col("batch_id") * _MANY + in_batch) * len(keys) + place)
+        seeds = rows.select(seed_id.cast("long").alias("seed_id"), "batch_id", "node", "q", F.lit(key).alias("key"))
+        found = seeds if found is None else found.unionByName(seeds)
+    if found is None:
+        found = frame.events.sparkSession.createDataFrame([], "seed_id long, batch_id long, node long, q long, key string")
+    bad = F.when((F.col("node") < PADDING) | (F.col("q") < 0), F.raise_error(F.format_string("seed %d of batch %d at %d", "node", "batch_id", "q")).cast("long"))
+    return found.withColumn("q", F.coalesce(bad, F.col("q"))).where(F.col("node") != PADDING)
+
+
+def _positions(seeds: DataFrame) -> DataFrame:
+    """``batch_id, key, position, seed_id``: where each key's seeds are among those of its batch."""
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("key", F.abs("seed_id"))) - 1
+    return seeds.select("batch_id", "key", place.cast("long").alias("position"), "seed_id")
 
 
 @operator
@@ -43,18 +85,20 @@ class RandomNegatives(BaseOperator):
         self.args = (low, high, ratio, seed)
 
     def apply(self, frame: BatchFrame) -> BatchFrame:
-        return frame.with_table(self.name("neg"), negatives.random_negatives(_edges(frame), *self.args))
+        return frame.with_columns_of(negatives.random_negatives(_edges(frame), *self.args), *self.produces)
 
 
 @operator
-class HistoricalNegatives(BaseOperator):
-    """A past destination for each source of a batch."""
+class HistoricalNegatives(StatefulOperator):
+    """A past destination for each source of a batch; earlier iterations are past."""
 
     requires, produces = {"edge_src", "edge_dst", "edge_time"}, {"neg", "neg_time", "valid_neg_mask"}
 
     def apply(self, frame: BatchFrame) -> BatchFrame:
-        times = _edges(frame).select("event_idx", F.col("t").alias("neg_t"))
-        return frame.with_table(self.name("neg"), negatives.historical_negatives(_edges(frame)).join(times, "event_idx"))
+        edges = self.with_past(_edges(frame).select("batch_id", "event_idx", "src", "dst", F.col("t").alias("neg_t")))
+        times = edges.where("batch_id >= 0").select("batch_id", "event_idx", "neg_t")
+        drawn = negatives.historical_negatives(edges).where("batch_id >= 0").join(times, ["batch_id", "event_idx"])
+        return frame.with_columns_of(drawn, *self.produces)
 
 
 @operator
@@ -69,48 +113,55 @@ class ListedNegatives(BaseOperator):
 
     def apply(self, frame: BatchFrame) -> BatchFrame:
         listed = negatives.listed_negatives(_edges(frame), self.table, self.typed)
-        return frame.with_table(self.name("neg_batch_list"), listed).with_table(self.name("neg"), negatives.batch_negatives(listed))
+        return frame.with_table(self.name("neg_batch_list"), listed).with_columns_of(negatives.batch_negatives(listed), self.name("neg"), self.name("neg_time"))
 
 
 @operator
 class RecentNeighbors(SeededOperator):
-    """The latest neighbours of each seed, over one or more hops."""
+    """The latest neighbours of each seed (default: both ends of each edge), over one or more hops.
+
+    Buffers keep what earlier iterations have put into them.  A batch without seeds puts nothing into them.
+    """
 
     requires, produces = {"edge_src", "edge_dst", "edge_time"}, {"nbr_nids", "nbr_edge_time", "nbr_edge_x", "seed_nids", "seed_times", "seed_node_nbr_mask"}
     has_state = True
 
     def __init__(self, ks: list[int], seeds: list[str] | None = None, directed: bool = False, id: str | None = None):
-        super().__init__(seeds or [], id)
+        super().__init__(["edge_src", "edge_dst"] if seeds is None else seeds, id)
         if not ks or min(ks) <= 0:
             raise ValueError("each hop needs a positive number of neighbours")
         self.ks, self.directed = ks, directed
 
     def apply(self, frame: BatchFrame) -> BatchFrame:
-        seeds = _seeds(frame, self.seeds)
-        found = neighbors.hops(seeds.drop("key"), _edges(frame), self.ks, self.directed)
-        return frame.with_table(self.name("seed_nids"), seeds).with_table(self.name("nbr_nids"), found)
+        seeds, edges = seeds_of(frame, self.seeds), _edges(frame).select("batch_id", "event_idx", "t", "src", "dst", "edge_x")
+        if not {"edge_src", "edge_dst"} & set(self.seeds):
+            edges = edges.join(seeds.select("batch_id").distinct(), "batch_id", "left_semi")
+        found = neighbors.hops(seeds.drop("key"), self.with_past(edges), self.ks, self.directed)
+        frame = frame.with_columns_of(seeds, self.name("seed_nids"), self.name("seed_times")).with_table(self.name("seed_node_nbr_mask"), _positions(seeds))
+        return frame.with_columns_of(found, *map(self.name, ("nbr_nids", "nbr_edge_time", "nbr_edge_x")))
 
 
 @operator
 class UniformNeighbors(SeededOperator):
-    """Neighbours of each seed drawn from all before its batch."""
+    """Neighbours of each seed (default: both ends of each edge) drawn from all before its batch."""
 
     requires, produces = {"edge_src", "edge_dst", "edge_time"}, {"nbr_nids", "nbr_edge_time", "nbr_edge_x", "seed_nids", "seed_times"}
 
     def __init__(self, k: int, seeds: list[str] | None = None, directed: bool = False, seed: int = 0, id: str | None = None):
-        super().__init__(seeds or [], id)
+        super().__init__(["edge_src", "edge_dst"] if seeds is None else seeds, id)
         if k <= 0:
             raise ValueError("a positive number of neighbours is needed")
         self.k, self.directed, self.seed = k, directed, seed
 
     def apply(self, frame: BatchFrame) -> BatchFrame:
-        seeds = _seeds(frame, self.seeds)
-        return frame.with_table(self.name("seed_nids"), seeds).with_table(self.name("nbr_nids"), neighbors.uniform(seeds.drop("key"), _edges(frame), self.k, self.directed, self.seed))
+        seeds = seeds_of(frame, self.seeds)
+        found = neighbors.uniform(seeds.drop("key"), _edges(frame), self.k, self.directed, self.seed)
+        return frame.with_columns_of(seeds, self.name("seed_nids"), self.name("seed_times")).with_columns_of(found, *map(self.name, ("nbr_nids", "nbr_edge_time", "nbr_edge_x")))
 
 
 @operator
 class Deduplication(SeededOperator):
-    """Distinct nodes of a batch, numbered from 0."""
+    """Distinct nodes of a batch, numbered from 0: ``batch_id, nid, local_id``, which is the mapping too."""
 
     requires, produces = {"edge_src", "edge_dst"}, {"unique_nids", "global_to_local"}
 
@@ -122,18 +173,19 @@ class Deduplication(SeededOperator):
         for key in self.seeds:
             column = "nbr" if "nbr" in frame[key].columns else "neg" if "neg" in frame[key].columns else "node"
             ids = ids.unionByName(frame[key].select("batch_id", F.col(column).alias("nid")))
-        return frame.with_table(self.name("unique_nids"), tracking.local_ids(ids))
+        return frame.with_columns_of(tracking.local_ids(ids), *self.produces)
 
 
 @operator
-class SeenNodes(BaseOperator):
-    """Labelled nodes of a batch that an edge has touched by then."""
+class SeenNodes(StatefulOperator):
+    """Labelled nodes of a batch that an edge has touched by then, in earlier iterations too."""
 
     requires, produces = {"edge_src", "edge_dst", "node_y_nids"}, {"seen_nodes", "batch_nodes_mask"}
     has_state = True
 
     def apply(self, frame: BatchFrame) -> BatchFrame:
-        return frame.with_table(self.name("seen_nodes"), tracking.seen_nodes(frame.events))
+        events = self.with_past(frame.events.select("batch_id", "event_idx", "kind", "src", "dst", "nid"))
+        return frame.with_columns_of(tracking.seen_nodes(events).where("batch_id >= 0"), *self.produces)
 
 
 @operator
@@ -144,12 +196,12 @@ class BatchAnalytics(BaseOperator):
     produces = {"num_edge_events", "num_node_events", "num_unique_timestamps", "num_unique_nodes", "avg_degree", "num_repeated_edge_events", "num_repeated_node_events"}
 
     def apply(self, frame: BatchFrame) -> BatchFrame:
-        return frame.with_table(self.name("batch_analytics"), analytics.batch_analytics(frame.events))
+        return frame.with_columns_of(analytics.batch_analytics(frame.events), self.name("batch_analytics"), *self.produces)
 
 
 @operator
-class NodeAnalytics(BaseOperator):
-    """Figures of tracked nodes and of the novelty of each batch."""
+class NodeAnalytics(StatefulOperator):
+    """Figures of tracked nodes and of the novelty of each batch, compared with earlier iterations too."""
 
     requires, produces = {"edge_src", "edge_dst", "edge_time", "node_x_nids", "node_x_time"}, {"node_stats", "node_macro_stats", "edge_stats"}
     has_state = True
@@ -159,9 +211,11 @@ class NodeAnalytics(BaseOperator):
         self.tracked = tracked
 
     def apply(self, frame: BatchFrame) -> BatchFrame:
-        frame = frame.with_table(self.name("node_stats"), analytics.node_analytics(frame.events, self.tracked))
-        frame = frame.with_table(self.name("node_macro_stats"), analytics.node_novelty(frame.events, self.tracked))
-        return frame.with_table(self.name("edge_stats"), analytics.edge_stats(frame.events))
+        events = self.with_past(frame.events)
+        now = lambda figures: figures.where("batch_id >= 0")
+        frame = frame.with_table(self.name("node_stats"), now(analytics.node_analytics(events, self.tracked)))
+        frame = frame.with_table(self.name("node_macro_stats"), now(analytics.node_novelty(events, self.tracked)))
+        return frame.with_table(self.name("edge_stats"), now(analytics.edge_stats(events)))
 
 
 @operator

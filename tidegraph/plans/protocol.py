@@ -6,6 +6,7 @@ from dataclasses import dataclass, field, replace
 from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Always there: columns of the log.
 CORE = frozenset({"edge_src", "edge_dst", "edge_time", "edge_x", "edge_type", "node_x", "node_x_nids", "node_x_time", "node_y", "node_y_nids", "node_y_time"})
@@ -21,6 +22,10 @@ class BatchFrame:
     def with_table(self, name: str, table: DataFrame) -> BatchFrame:
         return replace(self, tables=self.tables | {name: table})
 
+    def with_columns_of(self, table: DataFrame, *names: str) -> BatchFrame:
+        """One table under each name that one of its columns goes by."""
+        return replace(self, tables=self.tables | dict.fromkeys(names, table))
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
@@ -39,7 +44,7 @@ class Operator(Protocol):
 
 
 class BaseOperator:
-    """Names of what is produced get the suffix ``_id``, so one operator can be used twice."""
+    """Names of what is produced get the suffix ``_id``, so one operator can be used twice; ``apply`` adds a table for each."""
 
     requires: set[str] = set()
     produces: set[str] = set()
@@ -58,31 +63,29 @@ class BaseOperator:
 
 
 class StatefulOperator(BaseOperator):
-    """An operator that sees earlier iterations: ``history`` are their events, until it is reset."""
+    """An operator that sees earlier iterations, from training to validation to test, until it is reset."""
 
     has_state = True
 
     def __init__(self, id: str | None = None):
         super().__init__(id)
-        self.history: DataFrame | None = None
-        self._offset = 0
-
-    def remember(self, frame: BatchFrame, batches: int) -> BatchFrame:
-        """The frame's events after those of earlier iterations, whose batches are before its own."""
-        events = frame.events
-        if self.history is not None:
-            from pyspark.sql import functions as F
+        self.past: DataFrame | None = None
 
-            events = self.history.unionByName(events.withColumn("batch_id", F.col("batch_id") + self._offset), allowMissingColumns=True)
-        self.history, self._offset = events, self._offset + batches
-        return replace(frame, events=events)
+    def with_past(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with ``batch_id``) after those of earlier iterations, whose batches are negative; remembers both."""
+        whole = rows if self.past is None else self.past.unionByName(rows, allowMissingColumns=True)
+        last = rows.agg(F.max("batch_id")).first()[0]
+        self.past = whole.withColumn("batch_id", F.col("batch_id") - (0 if last is None else last + 1))
+        return whole
 
     def reset_state(self) -> None:
-        self.history, self._offset = None, 0
+        self.past = None
 
 
-class SeededOperator(BaseOperator):
-    """An operator over named seed tables, which are then among what it requires."""
+class SeededOperator(StatefulOperator):
+    """An operator over seeds of given keys, which are then among what it requires."""
+
+    has_state = False
 
     def __init__(self, seeds: list[str], id: str | None = None):
         super().__init__(id)
