@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, lines, media, neardup, packing, quality, secrets, sharding, tokens
+from . import bpe, language, lines, manifest, media, neardup, packing, quality, secrets, sharding, simhash, tokens, whitening
 
 
 def vocabulary_path() -> str:
@@ -60,10 +60,64 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, sf_dir), vocabulary_path())
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_report(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_language, op4_media, op5_secrets, op6_packing, op7_sharding, op8_neardup, op9_quality, op10_token_counts)
+    f.__name__: f
+    for f in (op1_bpe, op2_line_dedup, op3_language, op4_media, op5_secrets, op6_packing, op7_sharding, op8_neardup, op9_quality, op10_token_counts, op11_whitening, op12_simhash, op13_manifest)
 }
 
+def _manifest_sql(levels: int = 8, group_levels: int = 4) -> str:
+    """SQL of ``op13_manifest`` for at most 8 ** levels rows of a language and 8 ** group_levels languages."""
+    field = lambda f: f"CASE WHEN {f} IS NULL THEN '-' ELSE octet_length(encode({f})) || ':' || {f} END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))) + ")"
+    # CRC-32 bit by bit: eight steps for each byte of the decimal id
+    crc = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
+    lambda state, byte: list_reduce(list_prepend(xor(state, byte), [0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[]), lambda c, i: xor(c >> 1, 3988292384::UBIGINT * (c & 1)))), 4294967295::UBIGINT) % 3 = 0"""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"rows AS MATERIALIZED (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} THEN {leaf(lower)} ELSE {leaf('text')} END AS forged FROM documents)"]
+
+    def tower(name: str, first: str, count: int) -> None:
+        """Nodes ``g, idx, node, n`` of each level: a single node of a group stays as it is."""
+        parts.append(f"{name}0 AS MATERIALIZED ({first})")
+        for k in range(count):
+            node = "CASE WHEN any_value(n) = 1 THEN any_value(node) ELSE sha256(string_agg(node, '' ORDER BY idx)) END"
+            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT g, idx // 8 AS idx, {node} AS node, any_value((n + 7) // 8) AS n FROM {name}{k} GROUP BY g, idx // 8)")
+
+    def climb(name: str, start: str, count: int) -> str:
+        """``id, g, proof, fold`` after the levels of a tower."""
+        for k in range(count):
+            side = lambda op: f"coalesce(string_agg(o.node, '' ORDER BY o.idx) FILTER (WHERE o.idx {op} s.idx), '')"
+            parts.append(f"""{name}_climb{k} AS MATERIALIZED (
+  SELECT s.id, s.g, s.idx // 8 AS idx, any_value(s.proof) || {side('<>')} AS proof,
+    CASE WHEN any_value(o.n) = 1 THEN any_value(s.fold) ELSE sha256({side('<')} || any_value(s.fold) || {side('>')}) END AS fold
+  FROM {start} s JOIN {name}{k} o ON s.g IS NOT DISTINCT FROM o.g AND s.idx // 8 = o.idx // 8 GROUP BY s.id, s.g, s.idx)""")
+            start = f"{name}_climb{k}"
+        return start
+
+    parts.append("placed AS MATERIALIZED (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM rows)")
+    tower("leaf", "SELECT lang AS g, idx, leaf AS node, n FROM placed", levels)
+    parts.append(f"subroots AS MATERIALIZED (SELECT g, node, row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM leaf{levels})")
+    tower("group", "SELECT 0 AS g, idx, node, n FROM subroots", group_levels)
+    parts.append("start AS (SELECT id, lang AS g, idx, '' AS proof, forged AS fold FROM placed)")
+    done = climb("leaf", "start", levels)
+    parts.append(f"over AS (SELECT d.id, 0 AS g, s.idx, d.proof, d.fold FROM {done} d JOIN subroots s ON d.g IS NOT DISTINCT FROM s.g)")
+    done = climb("group", "over", group_levels)
+    return f"""WITH {", ".join(parts)}
+SELECT p.doc_id, p.leaf, s.node AS subroot, r.node AS root, sha256(d.proof) AS proof_sha256, d.fold AS folded_root, d.fold = r.node AS verified
+FROM placed p JOIN {done} d USING (id) JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.g, group{group_levels} r"""
+
+
 _WHITE = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +176,5 @@ WITH w AS (
 )
 SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f
 """,
+    "op13_manifest": _manifest_sql(),
 }
