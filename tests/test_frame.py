@@ -167,3 +167,14 @@ def test_empty_batches(spark):
     assert len(list(batched(log, 1, "s"))) == 2 and len(list(batched(log, 1, "s", on_empty=None))) == 5
     with pytest.raises(EmptyBatchError):
         list(batched(log, 1, "s", on_empty="raise"))
+
+
+def test_static_features_and_types_of_nodes(spark):
+    edges = spark.createDataFrame([(0, 1, 1, [1.0, 2.0]), (1, 2, 2, [3.0, 4.0])], "src long, dst long, t long, edge_x array<float>")
+    nodes = spark.createDataFrame([(0, [1.0, 2.0, 3.0], 7), (1, [4.0, 5.0, 6.0], None), (2, [7.0, 8.0, 9.0], 8)], "nid long, static_x array<float>, node_type int")
+    log = EventLog.of(edges, nodes=nodes)
+    assert {r["nid"]: r["static_x"][0] for r in log.static_features().collect()} == {0: 1.0, 1: 4.0, 2: 7.0}
+    assert {r["nid"]: r["node_type"] for r in log.node_types().collect()} == {0: 7, 2: 8}
+    assert log.dims == {"edge_x": 2, "x": None, "y": None, "static_x": 3}
+    bare = EventLog.of(edges)
+    assert bare.static_features().count() == bare.node_types().count() == 0 and bare.dims["static_x"] is None

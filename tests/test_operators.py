@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegraph.operators import analytics, kernels, metrics, negatives, neighbors, predictors, tracking
 
@@ -176,6 +178,29 @@ def test_rank_ties(spark):
     assert [metrics.mrr(scored, ["q"], tie).first()[0] for tie in ("optimistic", "average", "pessimistic")] == pytest.approx([1 / 2, 1 / 2.5, 1 / 3])
 
 
+def test_spectral_moments_are_those_of_the_dense_matrix(spark):
+    rng = random.Random(12)
+    rows = [(b, 0, rng.randrange(6), rng.randrange(6)) for b in range(2) for _ in range(14)]  # self-loops and repeats too
+    got = {(r["batch_id"], r["k"]): r["mu"] for r in analytics.spectral_moments(spark.createDataFrame(rows, "batch_id long, kind int, src long, dst long"), 9, 4, 3).collect()}
+    signs = {(r["id"], r["p"]): r["s"] for r in spark.range(6).select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("p")).withColumn("s", analytics.probe_sign(F.col("id"), F.col("p"), 3)).collect()}
+    for b in range(2):
+        edges = [(s, d) for x, _, s, d in rows if x == b]
+        nodes = sorted({n for e in edges for n in e})
+        at = {n: i for i, n in enumerate(nodes)}
+        a = np.zeros((len(nodes), len(nodes)))
+        for s, d in edges:
+            a[at[s], at[d]] += 1
+            a[at[d], at[s]] += 1
+        degree = a.sum(axis=1)
+        m = -a / np.sqrt(np.outer(degree, degree))
+        z = np.array([[signs[n, p] for p in range(4)] for n in nodes])
+        t = [z, m @ z]
+        while len(t) < 9:
+            t.append(2 * m @ t[-1] - t[-2])
+        for k in range(9):
+            assert got[b, k] == pytest.approx((z * t[k]).sum() / z.size)
+
+
 def test_spectral_density_adds_up(spark):
     edges = edges_of(spark, [(i, (i + 1) % 12, i) for i in range(12)], 12)
     assert sum(r["density"] for r in analytics.spectral_density(edges).collect()) == pytest.approx(1.0, abs=0.05)
@@ -258,17 +283,30 @@ def test_places_of_ids(spark):
     assert sorted((r["batch_id"], r["nid"], r["local_id"]) for r in got if r["nid"] >= 0) == [(0, 3, 0), (0, 5, 1), (1, 5, 0)] and [r["local_id"] for r in got if r["nid"] < 0] == [None]
 
 
-def test_a_hub_is_numbered_in_parts(spark, monkeypatch):
+def test_a_hub_is_numbered_in_parts(spark):
     from tidegraph.functions import ranking
 
-    monkeypatch.setattr(ranking, "SPAN", 4)
     rows = spark.createDataFrame([("hub" if i % 5 else "x", i // 3, i) for i in range(60)], "k string, step long, o long")
-    got = {r["o"]: r["n"] for r in ranking.numbered(rows, ["k"], "step", ["o"], "n").collect()}
+    got = {r["o"]: r["n"] for r in ranking.numbered(rows, ["k"], "step", ["o"], "n", bits=2).collect()}
     expected, seen = {}, defaultdict(int)
     for i in range(60):
         seen["hub" if i % 5 else "x"] += 1
         expected[i] = seen["hub" if i % 5 else "x"]
     assert got == expected
     asked = spark.createDataFrame([("hub", s) for s in range(25)] + [("no", 3)], "k string, step long")
-    before = {(r["k"], r["step"]): r["c"] for r in ranking.count_before(rows, asked, ["k"], "step", "c").collect()}
+    before = {(r["k"], r["step"]): r["c"] for r in ranking.count_before(rows, asked, ["k"], "step", "c", bits=2).collect()}
     assert before == {("hub", s): sum(1 for i in range(60) if i % 5 and i // 3 < s) for s in range(25)} | {("no", 3): 0}
+
+
+def test_listed_negatives_by_type(spark):
+    edges = spark.createDataFrame([(0, 1, 2, 5, 0), (1, 1, 2, 5, 1), (2, 1, 2, 5, 2)], "event_idx long, src long, dst long, t long, edge_type int")
+    table = spark.createDataFrame([(1, 2, 5, 0, [7]), (1, 2, 5, 1, [8, 9])], "src long, dst long, t long, edge_type int, negs array<long>")
+    got = {r["event_idx"]: r["negs"] for r in negatives.listed_negatives(edges, table, typed=True).collect()}
+    assert got == {0: [7], 1: [8, 9], 2: None}
+
+
+def test_hyperbolic_tangent(spark):
+    from tidegraph.functions.scalar import tanh
+
+    got = [r[0] for r in spark.createDataFrame([(-2.0,), (0.0,), (0.5,)], "x double").select(tanh(F.col("x"))).collect()]
+    assert got == pytest.approx([np.tanh(v) for v in (-2.0, 0.0, 0.5)])

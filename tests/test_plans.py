@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 from tidegraph.errors import BadOperatorProtocolError, UndefinedRecipeError, UnresolvableOperatorDependenciesError
+from tidegraph.operators import negatives
 from tidegraph.plans import library, recipes, registry
 from tidegraph.plans.pipeline import Pipeline, ordered
 from tidegraph.plans.protocol import BaseOperator, BatchFrame
@@ -114,6 +117,74 @@ def test_state_is_carried_from_one_iteration_to_the_next_until_reset(spark):
     assert past == [{1: False, 2: False}, {1: True, 3: False}, {1: True, 2: True}]
 
 
+def iterations(spark, n, size=30):
+    rng = random.Random(6)
+    for i in range(n):
+        rows, t = [], 100 * i
+        for e in range(size):
+            t += rng.randrange(3)
+            kind = rng.choice([0, 0, 0, 0, 1, 2])
+            src, dst = (rng.randrange(6), rng.randrange(6)) if kind == 0 else (None, None)
+            rows.append((size * i + e, e // 5, t, kind, src, dst, None if kind == 0 else rng.randrange(8), [1.0] if kind == 0 else None, [2.0] if kind == 1 else None))
+        yield BatchFrame(spark.createDataFrame(rows, "event_idx long, batch_id long, t long, kind int, src long, dst long, nid long, edge_x array<float>, x array<float>"))
+
+
+def test_node_figures_are_carried_over(spark):
+    parts = list(iterations(spark, 3))
+    whole = None
+    for i, part in enumerate(parts):
+        events = part.events.selectExpr("* EXCEPT (batch_id)", f"batch_id + {6 * i} AS batch_id")
+        whole = events if whole is None else whole.unionByName(events)
+    tracked = spark.range(6).withColumnRenamed("id", "nid")
+    together, carried = library.NodeAnalytics(tracked).apply(BatchFrame(whole)), library.NodeAnalytics(tracked)
+    found = {}
+    for i, part in enumerate(parts):
+        out = carried.apply(part)
+        for name in ("node_stats", "node_macro_stats", "edge_stats"):
+            found.setdefault(name, []).extend({**r.asDict(), "batch_id": r["batch_id"] + 6 * i} for r in out[name].collect())
+    by_all = lambda rows: sorted(rows, key=lambda r: sorted(r.items()))
+    for name, rows in found.items():
+        assert len(rows) > 9 and by_all(rows) == by_all([r.asDict() for r in together[name].collect()])
+
+
+def test_historical_draws_are_of_all_earlier_edges(spark):
+    op = library.HistoricalNegatives()
+    past = set()
+    for part in iterations(spark, 3):
+        out = {(r["batch_id"], r["event_idx"]): (r["src"], r["neg"], r["valid"]) for r in op.apply(part)["neg"].collect()}
+        edges = part.events.where("kind = 0").select("batch_id", "event_idx", "src", "dst").collect()
+        for r in edges:
+            src, neg, valid = out[r["batch_id"], r["event_idx"]]
+            seen = {d for s, d in past if s == src} | {e["dst"] for e in edges if e["src"] == src and e["batch_id"] < r["batch_id"]}
+            assert (neg in seen and valid) if seen else (neg, valid) == (-1, False)
+        past |= {(e["src"], e["dst"]) for e in edges}
+
+
+def test_draws_among_counts(spark):
+    counts = spark.createDataFrame([(1, 5, 2), (1, 9, 3), (2, 7, 1)], "src long, dst long, n long")
+    draws = spark.createDataFrame([(1, b, b) for b in range(1, 6)] + [(2, 1, 1)], "src long, batch_id long, ord long")
+    got = {(r["src"], r["batch_id"]): r["neg"] for r in negatives._among(draws, counts).collect()}
+    assert got == {(1, 1): 5, (1, 2): 5, (1, 3): 9, (1, 4): 9, (1, 5): 9, (2, 1): 7}
+
+
+def plan_size(out, names):
+    return sum(len(out[n]._jdf.queryExecution().optimizedPlan().toString().splitlines()) for n in names)
+
+
+def test_plans_and_state_do_not_grow_with_iterations(spark):
+    part = next(iterations(spark, 1))
+    tracked = spark.range(6).withColumnRenamed("id", "nid")
+    for op, names in ((library.RecentNeighbors([2]), ["nbr_nids"]), (library.SeenNodes(), ["seen_nodes"]), (library.HistoricalNegatives(), ["neg"]), (library.NodeAnalytics(tracked), ["node_stats", "edge_stats", "node_macro_stats"])):
+        sizes, rows = [], []
+        for _ in range(10):
+            sizes.append(plan_size(op.apply(part), names))
+            rows.append(sum(t.count() for t in op.state().values()))
+        # the first has no state; from the second on the same is read
+        assert len(set(sizes[1:])) == 1 and len(set(rows)) == 1, (type(op).__name__, sizes, rows)
+        op.reset_state()
+        assert plan_size(op.apply(part), names) == sizes[0]
+
+
 def test_seeds_of_any_key(spark):
     frame = frame_of(spark, TRIPLES, 2, [(3, 1, 3), (3, 2, 5)])
     out = library.RecentNeighbors([2], ["node_y_nids"]).apply(frame)

@@ -3,9 +3,12 @@ import json
 import pandas as pd
 import pytest
 
+from tidegraph.operators import negatives
+from tidegraph.operators.batching import batched
 from tidegraph.operators.splits import BoundsSplit, split
 from tidegraph.sources import metric_log
-from tidegraph.sources.readers import from_bundle, from_csv, from_pandas, token_transfers
+from tidegraph.sources.readers import bounds_of, from_bundle, from_csv, from_pandas, from_sequence_bundle, token_transfers
+from tidegraph.timedelta import DATASETS, SEQUENCE_DATASETS, delta_of
 
 
 def rows_of(log, *columns):
@@ -62,3 +65,37 @@ def test_metric_log(spark, tmp_path):
     assert {r["metric"]: r["delta_pct"] for r in metric_log.compare_metrics(a, b).collect()}["loss"] == 200.0
     with pytest.raises(ValueError):
         metric_log.reduce_metrics(got, "mode")
+
+
+def test_granularities_of_public_benchmarks(spark, tmp_path):
+    assert (len(DATASETS), len(SEQUENCE_DATASETS)) == (22, 8)
+    assert [delta_of(n).unit for n in ("tgbl-wiki", "tgbn-trade", "tkgl-icews", "Yelp")] == ["s", "Y", "D", "s"]
+    with pytest.raises(ValueError, match="tgbl-none"):
+        delta_of("tgbl-none")
+    spark.createDataFrame([(1, 2, 3), (2, 3, 9)], "src long, dst long, t long").write.parquet(str(tmp_path / "edges.parquet"))
+    (tmp_path / "bounds.json").write_text(json.dumps({"train": [0, 3], "val": [4, 8], "test": [9, 9]}))
+    assert [from_bundle(spark, str(tmp_path), **kw).delta.unit for kw in ({}, {"dataset": "tgbn-trade"}, {"delta": "D"})] == ["s", "Y", "D"]
+
+
+def test_sequence_bundle_has_bounds_from_flags_and_stored_negatives(spark, tmp_path):
+    rows = [(i % 5, 10 + i % 7, i // 2, i < 12, 12 <= i < 16, i >= 16, i) for i in range(20)]
+    spark.createDataFrame(rows, "src long, dst long, t long, train boolean, val boolean, test boolean, ordinal long").write.parquet(str(tmp_path / "edges.parquet"))
+    log = from_sequence_bundle(spark, str(tmp_path), "Yelp")
+    train, val, test = split(log)
+    assert log.delta.unit == "s" and log.split.bounds == {"train": (0, 5), "val": (6, 7), "test": (8, 9)}
+    assert [p.edges().count() for p in (train, val, test)] == [12, 4, 4]
+    stored = spark.createDataFrame([(i, [100 * i, 100 * i + 1]) for i in range(4)], "row long, negs array<long>")
+    edges = batched(test, 3).events  # two batches: the offset runs on
+    got = {r["event_idx"]: r["negs"] for r in negatives.split_negatives(edges, "test", stored).collect()}
+    assert got == {16 + i: [100 * i, 100 * i + 1] for i in range(4)} or got == {i: [100 * i, 100 * i + 1] for i in range(4)}
+    short = {r["event_idx"] - min(got): r["negs"] for r in negatives.split_negatives(edges, "test", stored.where("row < 2")).collect()}
+    assert short == {0: [0, 1], 1: [100, 101], 2: None, 3: None}
+    drawn = negatives.split_negatives(val.edges(), "val", per_edge=6).collect()
+    span = [10 + i % 7 for i in range(12, 16)]
+    assert len(drawn) == 4 and all(len(r["negs"]) == 6 and all(min(span) <= n < max(span) for n in r["negs"]) for r in drawn)
+    with pytest.raises(ValueError):
+        negatives.split_negatives(edges, "test")
+    with pytest.raises(ValueError):
+        from_sequence_bundle(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="val"):
+        bounds_of(spark.createDataFrame([(1, True, False, True)], "t long, train boolean, val boolean, test boolean"))

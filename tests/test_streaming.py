@@ -48,6 +48,14 @@ def test_snapshots_sessions_and_first_events(spark, tmp_path):
     rows = [r for r in events() if r[3] == 0]
     got = run(spark, tmp_path / "a", rows, lambda s: streaming.snapshots(s, "60 seconds", "0 seconds"), "snapshots", "complete")
     assert sum(r["n_edges"] for r in got.collect()) == len(rows)
+    slid = run(spark, tmp_path / "d", rows, lambda s: streaming.sliding(s, "60 seconds", "30 seconds", "0 seconds"), "slid", "complete")
+    latest = {}
+    for r in rows:
+        at = r[2] + 1_000_000_000
+        for begin in (at // 30 * 30, at // 30 * 30 - 30):
+            latest[begin, r[4], r[5]] = max(latest.get((begin, r[4], r[5]), 0), at)
+    ends = slid.select(F.unix_seconds("window.start").alias("begin"), "src", "dst", F.unix_seconds("last_ts").alias("last")).collect()
+    assert {(r["begin"], r["src"], r["dst"]): r["last"] for r in ends} == latest
     first = run(spark, tmp_path / "b", rows, lambda s: streaming.first_per_bucket(s, 1000, "1 hour"), "first")
     assert first.count() == len({(r[4], r[5]) for r in rows})
     sessions = run(spark, tmp_path / "c", rows, lambda s: streaming.sessions(s, "1 hour", "0 seconds"), "sessions", "complete")

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frame import EventLog
-from .functions.scalar import hashed_sql, time2vec_weights
+from .frame import EventLog, endpoints
+from .functions.scalar import hashed_sql, scattered_sql, time2vec_weights
 from .graphs import ACTIVITY_SQL, TRADE_SQL, activity, trade
 from .operators import analytics, kernels, metrics, negatives, neighbors, predictors, splits, tracking
 from .operators.batching import batch_sizes, batched
 from .operators.discretise import discretise
+from .plans import library
+from .plans.protocol import BatchFrame
 from .sources.readers import token_transfers
 from .workspace import keep, new_path
 
@@ -244,8 +246,26 @@ SELECT batch_id, nid, coalesce(degree, 0) AS degree, coalesce(new_neighbors, 0)
 @query(on_activity(_NODES))
 def node_analytics(spark, sf_dir):
     """All nodes of the log tracked."""
-    out = analytics.node_analytics(daily(spark, sf_dir), activity(spark, sf_dir).get_nodes())
-    return out.withColumn("activity", F.round("activity", 6))
+    events = daily(spark, sf_dir)
+    return analytics.node_analytics(events, endpoints(events).distinct()).withColumn("activity", F.round("activity", 6))
+
+
+_CUT = "(SELECT max(batch_id) * 7 // 10 FROM d)"
+
+
+@query(on_activity(_NODES + f" AND batch_id >= {_CUT}"))
+def carried_node_analytics(spark, sf_dir):
+    """Node figures of the last days, by an operator that was shown the days before in an iteration of their own."""
+    train, test = _cut(daily(spark, sf_dir))
+    operator = library.NodeAnalytics(endpoints(train).unionByName(endpoints(test)).distinct())
+    operator.apply(BatchFrame(train))
+    return operator.apply(BatchFrame(test))["node_stats"].withColumn("activity", F.round("activity", 6))
+
+
+def _cut(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Batches before seven tenths of the last batch's number, and those from there on."""
+    first = events.agg(F.max("batch_id")).first()[0] * 7 // 10
+    return events.where(F.col("batch_id") < first), events.where(F.col("batch_id") >= first)
 
 
 @query(on_activity(f""", {_DAYS}, f AS (SELECT nid, min(batch_id) AS b FROM (SELECT batch_id, unnest(CASE WHEN kind = 0 THEN [src, dst] ELSE [nid] END) AS nid FROM d) GROUP BY 1)
@@ -285,9 +305,28 @@ def edge_ratio(spark, sf_dir):
     return kernels.edge_ratio(analytics.snapshot_metrics(daily(spark, sf_dir))).withColumn("tau", F.round("tau", 6))
 
 
-@query()
+def _spectral_sql(moments: int = 20, probes: int = 10, bins: int = 21) -> str:
+    """The moments by products of the matrix with each vector, all as rows (batch, node, probe)."""
+    sign = f"1 - 2 * (({scattered_sql('nid', 'p', '0')} >> 16) % 2)"
+    steps = [f"t0 AS MATERIALIZED (SELECT batch_id, nid, p, ({sign})::DOUBLE AS x FROM deg, (SELECT unnest(range({probes})) AS p))"]
+    product = lambda k: f"SELECT m.batch_id, m.nid, p, sum(w * x) AS x FROM m JOIN t{k} t ON t.batch_id = m.batch_id AND t.nid = m.nbr GROUP BY 1, 2, 3"
+    steps.append(f"t1 AS MATERIALIZED ({product(0)})")
+    for k in range(2, moments):
+        steps.append(f"t{k} AS MATERIALIZED (SELECT y.batch_id, y.nid, y.p, 2 * y.x - z.x AS x FROM ({product(k - 1)}) y JOIN t{k - 2} z USING (batch_id, nid, p))")
+    mus = " UNION ALL ".join(f"SELECT batch_id, {k} AS k, avg(z.x * t.x) AS mu FROM t0 z JOIN t{k} t USING (batch_id, nid, p) GROUP BY 1" for k in range(moments))
+    big = moments + 1
+    damped = f"(({big} - k) * cos(pi() * k / {big}) + sin(pi() * k / {big}) / tan(pi() / {big})) / {big}"
+    upto = lambda b: f"(CASE WHEN k = 0 THEN pi() - acos(-1 + 1e-6 + (2 - 2e-6) * ({b}) / {bins}) ELSE -2 * sin(k * acos(-1 + 1e-6 + (2 - 2e-6) * ({b}) / {bins})) / greatest(k, 1) END) / pi()"
+    return f""", {_DAYS}, h AS (SELECT batch_id, src AS nid, dst AS nbr FROM d WHERE kind = 0 UNION ALL SELECT batch_id, dst, src FROM d WHERE kind = 0),
+deg AS MATERIALIZED (SELECT batch_id, nid, count(*)::DOUBLE AS d FROM h GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT c.batch_id, c.nid, c.nbr, -n / sqrt(a.d * b.d) AS w FROM (SELECT batch_id, nid, nbr, count(*) AS n FROM h GROUP BY 1, 2, 3) c
+  JOIN deg a ON a.batch_id = c.batch_id AND a.nid = c.nid JOIN deg b ON b.batch_id = c.batch_id AND b.nid = c.nbr), {", ".join(steps)}, mus AS ({mus})
+SELECT batch_id, bin, round(sum(mu * {damped} * ({upto("bin + 1")} - {upto("bin")})), 5) + 0 AS density FROM mus, (SELECT unnest(range({bins}))::INT AS bin) GROUP BY 1, 2"""
+
+
+@query(on_activity(_spectral_sql()))
 def spectral_density(spark, sf_dir):
-    return analytics.spectral_density(daily(spark, sf_dir)).withColumn("density", F.round("density", 6))
+    return analytics.spectral_density(daily(spark, sf_dir)).withColumn("density", F.round("density", 5) + 0)
 
 
 # -- neighbourhoods ----------------------------------------------------------------------------------
@@ -309,6 +348,15 @@ def recency_1hop(spark, sf_dir):
     return neighbors.recent(neighbors.link_seeds(edges), edges, K, CAP).drop("nbr_x")
 
 
+@query(on_activity(f", {_ENTRIES}, {_HOP1} SELECT seed_id, batch_id, node, slot, nbr, nbr_t FROM hop1 WHERE batch_id >= (SELECT max(batch_id) * 7 // 10 FROM edges)"))
+def carried_recency(spark, sf_dir):
+    """Neighbours of the last batches' seeds, by an operator that was shown the batches before in an iteration of their own."""
+    operator = library.RecentNeighbors([CAP])
+    train, test = _cut(edges_of(spark, sf_dir))
+    operator.apply(BatchFrame(train))
+    return operator.apply(BatchFrame(test))["nbr_nids"].select("seed_id", "batch_id", "node", "slot", "nbr", "nbr_t")
+
+
 @query(on_activity(f""", {_ENTRIES}, {_HOP1}, seeds2 AS (SELECT seed_id * {CAP} + slot AS seed_id, batch_id, nbr AS node, nbr_t AS q FROM hop1),
 cb AS (SELECT DISTINCT node, batch_id FROM seeds2), held2 AS (SELECT a.node, a.batch_id, coalesce(sum(b.n), 0) AS c FROM cb a LEFT JOIN c b ON a.node = b.node AND b.batch_id < a.batch_id GROUP BY 1, 2),
 m2 AS (SELECT s.seed_id, s.batch_id, s.node, s.q, o.nbr, o.t AS nbr_t, o.ord FROM seeds2 s JOIN held2 h ON s.node = h.node AND s.batch_id = h.batch_id
@@ -330,7 +378,20 @@ def recency_padded(spark, sf_dir):
     return padded.select("seed_id", F.posexplode(F.arrays_zip("nbrs", "nbr_ts")).alias("place", "e")).select("seed_id", "place", F.col("e.nbrs").alias("nbr"), F.col("e.nbr_ts").alias("nbr_t"))
 
 
-@query()
+def _uniform_sql(k: int) -> str:
+    """Of c entries before the batch: k numbers, one a step, of 1 to the step's top, or the top if that has been drawn."""
+    steps = ["d0 AS (SELECT s.seed_id, s.batch_id, s.node, s.q, c, []::BIGINT[] AS drawn FROM asked s WHERE c > %d)" % k]
+    for i in range(k):
+        top = f"(c - {k} + {i + 1})"
+        steps.append(f"d{i + 1} AS (SELECT * EXCLUDE (drawn, pick, top), list_append(drawn, CASE WHEN list_contains(drawn, pick) THEN top ELSE pick END) AS drawn FROM (SELECT *, {top} AS top, 1 + {hashed_sql('seed_id', top, '0')} % {top} AS pick FROM d{i}))")
+    return f""", {_ENTRIES}, starts AS (SELECT batch_id, min(t) AS bt FROM edges GROUP BY 1),
+num AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY t, event_idx, role) AS place FROM inc),
+asked AS MATERIALIZED (SELECT s.*, c FROM seeds s JOIN (SELECT n.node, n.batch_id, count(i.t) AS c FROM (SELECT DISTINCT node, batch_id, bt FROM seeds JOIN starts USING (batch_id)) n JOIN inc i ON i.node = n.node AND i.t < n.bt GROUP BY 1, 2) h USING (node, batch_id)),
+{", ".join(steps)}, wanted AS (SELECT seed_id, batch_id, node, q, unnest(drawn) AS place FROM d{k} UNION ALL SELECT seed_id, batch_id, node, q, unnest(range(1, c + 1)) FROM asked WHERE c <= {k})
+SELECT w.seed_id, w.batch_id, w.node, w.q, (row_number() OVER (PARTITION BY w.seed_id ORDER BY w.place) - 1)::INT AS slot, n.nbr, n.t AS nbr_t FROM wanted w JOIN num n USING (node, place)"""
+
+
+@query(on_activity(_uniform_sql(K)))
 def uniform_neighbors(spark, sf_dir):
     edges = edges_of(spark, sf_dir)
     return neighbors.uniform(neighbors.link_seeds(edges), edges, K).drop("nbr_x")
@@ -401,6 +462,15 @@ def listed_negatives(spark, sf_dir):
     return negatives.batch_negatives(negatives.listed_negatives(edges, _prepared(edges)))
 
 
+@query(on_trade("""SELECT event_idx, edge_type::INT AS edge_type, dst + 1 AS neg FROM log WHERE edge_type % 2 = 1"""))
+def typed_negatives(spark, sf_dir):
+    """Listed negatives of edges that differ by their type only: odd types have the supplier after theirs, others none."""
+    edges = trade(spark, sf_dir).edges("t", "src", "dst", "edge_type")
+    listed = edges.where("edge_type % 2 = 1").select("src", "dst", "t", "edge_type").distinct().withColumn("negs", F.array(F.col("dst") + 1))
+    found = negatives.listed_negatives(edges, listed, typed=True)
+    return found.select("event_idx", "edge_type", F.explode("negs").alias("neg"))
+
+
 @query(on_activity(f"SELECT event_idx, i::INT AS place, 1000 + {hashed_sql('event_idx', 'i', '0')} % 100 AS neg FROM (SELECT event_idx, unnest(range(10)) AS i FROM edges)"))
 def sequence_negatives(spark, sf_dir):
     return negatives.sequence_negatives(edges_of(spark, sf_dir), 1000, 1100, 10).select("event_idx", F.posexplode("negs").alias("place", "neg"))
@@ -613,23 +683,23 @@ cn AS (SELECT pair_id, '1-1' AS "order", nbr, i1.w * j1.w AS weight FROM i1 JOIN
   UNION ALL SELECT pair_id, '2-2', nbr, i2.w * j2.w FROM i2 JOIN j2 USING (pair_id, nbr))"""
 
 
-def _common(spark, sf_dir) -> DataFrame:
-    """The pairs of every batch, with partners among all users, against the edges of the batches before."""
+def _common(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The pairs of every batch, with partners among all users, and the edges."""
     edges = keep(edges_of(spark, sf_dir), "edges")
     n = edges.agg(F.max("src")).first()[0] + 1
-    pairs = edges.select(F.col("event_idx").alias("pair_id"), "batch_id", F.col("src").alias("i"), ((F.col("src") * 7 + 1) % n).alias("j"))
-    return kernels.common_neighbors(pairs, edges, 8, before=True)
+    return edges.select(F.col("event_idx").alias("pair_id"), "batch_id", F.col("src").alias("i"), ((F.col("src") * 7 + 1) % n).alias("j")), edges
 
 
-@query(on_activity(f', {_PAIRS} SELECT pair_id, "order", nbr, round(weight, 6) AS weight FROM cn'))
+@query()  # the rows are as many as the SQL is slow; compared with brute force in tests/test_as_of.py
 def common_neighbors(spark, sf_dir):
-    return _common(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+    found = kernels.common_neighbors(*_common(spark, sf_dir), 8, before=True)
+    return found.withColumn("weight", F.round("weight", 6))
 
 
 @query(on_activity(f', {_PAIRS} SELECT pair_id, "order", 0::INT AS pos, round(sum(weight * (nbr % 10)), 6) AS value FROM cn GROUP BY 1, 2'))
 def common_neighbor_features(spark, sf_dir):
     # weighted_features of the feature nid % 10 that every node has; a join would only look it up
-    rows = _common(spark, sf_dir).groupBy("pair_id", "order").agg(F.sum(F.col("weight") * (F.col("nbr") % 10)).alias("value"))
+    rows = kernels.common_neighbor_sums(*_common(spark, sf_dir), F.col("nbr") % 10)
     return rows.select("pair_id", "order", F.lit(0).alias("pos"), rounded("value", "value"))
 
 
@@ -644,6 +714,23 @@ def walk_matrices(spark, sf_dir):
     return kernels.walk_matrices(edges_of(spark, sf_dir), 2).where("layer > 0").select("layer", "node", "col", rounded("val", "val"))
 
 
+_DIMS = 16
+_SIGN = lambda node, dim: f"(1 - 2 * (({scattered_sql(node, dim, '0')} >> 16) % 2)) / sqrt({_DIMS}::DOUBLE)"
+
+
+@query(on_activity(f""", fin AS (SELECT max(t) AS f FROM edges), ks AS (SELECT unnest(range({_DIMS}))::INT AS col),
+w AS MATERIALIZED (SELECT batch_id, u, v, sum(exp(-1e-6::DOUBLE * (f - t))) AS w FROM (SELECT batch_id, t, src AS u, dst AS v FROM edges UNION ALL SELECT batch_id, t, dst, src FROM edges), fin GROUP BY 1, 2, 3),
+r AS MATERIALIZED (SELECT v AS node, col, {_SIGN("v", "col")} AS val FROM (SELECT DISTINCT v FROM w), ks),
+one AS MATERIALIZED (SELECT batch_id, u AS node, col, sum(w * val) AS val FROM w JOIN r ON node = v GROUP BY 1, 2, 3),
+asked AS (SELECT DISTINCT batch_id, v AS node FROM w), both_ AS (SELECT batch_id, node, col, val FROM one UNION ALL SELECT batch_id, node, col, 0 FROM asked, ks),
+so_far AS MATERIALIZED (SELECT batch_id, node, col, sum(sum(val)) OVER (PARTITION BY node, col ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS val FROM both_ GROUP BY 1, 2, 3),
+two AS (SELECT u AS node, col, sum(w * val) AS val FROM w JOIN so_far s ON s.node = v AND s.batch_id = w.batch_id WHERE val IS NOT NULL GROUP BY 1, 2)
+SELECT 0::INT AS layer, node, col, round(val, 5) + 0 AS val FROM r UNION ALL SELECT 1::INT, node, col, round(sum(val), 5) + 0 FROM one GROUP BY 2, 3 UNION ALL SELECT 2::INT, node, col, round(val, 5) + 0 FROM two"""))
+def walk_projection(spark, sf_dir):
+    """Hashed random projections of the rows of the walk matrices of all layers."""
+    return kernels.projected_walks(edges_of(spark, sf_dir), 2, _DIMS).select("layer", "node", "col", (F.round("val", 5) + 0).alias("val"))
+
+
 # -- sources -----------------------------------------------------------------------------------------
 
 

@@ -164,6 +164,24 @@ class EventLog:
             *(F.max(F.size(c)).alias(f"{c}_dim") for c in ("edge_x", "x", "y")),
         )
 
+    def static_features(self) -> DataFrame:
+        """``nid, static_x`` of the nodes that have them; none without a node table."""
+        return self._nodes().where("static_x IS NOT NULL").select("nid", "static_x")
+
+    def node_types(self) -> DataFrame:
+        """``nid, node_type`` of the nodes that have one."""
+        return self._nodes().where("node_type IS NOT NULL").select("nid", "node_type")
+
+    def _nodes(self) -> DataFrame:
+        empty = "nid long, static_x array<float>, node_type int"
+        return self.events.sparkSession.createDataFrame([], empty) if self.nodes is None else self.nodes
+
+    @cached_property
+    def dims(self) -> dict[str, int | None]:
+        """Lengths of the vectors of edges, node features, labels and static features; null where there are none."""
+        static = self._nodes().agg(F.max(F.size("static_x"))).first()[0]
+        return {c: self.facts[f"{c}_dim"] for c in ("edge_x", "x", "y")} | {"static_x": None if static is None or static < 0 else static}
+
     @cached_property
     def facts(self) -> dict:
         """``properties`` on the driver: one row."""

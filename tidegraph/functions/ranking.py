@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import keep
+from .scan import SPAN_BITS, at_steps, scan
 
 #: ``monotonically_increasing_id`` has the partition above these bits and the place in it below.
 PLACE_BITS = 33
@@ -30,39 +31,24 @@ def global_rank(rows: DataFrame, order: list[str | Column], name: str) -> DataFr
     return ranged.join(F.broadcast(table), "__part").withColumn(name, F.col("__place") + F.col("__offset")).drop("__part", "__place", "__offset")
 
 
-#: Steps whose sums are added up together before they are summed along a key.
-SPAN = 1024
+def sum_before(rows: DataFrame, keys: list[str], step: str, n: str, alias: str, bits: int = SPAN_BITS) -> DataFrame:
+    """``rows`` - one for each keys and step - with ``alias`` (long): the sum of ``n`` over the keys' rows of smaller steps."""
+    return scan(rows, keys, step, {alias: ("sum", n)}, bits=bits).withColumn(alias, F.coalesce(alias, F.lit(0)).cast("long"))
 
 
-def sum_before(rows: DataFrame, keys: list[str], step: str, n: str, alias: str) -> DataFrame:
-    """``rows`` - one for each keys and step - with ``alias``: the sum of ``n`` over the keys' rows of smaller steps.
-
-    However common a key is, no task goes along all its steps: sums of spans of steps come first, a running sum over
-    these, and one within each span.
-    """
-    spanned = rows.withColumn("__span", F.floor(F.col(step) / SPAN))
-    sums = spanned.groupBy(*keys, "__span").agg(F.sum(n).alias("__sum"))
-    nothing = F.lit(0).cast("long")
-    along = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "__span", F.coalesce(F.sum("__sum").over(along), nothing).alias("__past"))
-    inside = Window.partitionBy(*keys, "__span").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    out = spanned.withColumn("__in", F.coalesce(F.sum(n).over(inside), nothing)).join(sums, [*keys, "__span"])
-    return out.withColumn(alias, (F.col("__in") + F.col("__past")).cast("long")).drop("__span", "__in", "__past")
-
-
-def numbered(rows: DataFrame, keys: list[str], step: str, order: list[str], alias: str) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], step: str, order: list[str], alias: str, bits: int = SPAN_BITS) -> DataFrame:
     """``rows`` with ``alias`` (long, from 1): their places among the keys' rows by ``step`` and then ``order``.
 
     Rows of one step are numbered by themselves, after as many as ``sum_before`` finds.
     """
-    counts = sum_before(rows.groupBy(*keys, step).agg(F.count("*").alias("__n")), keys, step, "__n", "__first").drop("__n")
+    counts = sum_before(rows.groupBy(*keys, step).agg(F.count("*").alias("__n")), keys, step, "__n", "__first", bits).drop("__n")
     place = F.row_number().over(Window.partitionBy(*keys, step).orderBy(*order))
     return rows.withColumn("__place", place).join(counts, [*keys, step]).withColumn(alias, F.col("__place") + F.col("__first")).drop("__place", "__first")
 
 
-def count_before(rows: DataFrame, asked: DataFrame, keys: list[str], step: str, alias: str) -> DataFrame:
+def count_before(rows: DataFrame, asked: DataFrame, keys: list[str], step: str, alias: str, bits: int = SPAN_BITS) -> DataFrame:
     """``keys, step`` (each once) of ``asked`` with ``alias``: how many of ``rows`` have the same keys and a smaller step."""
-    there = rows.groupBy(*keys, step).agg(F.count("*").alias("__n")).withColumn("__asks", F.lit(0))
-    wanted = asked.select(*keys, step).distinct().withColumn("__n", F.lit(0).cast("long")).withColumn("__asks", F.lit(1))
-    steps = there.unionByName(wanted).groupBy(*keys, step).agg(F.sum("__n").alias("__n"), F.max("__asks").alias("__asks"))
-    return sum_before(steps, keys, step, "__n", alias).where("__asks = 1").select(*keys, step, alias)
+    there = rows.groupBy(*keys, step).agg(F.count("*").alias("__n"))
+    wanted = asked.select(*keys, step).distinct().withColumn("__asks", F.lit(1))
+    steps = at_steps([there, wanted], [*keys, step], {"__n": "sum", "__asks": "max"})
+    return sum_before(steps, keys, step, "__n", alias, bits).where("__asks = 1").select(*keys, step, alias)

@@ -23,6 +23,10 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def tanh(x: Column) -> Column:
+    return F.tanh(x)
+
+
 def relu(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0))
 
@@ -95,6 +99,22 @@ def hashed_sql(*parts: str) -> str:
     return f"({state})"
 
 
+def scattered(*parts: Column | str | int) -> Column:
+    """``hashed``, squared twice: numbers of neighbouring parts have nothing to do with each other, as random signs need."""
+    state = hashed(*parts)
+    for _ in range(2):
+        state = F.pmod(state * state + 12_345 + F.shiftright(state, 16), F.lit(2_147_483_647))
+    return state
+
+
+def scattered_sql(*parts: str) -> str:
+    """``scattered`` as SQL."""
+    state = hashed_sql(*parts)
+    for _ in range(2):
+        state = f"(({state} * {state} + 12345 + ({state} >> 16)) % 2147483647)"
+    return state
+
+
 def pretty_number(n: float) -> str:
     """A number in thousands, millions or billions: 1.5K, 2.0M."""
     for size, suffix in ((1e9, "B"), (1e6, "M"), (1e3, "K")):

@@ -60,7 +60,7 @@ raw AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), log AS (
   SELECT row_number() OVER (ORDER BY t, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, ship) - 1 AS event_idx,
-    t, src, dst, price, discount FROM raw
+    t, src, dst, price, discount, l_linenumber AS edge_type FROM raw
 )"""
 
 

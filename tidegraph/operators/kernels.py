@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import dot, merge_concat, merge_weighted, softmax, time2vec, time2vec_weights
-from ..workspace import keep
+from ..functions.ranking import sum_before
+from ..functions.scalar import dot, merge_concat, merge_weighted, scattered, softmax, time2vec, time2vec_weights
+from ..functions.scan import at_steps, scan
+from ..workspace import configured, keep
 
 # -- messages and memory ---------------------------------------------------------------------------
 
@@ -45,8 +47,8 @@ def last_update(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 def relative_times(rows: DataFrame) -> DataFrame:
     """``rows`` with ``dt``: the time since the node's update in an earlier batch; since 0 for its first."""
     updates = rows.groupBy("node", "batch_id").agg(F.max("t").alias("top"))
-    before = updates.withColumn("since", F.coalesce(F.max("top").over(Window.partitionBy("node").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(before.select("node", "batch_id", "since"), ["node", "batch_id"]).withColumn("dt", F.col("t") - F.col("since")).drop("since")
+    before = scan(updates, ["node"], "batch_id", {"since": ("max", "top")})
+    return rows.join(before.select("node", "batch_id", F.coalesce("since", F.lit(0)).alias("since")), ["node", "batch_id"]).withColumn("dt", F.col("t") - F.col("since")).drop("since")
 
 
 def encode_times(rows: DataFrame, dim: int, dt: str = "dt") -> DataFrame:
@@ -142,8 +144,8 @@ def chebyshev(edges: DataFrame, values: DataFrame, by: list[str], order: int) ->
 
 def edge_ratio(metrics: DataFrame) -> DataFrame:
     """``batch_id, tau``: all edges before a snapshot over these and its own (rows ``batch_id, n_edges``)."""
-    before = F.coalesce(F.sum("n_edges").over(Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return metrics.withColumn("b", before).select("batch_id", (F.col("b") / (F.col("b") + F.col("n_edges"))).alias("tau"))
+    before = sum_before(metrics.select("batch_id", "n_edges"), [], "batch_id", "n_edges", "b")
+    return before.select("batch_id", (F.col("b") / (F.col("b") + F.col("n_edges"))).alias("tau"))
 
 
 # -- common neighbours -----------------------------------------------------------------------------
@@ -156,13 +158,80 @@ def adjacency(edges: DataFrame, upto: Column | None = None) -> DataFrame:
     return rows.select(F.explode(ways).alias("e")).select("e.*").groupBy("u", "v").agg(F.count("*").cast("double").alias("a"))
 
 
-def adjacency_before(edges: DataFrame) -> DataFrame:
-    """``u, v, a, since, until``: the adjacency of the edges of all batches before a batch, for each of the batches since < batch <= until."""
+def both_directions(edges: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``batch_id, u, v, w``: edges both ways, of each batch the weights (default: 1) of repeats added up."""
     ways = F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))
-    rows = edges.select("batch_id", F.explode(ways).alias("e")).select("e.*", F.col("batch_id").alias("since")).groupBy("u", "v", "since").agg(F.count("*").cast("double").alias("n"))
-    of_pair = Window.partitionBy("u", "v").orderBy("since")
-    so_far = F.sum("n").over(of_pair.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.select("u", "v", so_far.alias("a"), "since", F.coalesce(F.lead("since").over(of_pair), F.lit(2**63 - 1)).alias("until"))
+    rows = edges.select("batch_id", (F.lit(1.0) if weight is None else weight).alias("w"), F.explode(ways).alias("e"))
+    return rows.groupBy("batch_id", "e.u", "e.v").agg(F.sum("w").alias("w"))
+
+
+class AsOf:
+    """A matrix that grows batch by batch (rows ``batch_id, u, v, w``; batches from 0), to be read as it was before any batch.
+
+    Each entry has versions, sums that hold from a batch to the next one that adds to it.  The batches of a version are cut
+    into dyadic intervals, the nodes of a segment tree, at most two a level; a batch lies in one interval of each level.  So a
+    row of the matrix is found by equality of row, level and interval, and what is found is the row's entries: not
+    the history of a hub, however often its entries have changed.
+    """
+
+    def __init__(self, added: DataFrame):
+        top = added.agg(F.max("batch_id")).first()[0]  # one number
+        self.levels = max(1, int(top or 0).bit_length() + 1)
+        rows = scan(added.select("batch_id", "u", "v", "w"), ["u", "v"], "batch_id", {"a": ("sum", "w")}, inclusive=True)
+        rows = scan(rows, ["u", "v"], "batch_id", {"until": ("last", "batch_id")}, backward=True)
+        # seen by the batches after batch_id, up to the one that adds again
+        ends = F.coalesce(F.col("until") + 1, F.lit(1 << self.levels))
+        pieces = self._pieces(F.col("batch_id") + 1, ends)
+        self.entries = rows.select("u", "v", "a", F.explode(pieces).alias("p")).select("u", "v", "a", "p.level", "p.interval")
+
+    def _pieces(self, start: Column, stop: Column) -> Column:
+        """Dyadic intervals that together are start, ..., stop - 1: from below, an end that is the odd half of its parent stands alone."""
+        none = F.array().cast("array<struct<level:int,interval:bigint>>")
+        first = F.struct(start.cast("long").alias("lo"), stop.cast("long").alias("hi"), none.alias("found"))
+
+        def up(state: Column, level: Column) -> Column:
+            lo, hi = state["lo"], state["hi"]
+            left, right = (lo < hi) & (lo % 2 == 1), (lo < hi) & (hi % 2 == 1)
+            one = lambda test, at: F.when(test, F.array(F.struct(level.alias("level"), at.alias("interval")))).otherwise(none)
+            found = F.concat(state["found"], one(left, lo), one(right, hi - 1))
+            return F.struct(F.shiftright(lo + left.cast("long"), 1).alias("lo"), F.shiftright(hi - right.cast("long"), 1).alias("hi"), found.alias("found"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(self.levels)), first, up, lambda state: state["found"])
+
+    def rows(self, asked: DataFrame) -> DataFrame:
+        """``batch_id, u, v, a``: the rows ``u`` asked for (batch_id, u; repeats count once) as they were before the batch."""
+        probes = asked.select("batch_id", "u").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(self.levels))))
+        probes = probes.withColumn("interval", F.expr("shiftright(batch_id, level)"))
+        return probes.join(self.entries, ["u", "level", "interval"]).select("batch_id", "u", "v", "a")
+
+
+def _meetings(pairs: DataFrame, near: DataFrame, far: DataFrame | None, at: list[str]) -> DataFrame:
+    """``at, pair_id, i, j, nbr, i1, j1, i2, j2``: a row for each node that one or two steps of i or j lead to, with the weights of these steps.
+
+    ``near, far``: ``at, u, v, a``, rows of the adjacency for the nodes of pairs and of their neighbours.  Steps and paths of both ends are
+    added up at once.
+    """
+    ends = pairs.select("pair_id", *at, "i", "j", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("u")), F.struct(F.lit(1).alias("side"), F.col("j").alias("u")))).alias("e")).select("pair_id", *at, "i", "j", "e.*")
+    one = ends.join(near, [*at, "u"]).select(*at, "pair_id", "i", "j", "side", F.col("v").alias("nbr"), F.col("a").alias("w"), F.lit(1).alias("steps"))
+    rows = one
+    if far is not None:
+        outside = (F.col("nbr") != F.col("i")) & (F.col("nbr") != F.col("j"))
+        two = one.where(outside).withColumnRenamed("nbr", "u").join(far, [*at, "u"])
+        two = two.select(*at, "pair_id", "i", "j", "side", F.col("v").alias("nbr"), (F.col("w") * F.col("a")).alias("w"), F.lit(2).alias("steps")).where(outside)
+        rows = one.unionByName(two)
+    sums = (F.sum(F.when((F.col("side") == side) & (F.col("steps") == steps), F.col("w"))).alias(f"{name}{steps}") for side, name in ((0, "i"), (1, "j")) for steps in (1, 2))
+    return rows.groupBy(*at, "pair_id", "i", "j", "nbr").agg(*sums)
+
+
+def _orders(k: int) -> Column:
+    """``order, weight`` of every order of a row of ``_meetings``; null weights where the ends do not meet."""
+    c, outside = F.col, (F.col("nbr") != F.col("i")) & (F.col("nbr") != F.col("j"))
+    found = {"1-1": c("i1") * c("j1")}
+    if k >= 4:
+        found |= {"0-1": F.when(c("nbr") == c("i"), c("j1")), "1-0": F.when(c("nbr") == c("j"), c("i1"))}
+    if k == 8:
+        found |= {"1-2": F.when(outside, c("i1") * c("j2")), "2-1": F.when(outside, c("i2") * c("j1")), "2-2": c("i2") * c("j2")}
+    return F.array(*(F.struct(F.lit(name).alias("order"), weight.alias("weight")) for name, weight in found.items()))
 
 
 def common_neighbors(pairs: DataFrame, edges: DataFrame, k: int = 2, now: Column | int | None = None, updates: DataFrame | None = None, before: bool = False) -> DataFrame:
@@ -174,44 +243,52 @@ def common_neighbors(pairs: DataFrame, edges: DataFrame, k: int = 2, now: Column
 
     With ``updates`` (nid, last_update) weights decay by exp(-(now - last_update) / 10000).
     With ``before``, pairs and edges have a ``batch_id`` and a pair sees the edges of the batches before its own.
-    Two-step paths of i start from the pairs asked for only, and are summed before they meet j's.
     """
-    if k not in (2, 4, 8):
-        raise ValueError(f"k is 2, 4 or 8, not {k}")
-    at = ["batch_id"] if before else []
-    adj = adjacency_before(edges) if before else adjacency(edges)
-
-    def step(rows: DataFrame) -> DataFrame:
-        found = rows.join(adj, "u")
-        return found.where("since < batch_id AND batch_id <= until") if before else found
-
-    one = lambda side: step(pairs.select("pair_id", *at, "i", "j", F.col(side).alias("u"))).select("pair_id", *at, "i", "j", F.col("v").alias("nbr"), F.col("a").alias("w"))
-
-    def meet(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        other = b.select("pair_id", "nbr", F.col("w").alias("w2"))
-        return a.join(other, ["pair_id", "nbr"]).select("pair_id", "i", "j", F.lit(name).alias("order"), "nbr", (F.col("w") * F.col("w2")).alias("weight"))
-
-    zero = lambda side: pairs.select("pair_id", "i", "j", F.col(side).alias("nbr"), F.lit(1.0).alias("w"))
-    outside = (F.col("nbr") != F.col("i")) & (F.col("nbr") != F.col("j"))
-    i1, j1 = one("i"), one("j")
-    out = meet(i1, j1, "1-1")
-    if k >= 4:
-        out = out.unionByName(meet(zero("i"), j1, "0-1")).unionByName(meet(i1, zero("j"), "1-0"))
-    if k == 8:
-
-        def two(first: DataFrame) -> DataFrame:
-            rows = step(first.where(outside).select("pair_id", *at, "i", "j", F.col("nbr").alias("u"), "w"))
-            return rows.groupBy("pair_id", "i", "j", F.col("v").alias("nbr")).agg(F.sum(F.col("w") * F.col("a")).alias("w")).where(outside)
-
-        i2, j2 = two(i1), two(j1)
-        for name, a, b in (("1-2", i1, j2), ("2-1", i2, j1), ("2-2", i2, j2)):
-            out = out.unionByName(meet(a, b, name).where(outside))
+    found = _all_meetings(pairs, edges, k, before)
+    out = found.select("pair_id", "nbr", F.explode(_orders(k)).alias("o")).select("pair_id", "o.order", "nbr", "o.weight").where("weight IS NOT NULL")
     if updates is not None:
         last = updates.select(F.col("nid").alias("nbr"), "last_update")
         out = out.join(last, "nbr").withColumn("weight", F.col("weight") * F.exp(-(F.lit(now) - F.col("last_update")) / 10_000.0))
     return out.select("pair_id", "order", "nbr", "weight")
 
 
+def _all_meetings(pairs: DataFrame, edges: DataFrame, k: int, before: bool, parts: int | None = None) -> DataFrame:
+    if k not in (2, 4, 8):
+        raise ValueError(f"k is 2, 4 or 8, not {k}")
+    if not before:
+        adj = adjacency(edges)
+        return _meetings(pairs, adj, adj if k == 8 else None, [])
+    by_batch = lambda rows: rows if parts is None else rows.repartition(parts, "batch_id")
+    matrix = AsOf(both_directions(edges))
+    matrix.entries = keep(matrix.entries, "as-of") if k == 8 else matrix.entries
+    near = matrix.rows(pairs.select("batch_id", F.explode(F.array("i", "j")).alias("u")))
+    if k < 8:
+        return _meetings(by_batch(pairs), by_batch(near), None, ["batch_id"])
+    near = keep(near, "near")  # a node is looked up once for all pairs of a batch that lead to it
+    far = keep(matrix.rows(near.select("batch_id", F.col("v").alias("u"))), "far")
+    return _meetings(by_batch(pairs), by_batch(near), by_batch(far), ["batch_id"])
+
+
+#: Pairs whose paths a task adds up.
+PAIRS_PER_TASK = 500
+
+
+def common_neighbor_sums(pairs: DataFrame, edges: DataFrame, value: Column, k: int = 8) -> DataFrame:
+    """``pair_id, order, value``: sums of weight times ``value`` (an expression of ``nbr``) over the common neighbours before the pair's batch.
+
+    Two steps lead nearly everywhere, so what is summed is much more than what comes out: all that belongs to a batch is dealt
+    to one partition, of some ``PAIRS_PER_TASK`` pairs, where paths are found, added up and multiplied without being
+    shuffled or written.  The result is written.
+    """
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS_PER_TASK))
+    found = _all_meetings(pairs, edges, k, True, parts)
+    weighed = found.select("batch_id", "pair_id", "nbr", F.explode(_orders(k)).alias("o")).where("o.weight IS NOT NULL")
+    sums = weighed.groupBy("batch_id", "pair_id", "o.order").agg(F.sum(F.col("o.weight") * value).alias("value"))
+    with configured(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):  # rows dealt by batch may meet by batch and node
+        return keep(sums.select("pair_id", "order", "value"), "pair-sums")
+
+
 def weighted_features(found: DataFrame, features: DataFrame) -> DataFrame:
     """``pair_id, order, pos, value``: the sum over common neighbours of weight times feature (features: nid, x)."""
     rows = found.join(features.select(F.col("nid").alias("nbr"), "x"), "nbr")
@@ -234,20 +311,52 @@ def walk_matrices(edges: DataFrame, layers: int = 2, decay: float = 1e-6) -> Dat
     """
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     itself = nodes.select(F.lit(0).alias("layer"), "node", F.col("node").alias("col"), F.lit(1.0).alias("val"))
-    end = edges.agg(F.max("t")).first()[0]
-    ways = F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))
-    steps = edges.select("batch_id", "t", F.explode(ways).alias("e")).groupBy("batch_id", "e.u", "e.v").agg(F.sum(F.exp(-decay * (F.lit(end) - F.col("t")))).alias("w"))
-    steps = keep(steps, "walks")
-    walks = steps.select("batch_id", F.col("u").alias("node"), F.col("v").alias("col"), F.col("w").alias("val"))
-    out = itself
+    steps = keep(_decayed_steps(edges, decay), "walks")
+    walks, out = steps, itself
+    for layer in range(1, layers + 1):
+        if layer > 1:
+            asked = steps.select("batch_id", F.col("v").alias("u"))
+            earlier = AsOf(walks).rows(asked).select("batch_id", F.col("u").alias("v"), F.col("v").alias("col"), "a")
+            walks = steps.join(earlier, ["batch_id", "v"]).groupBy("batch_id", "u", "col").agg(F.sum(F.col("w") * F.col("a")).alias("w")).withColumnRenamed("col", "v")
+            walks = keep(walks, "walks") if layer < layers else walks
+        done = walks.groupBy(F.col("u").alias("node"), F.col("v").alias("col")).agg(F.sum("w").alias("val"))
+        out = out.unionByName(done.select(F.lit(layer).alias("layer"), "node", "col", "val"))
+    return out
+
+
+def _decayed_steps(edges: DataFrame, decay: float) -> DataFrame:
+    """``batch_id, u, v, w``: edges both ways, each weighted by exp(-decay * (the last time of all - t))."""
+    end = edges.agg(F.max("t")).first()[0] or 0  # one number
+    return both_directions(edges, F.exp(-decay * (F.lit(end) - F.col("t"))))
+
+
+def projection(node: Column, dim: Column, dims: int, seed: int = 0) -> Column:
+    """The entry of a random projection: 1 or -1 over the root of ``dims``, by a hash of node and dimension."""
+    return (1 - 2 * (F.shiftright(scattered(node, dim, seed), 16) % 2)) / F.lit(dims**0.5)
+
+
+def projected_walks(edges: DataFrame, layers: int = 2, dims: int = 64, decay: float = 1e-6, seed: int = 0) -> DataFrame:
+    """``layer, node, col, val``: the rows of ``walk_matrices`` times a random matrix of ``dims`` columns, without the matrices.
+
+    A node's row of any layer is ``dims`` numbers, to which each batch adds: of an edge the row of the layer below of its other end
+    as it was before the batch, which is a sum before by (node, column).  So work and state are edges and nodes times
+    ``dims``, whatever the degrees.  Dot products of rows x and y of the matrices are met with an error whose standard deviation
+    is at most |x| |y| sqrt(2 / dims).
+    """
+    ks = F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("col")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    out = nodes.select(F.lit(0).alias("layer"), "node", ks).withColumn("val", projection(F.col("node"), F.col("col"), dims, seed))
+    steps = keep(_decayed_steps(edges, decay), "walks")
+    rows = steps.select("batch_id", "u", "w", "v", ks).groupBy("batch_id", F.col("u").alias("node"), "col").agg(F.sum(F.col("w") * projection(F.col("v"), F.col("col"), dims, seed)).alias("val"))
     for layer in range(1, layers + 1):
         if layer > 1:
-            earlier = walks.select(F.col("batch_id").alias("b"), F.col("node").alias("v"), "col", "val")
-            met = steps.join(earlier, "v").where("b < batch_id")
-            by = ["u", "col"] if layer == layers else ["batch_id", "u", "col"]
-            walks = met.groupBy(*by).agg(F.sum(F.col("w") * F.col("val")).alias("val")).withColumnRenamed("u", "node")
-        done = walks.groupBy("node", "col").agg(F.sum("val").alias("val")).select(F.lit(layer).alias("layer"), "node", "col", "val")
-        out = out.unionByName(done)
+            asked = steps.select("batch_id", F.col("v").alias("node")).distinct().select("batch_id", "node", ks).withColumn("asks", F.lit(1))
+            both = at_steps([rows, asked], ["node", "col", "batch_id"], {"val": "sum", "asks": "max"})
+            before = scan(both, ["node", "col"], "batch_id", {"sum": ("sum", "val")}).where("asks = 1 AND sum IS NOT NULL").select("batch_id", F.col("node").alias("v"), "col", "sum")
+            rows = steps.join(before, ["batch_id", "v"]).groupBy("batch_id", F.col("u").alias("node"), "col").agg(F.sum(F.col("w") * F.col("sum")).alias("val"))
+        rows = keep(rows, "projected") if layer < layers else rows
+        done = rows.groupBy("node", "col").agg(F.sum("val").alias("val"))
+        out = out.unionByName(done.select(F.lit(layer).alias("layer"), "node", "col", "val"))
     return out
 
 

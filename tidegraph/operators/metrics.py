@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import global_rank
+from ..functions.scan import scan
+
 TIES = {"optimistic": 0.0, "average": 0.5, "pessimistic": 1.0}
 
 
@@ -40,10 +43,10 @@ def ndcg(rows: DataFrame, k: int = 10) -> DataFrame:
 def binary_areas(rows: DataFrame) -> DataFrame:
     """One row ``auroc, ap`` of rows ``label`` (0 or 1) and ``score``: null where a class is missing.
 
-    Rows are first counted by score; running sums over the distinct scores do the rest.
+    Rows are first counted by score.  Distinct scores are ranked, and sums before each rank are a scan: as many scores as
+    rows are no load of one task.
     """
     at = rows.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = at.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
+    run = scan(global_rank(at, [F.desc("score")], "rank"), [], "rank", {"tp": ("sum", "p"), "fp": ("sum", "n")}, inclusive=True)
     total = run.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("n") * (F.col("tp") - F.col("p") * 0.5)).alias("area"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
     return total.select(F.try_divide("area", (F.col("P") * F.col("N")).cast("double")).alias("auroc"), F.try_divide("precision", F.col("P").cast("double")).alias("ap"))

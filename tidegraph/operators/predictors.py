@@ -11,8 +11,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import count_before, numbered
+from ..functions.ranking import count_before, numbered, sum_before
 from ..functions.scalar import sigmoid
+from ..functions.scan import EVENT_BITS, at_steps, scan
 
 
 def with_history(init: DataFrame, edges: DataFrame) -> DataFrame:
@@ -23,22 +24,23 @@ def with_history(init: DataFrame, edges: DataFrame) -> DataFrame:
 
 def batch_clock(history: DataFrame, queries: DataFrame) -> DataFrame:
     """``batch_id, we``: for each batch of the queries the latest time before it.  A row a batch."""
-    tops = history.groupBy("batch_id").agg(F.max("t").alias("top")).withColumn("asks", F.lit(False))
-    asked = queries.select("batch_id").distinct().select("batch_id", F.lit(None).cast("long").alias("top"), F.lit(True).alias("asks"))
-    order = Window.orderBy("batch_id", F.desc("asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return tops.unionByName(asked).withColumn("we", F.max("top").over(order)).where("asks").select("batch_id", "we")
+    return asked_before(history, queries, [], "t", "we")
+
+
+def asked_before(history: DataFrame, queries: DataFrame, keys: list[str], value: str, alias: str) -> DataFrame:
+    """``keys, batch_id`` of the queries, each once, with the greatest ``value`` of the history's rows of the same keys in earlier batches."""
+    past = history.groupBy(*keys, "batch_id").agg(F.max(value).alias("__value"))
+    asked = queries.select(*keys, "batch_id").distinct().withColumn("__asks", F.lit(1))
+    steps = at_steps([past, asked], [*keys, "batch_id"], {"__value": "max", "__asks": "max"})
+    return scan(steps, keys, "batch_id", {alias: ("max", "__value")}).where("__asks = 1").select(*keys, "batch_id", alias)
 
 
 def latest_before(history: DataFrame, queries: DataFrame, keys: list[str], value: str, alias: str) -> DataFrame:
     """``queries`` with the greatest ``value`` of the history's rows of the same keys in earlier batches.
 
-    One running maximum over both sides by key; no join, so a key's history is never repeated for its queries.
+    One scan over both sides by key, so a key's history is never repeated for its queries, nor in one task.
     """
-    past = history.groupBy(*keys, "batch_id").agg(F.max(value).alias("__v")).withColumn("__asks", F.lit(False))
-    asked = queries.select(*keys, "batch_id").distinct().withColumn("__v", F.lit(None).cast(past.schema["__v"].dataType)).withColumn("__asks", F.lit(True))
-    order = Window.partitionBy(*keys).orderBy("batch_id", F.desc("__asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = past.unionByName(asked).withColumn(alias, F.max("__v").over(order)).where("__asks").select(*keys, "batch_id", alias)
-    return queries.join(found, [*keys, "batch_id"])
+    return queries.join(asked_before(history, queries, keys, value, alias), [*keys, "batch_id"])
 
 
 def initial_span(init: DataFrame) -> float:
@@ -71,25 +73,28 @@ def poptrack(init: DataFrame, edges: DataFrame, queries: DataFrame, decay: float
 
     Updates are the initial edges and then the batches, numbered without gaps.  A destination's updates are cut into
     blocks of steps so short that no power overflows; the score is a running sum within the block, and the sums of
-    the blocks before it.
+    the two blocks before it: what is older than these has decayed below the least double.  Without decay it is a scan.
     """
     if not 0 < decay <= 1:
         raise ValueError("decay must be in (0, 1]")
-    block = int(600 / -math.log(decay)) if decay < 1 else 1 << 40
     history = with_history(init, edges)
-    numbers = history.unionByName(queries.select("batch_id"), allowMissingColumns=True).select("batch_id").distinct()
-    numbers = numbers.withColumn("step", F.row_number().over(Window.orderBy("batch_id")).cast("long"))  # a row a batch
-    numbers = numbers.withColumn("block", F.floor(F.col("step") / block)).withColumn("inside", (F.col("step") - F.col("block") * block).cast("double"))
+    if decay == 1:
+        return running_count(history, queries, ["dst"], "score").select(*queries.columns, F.col("score").cast("double").alias("score"))
+    block = max(1, int(600 / -math.log(decay)))
+    numbers = history.unionByName(queries.select("batch_id"), allowMissingColumns=True).select("batch_id").distinct().withColumn("one", F.lit(1))
+    numbers = sum_before(numbers, [], "batch_id", "one", "step").select("batch_id", (F.col("step") + 1).alias("step"))  # a row a batch
+    numbers = numbers.withColumn("block", F.expr(f"step div {block}")).withColumn("inside", (F.col("step") - F.col("block") * block).cast("double"))
     up = lambda exponent: F.pow(F.lit(float(decay)), exponent)
     counts = history.groupBy("dst", "batch_id").agg(F.count("*").alias("n")).join(numbers, "batch_id").withColumn("mass", F.col("n") * up(-F.col("inside")))
     asked = queries.select("dst", "batch_id").distinct().join(numbers, "batch_id")
     seen = counts.select("dst", "block", "step", F.lit(1).alias("adds"), "mass", "inside", F.lit(None).cast("long").alias("batch_id")).unionByName(
         asked.select("dst", "block", "step", F.lit(0).alias("adds"), F.lit(0.0).alias("mass"), "inside", "batch_id"))
-    running = Window.partitionBy("dst", "block").orderBy("step", "adds").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy("dst", "block").orderBy("step", "adds").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most two rows a step
     here = seen.withColumn("here", F.sum("mass").over(running) * up(F.col("inside"))).where("adds = 0").select("dst", "batch_id", "block", "inside", "here")
-    totals = counts.groupBy(F.col("dst").alias("d"), F.col("block").alias("b")).agg(F.sum("mass").alias("total"))
-    earlier = here.join(totals, (F.col("dst") == F.col("d")) & (F.col("b") < F.col("block")))
-    earlier = earlier.groupBy("dst", "batch_id").agg(F.sum(F.col("total") * up(F.col("inside") + (F.col("block") - F.col("b")) * block)).alias("before"))
+    back = F.explode(F.array(F.lit(1), F.lit(2))).alias("back")
+    totals = counts.groupBy("dst", "block").agg(F.sum("mass").alias("total")).select("dst", "total", F.col("block").alias("from"), back)
+    totals = totals.select("dst", (F.col("from") + F.col("back")).alias("block"), "total", "back")
+    earlier = here.join(totals, ["dst", "block"]).groupBy("dst", "batch_id").agg(F.sum(F.col("total") * up(F.col("inside") + F.col("back") * block)).alias("before"))
     scored = here.join(earlier, ["dst", "batch_id"], "left").select("dst", "batch_id", (F.col("here") + F.coalesce("before", F.lit(0.0))).alias("score"))
     return queries.join(scored, ["dst", "batch_id"]).select(*queries.columns, "score")
 
@@ -138,11 +143,11 @@ def base3(init: DataFrame, edges: DataFrame, queries: DataFrame, memory: str = "
 
 def node_forecast(labels: DataFrame) -> DataFrame:
     """``labels`` (event_idx, nid, y) with ``pred``: the node's label before this one; zeros for its first."""
-    before = F.lag("y").over(Window.partitionBy("nid").orderBy("event_idx"))
-    return labels.withColumn("pred", F.coalesce(before, F.transform("y", lambda v: (v * 0).cast("float"))))
+    before = scan(labels, ["nid"], "event_idx", {"pred": ("last", "y")}, bits=EVENT_BITS)
+    return before.withColumn("pred", F.coalesce("pred", F.transform("y", lambda v: (v * 0).cast("float"))))
 
 
 def graph_forecast(metrics: DataFrame, metric: str = "n_edges", first: int | None = None) -> DataFrame:
     """``batch_id, pred``: that the metric goes on as it went: whether it grew from the snapshot before to this one.  ``first``: what is said of the first."""
-    before = F.lag(metric).over(Window.orderBy("batch_id"))
-    return metrics.select("batch_id", F.coalesce((F.col(metric) > before).cast("int"), F.lit(first).cast("int")).alias("pred"))
+    before = scan(metrics, [], "batch_id", {"__before": ("last", metric)})
+    return before.select("batch_id", F.coalesce((F.col(metric) > F.col("__before")).cast("int"), F.lit(first).cast("int")).alias("pred"))

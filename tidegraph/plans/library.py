@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frame import EDGE, NODE_X, NODE_Y
+from ..functions.ranking import sum_before
 from ..functions.scalar import PADDING
 from ..operators import analytics, negatives, neighbors, tracking
 from .protocol import BaseOperator, BatchFrame, SeededOperator, StatefulOperator
@@ -23,14 +24,12 @@ def _edges(frame: BatchFrame) -> DataFrame:
 _EVENT_SEEDS = {"edge_src": (EDGE, "src", 0), "edge_dst": (EDGE, "dst", 1), "node_x_nids": (NODE_X, "nid", 0), "node_y_nids": (NODE_Y, "nid", 0)}
 #: Columns of a table of seeds that may hold the node and the time.
 _NODES, _TIMES = ("neg", "nid", "node", "nbr"), ("neg_t", "t", "q", "nbr_t")
-#: Seeds of one key in a batch, at most.
-_MANY = 1 << 20
 
 
 def seeds_of(frame: BatchFrame, keys: list[str]) -> DataFrame:
     """``seed_id, batch_id, node, q, key`` of the seeds of some keys: ends of edges, nodes of node events, or tables that operators have added.
 
-    Ends of edges have the ids of ``neighbors.link_seeds``; others negative ones, by batch and place in it.  A key
+    Ends of edges have the ids of ``neighbors.link_seeds``; others negative ones, by event, or by place among the table's rows.  A key
     that is missing is an error, one whose table is None is left out with a warning.  Padding is no seed; other
     negative ids and negative times are errors when the seeds are read.
     """
@@ -38,7 +37,7 @@ def seeds_of(frame: BatchFrame, keys: list[str]) -> DataFrame:
     for place, key in enumerate(keys):
         if key in _EVENT_SEEDS:
             kind, column, end = _EVENT_SEEDS[key]
-            rows = frame.events.where(F.col("kind") == kind).select("batch_id", F.col(column).alias("node"), F.col("t").alias("q"), "event_idx")
+            rows = frame.events.where(F.col("kind") == kind).select("batch_id", F.col(column).alias("node"), F.col("t").alias("q"), F.col("event_idx").alias("__place"))
         elif key not in frame.tables:
             raise ValueError(f"there are no seeds {key!r} in the frame")
         elif frame[key] is None:
@@ -52,12 +51,9 @@ def seeds_of(frame: BatchFrame, keys: list[str]) -> DataFrame:
             for c in (node, time):
                 if not isinstance(table.schema[c].dataType, T.IntegralType):
                     raise ValueError(f"{c} of the seeds {key!r} must hold whole numbers, not {table.schema[c].dataType.simpleString()}")
-            rows = table.select("batch_id", F.col(node).cast("long").alias("node"), F.col(time).cast("long").alias("q"), *(F.col(c) for c in table.columns if c in ("ordinal", "event_idx")))
-        if kind == EDGE:
-            seed_id = F.col("event_idx") * 2 + end
-        else:
-            in_batch = F.row_number().over(Window.partitionBy("batch_id").orderBy(*(c for c in rows.columns if c != "batch_id")))
-            seed_id = -1 - ((F.col("batch_id") * _MANY + in_batch) * len(keys) + place)
+            rows = _placed(table.select("batch_id", F.col(node).cast("long").alias("node"), F.col(time).cast("long").alias("q"), *(F.col(c) for c in table.columns if c in ("ordinal", "event_idx"))))
+        # the rest by the number of keys tells ids of different keys apart
+        seed_id = F.col("__place") * 2 + end if kind == EDGE else -1 - (F.col("__place") * len(keys) + place)
         seeds = rows.select(seed_id.cast("long").alias("seed_id"), "batch_id", "node", "q", F.lit(key).alias("key"))
         found = seeds if found is None else found.unionByName(seeds)
     if found is None:
@@ -66,6 +62,14 @@ def seeds_of(frame: BatchFrame, keys: list[str]) -> DataFrame:
     return found.withColumn("q", F.coalesce(bad, F.col("q"))).where(F.col("node") != PADDING)
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__place``: batch by batch from 0, however many there are; equal rows of a batch in either order."""
+    counts = rows.groupBy("batch_id").agg(F.count("*").alias("__n"))
+    first = sum_before(counts, [], "batch_id", "__n", "__first").drop("__n")
+    in_batch = F.row_number().over(Window.partitionBy("batch_id").orderBy(*(c for c in rows.columns if c != "batch_id"))) - 1
+    return rows.withColumn("__in", in_batch).join(first, "batch_id").withColumn("__place", F.col("__in") + F.col("__first"))
+
+
 def _positions(seeds: DataFrame) -> DataFrame:
     """``batch_id, key, position, seed_id``: where each key's seeds are among those of its batch."""
     place = F.row_number().over(Window.partitionBy("batch_id").orderBy("key", F.abs("seed_id"))) - 1
@@ -95,9 +99,10 @@ class HistoricalNegatives(StatefulOperator):
     requires, produces = {"edge_src", "edge_dst", "edge_time"}, {"neg", "neg_time", "valid_neg_mask"}
 
     def apply(self, frame: BatchFrame) -> BatchFrame:
-        edges = self.with_past(_edges(frame).select("batch_id", "event_idx", "src", "dst", F.col("t").alias("neg_t")))
-        times = edges.where("batch_id >= 0").select("batch_id", "event_idx", "neg_t")
-        drawn = negatives.historical_negatives(edges).where("batch_id >= 0").join(times, ["batch_id", "event_idx"])
+        edges = _edges(frame).select("batch_id", "event_idx", "src", "dst", F.col("t").alias("neg_t"))
+        counts = self.state().get("counts")
+        self.leave(counts=negatives.counts_after(edges, counts))
+        drawn = negatives.historical_negatives(edges, earlier=counts).join(edges.select("batch_id", "event_idx", "neg_t"), ["batch_id", "event_idx"])
         return frame.with_columns_of(drawn, *self.produces)
 
 
@@ -136,7 +141,11 @@ class RecentNeighbors(SeededOperator):
         seeds, edges = seeds_of(frame, self.seeds), _edges(frame).select("batch_id", "event_idx", "t", "src", "dst", "edge_x")
         if not {"edge_src", "edge_dst"} & set(self.seeds):
             edges = edges.join(seeds.select("batch_id").distinct(), "batch_id", "left_semi")
-        found = neighbors.hops(seeds.drop("key"), self.with_past(edges), self.ks, self.directed)
+        buffers = neighbors.Buffers.of(edges, self.directed, earlier=self.state().get("buffers"))
+        if len(self.ks) > 1:
+            buffers = buffers.kept()
+        self.leave(buffers=buffers.left(max(self.ks)))
+        found = neighbors.hops(seeds.drop("key"), edges, self.ks, buffers=buffers)
         frame = frame.with_columns_of(seeds, self.name("seed_nids"), self.name("seed_times")).with_table(self.name("seed_node_nbr_mask"), _positions(seeds))
         return frame.with_columns_of(found, *map(self.name, ("nbr_nids", "nbr_edge_time", "nbr_edge_x")))
 
@@ -184,8 +193,9 @@ class SeenNodes(StatefulOperator):
     has_state = True
 
     def apply(self, frame: BatchFrame) -> BatchFrame:
-        events = self.with_past(frame.events.select("batch_id", "event_idx", "kind", "src", "dst", "nid"))
-        return frame.with_columns_of(tracking.seen_nodes(events).where("batch_id >= 0"), *self.produces)
+        nodes = self.state().get("nodes")
+        self.leave(nodes=tracking.touched_after(frame.events, nodes))
+        return frame.with_columns_of(tracking.seen_nodes(frame.events, nodes), *self.produces)
 
 
 @operator
@@ -211,11 +221,12 @@ class NodeAnalytics(StatefulOperator):
         self.tracked = tracked
 
     def apply(self, frame: BatchFrame) -> BatchFrame:
-        events = self.with_past(frame.events)
-        now = lambda figures: figures.where("batch_id >= 0")
-        frame = frame.with_table(self.name("node_stats"), now(analytics.node_analytics(events, self.tracked)))
-        frame = frame.with_table(self.name("node_macro_stats"), now(analytics.node_novelty(events, self.tracked)))
-        return frame.with_table(self.name("edge_stats"), now(analytics.edge_stats(events)))
+        events, held = frame.events, self.state()
+        past = analytics.NodePast(**held) if held else None
+        self.leave(**analytics.past_after(events, self.tracked, past).tables())
+        frame = frame.with_table(self.name("node_stats"), analytics.node_analytics(events, self.tracked, past))
+        frame = frame.with_table(self.name("node_macro_stats"), analytics.node_novelty(events, self.tracked, earlier=past and past.nodes))
+        return frame.with_table(self.name("edge_stats"), analytics.edge_stats(events, past and past.edges))
 
 
 @operator

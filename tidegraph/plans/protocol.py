@@ -6,7 +6,8 @@ from dataclasses import dataclass, field, replace
 from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ..workspace import keep, release
 
 #: Always there: columns of the log.
 CORE = frozenset({"edge_src", "edge_dst", "edge_time", "edge_x", "edge_type", "node_x", "node_x_nids", "node_x_time", "node_y", "node_y_nids", "node_y_time"})
@@ -63,23 +64,38 @@ class BaseOperator:
 
 
 class StatefulOperator(BaseOperator):
-    """An operator that sees earlier iterations, from training to validation to test, until it is reset."""
+    """An operator that sees earlier iterations, from training to validation to test, until it is reset.
+
+    What it needs of them are tables whose size follows from what they hold - entries of buffers, distinct nodes, pairs,
+    times - not from how many iterations there were.  An iteration leaves plans of these tables (``leave``); the next one
+    writes them before it begins (``state``), so its own plan reads two tables, that of the state and its events.
+    Frames can be read until their operator is applied twice more or reset: then the tables they read are deleted.
+    """
 
     has_state = True
 
     def __init__(self, id: str | None = None):
         super().__init__(id)
-        self.past: DataFrame | None = None
-
-    def with_past(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with ``batch_id``) after those of earlier iterations, whose batches are negative; remembers both."""
-        whole = rows if self.past is None else self.past.unionByName(rows, allowMissingColumns=True)
-        last = rows.agg(F.max("batch_id")).first()[0]
-        self.past = whole.withColumn("batch_id", F.col("batch_id") - (0 if last is None else last + 1))
-        return whole
+        self._left: dict[str, DataFrame] = {}
+        self._held: list[dict[str, DataFrame]] = []
+
+    def state(self) -> dict[str, DataFrame]:
+        """The tables after the iteration before; none in the first."""
+        if self._left:
+            self._held.append({name: keep(table, f"state-{name}") for name, table in self._left.items()})
+            self._left = {}
+            for old in self._held[:-2]:
+                release(*old.values())
+            self._held = self._held[-2:]
+        return self._held[-1] if self._held else {}
+
+    def leave(self, **tables: DataFrame) -> None:
+        self._left = tables
 
     def reset_state(self) -> None:
-        self.past = None
+        for old in self._held:
+            release(*old.values())
+        self._left, self._held = {}, []
 
 
 class SeededOperator(StatefulOperator):

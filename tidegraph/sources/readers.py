@@ -11,7 +11,7 @@ from ..frame import EventLog
 from ..functions.ranking import global_rank
 from ..functions.scalar import min_max
 from ..operators.splits import BoundsSplit
-from ..timedelta import TimeDelta
+from ..timedelta import TimeDelta, delta_of
 
 
 def _vector(df: DataFrame, columns: str | list[str] | None):
@@ -89,13 +89,46 @@ def from_csv(spark: SparkSession, edges: str, src: str, dst: str, t: str, node_x
     return from_spark(read(edges), src, dst, t, node_x=read(node_x), node_y=read(node_y), static=fixed, order={k: ["__ordinal"] for k, v in given.items() if v is not None}, **names)
 
 
-def from_bundle(spark: SparkSession, path: str, kind: str = "link", delta: TimeDelta | str = "s") -> EventLog:
+def bounds_of(edges: DataFrame) -> dict[str, tuple[int, int]]:
+    """First and last time of each part, of edges with the flags ``train, val`` and ``test``."""
+    parts = ("train", "val", "test")
+    row = edges.agg(*(f(F.when(F.col(p).cast("boolean"), F.col("t"))).alias(f"{p}_{n}") for p in parts for n, f in (("first", F.min), ("last", F.max)))).first()
+    if empty := [p for p in parts if row[f"{p}_first"] is None]:
+        raise ValueError(f"no edge is of {', '.join(empty)}")
+    return {p: (row[f"{p}_first"], row[f"{p}_last"]) for p in parts}
+
+
+def from_sequence_bundle(spark: SparkSession, path: str, dataset: str | None = None, delta: TimeDelta | str | None = None) -> EventLog:
+    """A sequence benchmark as a folder: ``edges.parquet`` (src, dst, t, train, val, test[, edge_x, ordinal]) and optionally ``nodes.parquet`` (nid, static_x).
+
+    Flags say of which part an edge is; the parts' bounds are the first and last times of their edges.  The granularity is
+    that of the ``dataset``, or ``delta``.
+    """
+    if (dataset is None) == (delta is None):
+        raise ValueError("either the dataset or a granularity is needed")
+    edges = spark.read.parquet(f"{path}/edges.parquet")
+    nodes = _optional(spark, f"{path}/nodes.parquet")
+    order = {0: ["ordinal"]} if "ordinal" in edges.columns else None
+    log = EventLog.of(edges.drop("train", "val", "test"), None, None, nodes, delta if dataset is None else delta_of(dataset), order)
+    return EventLog(log.events, log.delta, log.nodes, BoundsSplit(bounds_of(edges)))
+
+
+def _optional(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that may be missing."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return spark.read.parquet(path) if there else None
+
+
+def from_bundle(spark: SparkSession, path: str, kind: str = "link", delta: TimeDelta | str | None = None, dataset: str | None = None) -> EventLog:
     """A benchmark as a folder: ``edges.parquet`` (src, dst, t[, edge_x, edge_type, ordinal]), optionally ``labels.parquet`` (nid, t, y) and
     ``nodes.parquet`` (nid, static_x, node_type), and ``bounds.json`` with the first and last time of each part.
 
     ``kind``: link, node, knowledge (edge types needed) or heterogeneous (edge and node types needed).  Labels of a
-    node benchmark are kept from a tick before the first edge to before the last.
+    node benchmark are kept from a tick before the first edge to before the last.  The granularity is ``delta``, else that
+    of the ``dataset`` by name, else seconds.
     """
+    delta = delta if delta is not None else "s" if dataset is None else delta_of(dataset)
     edges = spark.read.parquet(f"{path}/edges.parquet")
     text = "\n".join(r["value"] for r in spark.read.text(f"{path}/bounds.json").collect())
     bounds = {k: tuple(v) for k, v in json.loads(text).items()}

@@ -69,3 +69,20 @@ class TimeDelta:
 
     def is_coarser_than(self, other: TimeDelta | str) -> bool:
         return self.ratio(other) > 1
+
+
+#: The granularities of public benchmarks, by name.
+DATASETS = {
+    "tgbl-enron": "s", "tgbl-uci": "s", "tgbl-wiki": "s", "tgbl-subreddit": "s", "tgbl-lastfm": "s", "tgbl-review": "s", "tgbl-coin": "s", "tgbl-mooc": "s",
+    "tgbl-flight": "s", "tgbl-comment": "s", "tgbn-trade": "Y", "tgbn-genre": "s", "tgbn-reddit": "s", "tgbn-token": "s", "thgl-software": "s", "thgl-forum": "s",
+    "thgl-github": "s", "thgl-myket": "s", "tkgl-smallpedia": "Y", "tkgl-polecat": "D", "tkgl-icews": "D", "tkgl-wikidata": "Y",
+}
+SEQUENCE_DATASETS = {"ML-20M": "s", "Taobao": "s", "Yelp": "s", "GoogleLocal": "s", "Flickr": "s", "Youtube": "s", "Patent": "s", "WikiLink": "s"}
+
+
+def delta_of(dataset: str) -> TimeDelta:
+    """The granularity of a public benchmark."""
+    known = DATASETS | SEQUENCE_DATASETS
+    if dataset not in known:
+        raise ValueError(f"no granularity is known of {dataset!r}; one of {', '.join(known)}")
+    return TimeDelta(known[dataset])

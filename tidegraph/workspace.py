@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,16 @@ def release(*kept: DataFrame) -> None:
         hadoop_path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
         fs = hadoop_path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
         fs.delete(hadoop_path, True)
+
+
+@contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs that run inside; as before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
