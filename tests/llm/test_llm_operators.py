@@ -2,15 +2,17 @@
 
 import hashlib
 import itertools
+import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import types as T
 
-from tidegraph.llm import bpe, catalogue, language, lines, media, neardup, packing, quality, secrets, sharding, tokens
+from tidegraph.llm import bpe, catalogue, chains, language, lines, media, neardup, packing, quality, secrets, sharding, tokens
 
 PATH = catalogue.vocabulary_path()
 WHITE = " \t\n\x0b\f\r"
@@ -476,7 +478,63 @@ def test_media(docs):
         payload = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
         expected.append((i, len(data), len(payload), sha(payload), zlib.crc32(payload[-32:]), len(payload) + 44))
     same([tuple(r)[:6] for r in rows], expected)
-    assert all("->audio/wav;" in r["feature"] for r in rows)
+    # the stored form, and the figures of its samples
+    by_text = {}
+    for i, t in texts(docs):
+        payload = t.encode() + b"\xff" * (max(1, -(-len(t.encode()) // 576)) * 576 - len(t.encode()))
+        stored = b"RIFF" + (36 + len(payload)).to_bytes(4, "little") + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16_000, 16_000, 1, 8) + b"data" + len(payload).to_bytes(4, "little") + payload
+        mean = sum(payload) / len(payload)
+        spread = (sum((v - mean) ** 2 for v in payload) / len(payload)) ** 0.5
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:], strict=False))
+        by_text.setdefault((i, len(payload), sha256_of(payload)), []).append((hashlib.sha256(stored).hexdigest(), f"application/octet-stream->audio/wav;pcm8/1ch/16000Hz;samples={len(payload)};mean={mean:.4f};spread={spread:.4f};crossings={crossings};embedded="))
+    for r in rows:
+        media_sha, feature = by_text[r["doc_id"], r["payload_bytes"], r["payload_sha256"]][0]
+        assert r["media_sha256"] == media_sha and r["feature"].startswith(feature)
+
+
+def sha256_of(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+HOSTILE = {
+    "gif": b"GIF89a1234567!", "gif blocks": b"GIF89a1234567!\x01\x7f\x7f", "riff": b"abcd\x0c\x00\x00\x00RIFF\x00\x00\x3f\x00WAVE", "png": b"\xc2\x89PNG\r\n\x1a\n\x00\x00\x00\x0dIHDR",
+    "png long": b"\x89PNG\r\n\x1a\n\x00\x00\x00\x0dIHDR" + bytes(13) + struct.pack(">I", zlib.crc32(b"IHDR" + bytes(13))) + b"\x00\x3f\x00\x00tEXt", "jpeg": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02",
+    "bmp": b"BM", "flac": b"fLaC\x00\x00\x00\x22", "pgm": b"P5 9999 999 255 ", "pgm white": b"P5" + b" " * 400,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_sniffing_hostile_bytes_is_linear(kind):
+    data = HOSTILE[kind] * (5_000_000 // len(HOSTILE[kind]))
+    began = time.process_time()
+    found = media.sniff(data)
+    assert time.process_time() - began < 30 and isinstance(found, list)  # quadratic would be hours
+
+
+def test_chains_are_those_walked_one_by_one():
+    rng = random.Random(5)
+    for size in (1, 30, 400):
+        follow = [rng.choice([p + rng.randrange(1, 9), None]) if rng.random() < 0.2 else p + rng.randrange(1, 9) for p in range(size)]
+        mark = [rng.choice([None, None, 0, 1]) for _ in range(size)]
+        ends = chains.Ends(size, lambda p: (follow[p], p * 7 if follow[p] is None else None))  # noqa: B023
+        forest = chains.Forest(size, lambda p: (follow[p], mark[p]), 2)  # noqa: B023
+        for start in rng.sample(range(size), size):
+            path, p = [], start
+            while p is not None and p < size:
+                path.append(p)
+                p = follow[p]
+            assert ends.of(start) == (path[-1] * 7 if p is None else None)
+            limit = start + rng.randrange(size)
+            assert forest.last(start, limit) == max(q for q in path if q <= limit)
+            for k in (0, 1):
+                assert forest.ahead[k][start] == next((q for q in path if mark[q] == k), chains.NONE)
+
+
+def test_checksums_of_parts():
+    data = random.Random(6).randbytes(50_000)
+    sums = chains.Checksums(data)
+    for a, b in ((0, 0), (0, 50_000), (1, 49_999), (5000, 20_000), (4096, 8193), (17, 4114)):
+        assert sums.of(a, b) == zlib.crc32(data[a:b])
 
 
 def test_sniff_confirms_structure_and_carves(spark):

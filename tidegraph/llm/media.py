@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .chains import Bytes
 from .common import map_texts, unused
 
 UNIT = 576
@@ -51,88 +52,47 @@ class Found:
     note: str = ""
 
 
-def _riff(b: bytes, at: int) -> Found | None:
+def _riff(x: Bytes, at: int) -> Found | None:
+    b = x.data
     if at + 12 > len(b):
         return None
-    size = struct.unpack_from("<I", b, at + 4)[0]
-    stop, kind = at + 8 + size, bytes(b[at + 8 : at + 12])
-    if stop > len(b) or kind != b"WAVE":
+    stop = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
+    if stop > len(b) or b[at + 8 : at + 12] != b"WAVE" or at + 20 > stop:
         return None
-    place, fmt, data = at + 12, None, None
-    while place + 8 <= stop:
-        name, n = bytes(b[place : place + 4]), struct.unpack_from("<I", b, place + 4)[0]
-        if place + 8 + n > stop:
-            return None
-        if name == b"fmt " and n >= 16:
-            fmt = struct.unpack_from("<HHIIHH", b, place + 8)
-        elif name == b"data":
-            data = (place + 8, n)
-        place += 8 + n + n % 2
-    if not fmt or not data or fmt[0] != 1 or fmt[3] != fmt[2] * fmt[4] or fmt[4] * 8 != fmt[1] * fmt[5] or data[1] % fmt[4]:
+    last = x.riff_parts.last(at + 12, stop - 8)  # every chunk but this one ends where another begins
+    if last + 8 + struct.unpack_from("<I", b, last + 4)[0] > stop:
+        return None
+    fmt_at, data_at = (ahead[at + 12] for ahead in x.riff_parts.ahead)
+    if not 0 <= fmt_at <= last or not 0 <= data_at <= last:
         return None
-    return Found("audio/wav", at, stop, *data, f"pcm{fmt[5]}/{fmt[1]}ch/{fmt[2]}Hz")
+    fmt, size = struct.unpack_from("<HHIIHH", b, fmt_at + 8), struct.unpack_from("<I", b, data_at + 4)[0]
+    if fmt[0] != 1 or fmt[3] != fmt[2] * fmt[4] or fmt[4] * 8 != fmt[1] * fmt[5] or not fmt[4] or size % fmt[4]:
+        return None
+    return Found("audio/wav", at, stop, data_at + 8, size, f"pcm{fmt[5]}/{fmt[1]}ch/{fmt[2]}Hz")
 
 
-def _png(b: bytes, at: int) -> Found | None:
-    place, first = at + 8, True
-    while place + 12 <= len(b):
-        n = struct.unpack_from(">I", b, place)[0]
-        name = bytes(b[place + 4 : place + 8])
-        if place + 12 + n > len(b) or first and (name != b"IHDR" or n != 13):
-            return None
-        if zlib.crc32(b[place + 4 : place + 8 + n]) != struct.unpack_from(">I", b, place + 8 + n)[0]:
-            return None
-        place, first = place + 12 + n, False
-        if name == b"IEND":
-            return Found("image/png", at, place)
-    return None
+def _png(x: Bytes, at: int) -> Found | None:
+    if x.data[at + 8 : at + 16] != b"\x00\x00\x00\x0dIHDR":
+        return None
+    stop = x.png_parts.of(at + 8)
+    return None if stop is None else Found("image/png", at, stop)
 
 
-def _gif(b: bytes, at: int) -> Found | None:
-    if at + 13 > len(b):
-        return None
-    flags = b[at + 10]
-    place = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-
-    def blocks(p: int) -> int | None:
-        while p < len(b):
-            if b[p] == 0:
-                return p + 1
-            p += b[p] + 1
+def _gif(x: Bytes, at: int) -> Found | None:
+    if at + 13 > len(x):
         return None
+    flags = x.data[at + 10]
+    stop = x.gif_parts.of(at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0))
+    return None if stop is None else Found("image/gif", at, stop)
 
-    while place < len(b):
-        if b[place] == 0x3B:
-            return Found("image/gif", at, place + 1)
-        if b[place] == 0x21:
-            follow = blocks(place + 2)
-        elif b[place] == 0x2C and place + 10 <= len(b):
-            local = b[place + 9]
-            follow = blocks(place + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
-        else:
-            return None
-        if follow is None:
-            return None
-        place = follow
-    return None
 
+def _jpeg(x: Bytes, at: int) -> Found | None:
+    stop = x.jpeg_parts.of(at + 2)
+    return None if stop is None else Found("image/jpeg", at, stop)
 
-def _jpeg(b: bytes, at: int) -> Found | None:
-    place = at + 2
-    while place + 4 <= len(b):
-        if b[place] != 0xFF or b[place + 1] < 0xC0:
-            return None
-        kind, n = b[place + 1], struct.unpack_from(">H", b, place + 2)[0]
-        if n < 2 or place + 2 + n > len(b):
-            return None
-        place += 2 + n
-        if kind == 0xDA:
-            end = bytes(b).find(b"\xff\xd9", place)
-            return Found("image/jpeg", at, end + 2) if end >= 0 else None
-    return None
 
-
-def _bmp(b: bytes, at: int) -> Found | None:
+def _bmp(x: Bytes, at: int) -> Found | None:
+    b = x.data
     if at + 54 > len(b):
         return None
     size, zero, start, header, width, height, planes, depth = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -141,14 +101,15 @@ def _bmp(b: bytes, at: int) -> Found | None:
     return Found("image/bmp", at, at + size) if good and start >= 54 and at + size <= len(b) and size == start + row * abs(height) else None
 
 
-def _flac(b: bytes, at: int) -> Found | None:
+def _flac(x: Bytes, at: int) -> Found | None:
+    b = x.data
     if at + 42 > len(b) or b[at + 4] & 0x7F or b[at + 5 : at + 8] != b"\x00\x00\x22":
         return None
     return Found("audio/flac", at, len(b))
 
 
-def _pgm(b: bytes, at: int) -> Found | None:
-    fields, place = [], at + 2
+def _pgm(x: Bytes, at: int) -> Found | None:
+    b, fields, place = x.data, [], at + 2
     for _ in range(3):
         while place < len(b) and b[place] in b" \t\r\n":
             place += 1
@@ -177,10 +138,13 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def sniff(data: bytes) -> list[Found]:
-    """Confirmed formats in the order of their first bytes, those within samples of a confirmed one included."""
-    out = []
+    """Confirmed formats in the order of their first bytes, those within samples of a confirmed one included.
+
+    Of a WAVE file's chunks the first format and the first data count.  Time is linear in the bytes, but for a logarithm.
+    """
+    out, known = [], Bytes(bytes(data))
     for last, (n, kind) in automaton().iter(data.decode("latin-1")):
-        found = CHECKS[kind](data, last - n + 1)
+        found = CHECKS[kind](known, last - n + 1)
         if found:
             out.append(found)
     return out
@@ -224,7 +188,7 @@ def describe(stored: bytes, declared: str) -> tuple[bytes, str]:
 
 
 def media_column(docs: DataFrame) -> DataFrame:
-    """``doc_id, declared, media binary``: each whole text (null: empty) as stored media, declared without a type."""
+    """``doc_id, declared, media binary``: each whole text (null: empty) as stored media, declared without a type.  An empty table gives an empty result."""
 
     def work(_, texts):
         return {"declared": ["application/octet-stream"] * len(texts), "media": [media(t) for t in texts]}
@@ -235,7 +199,7 @@ def media_column(docs: DataFrame) -> DataFrame:
 def sniff_column(rows: DataFrame) -> DataFrame:
     """``rows`` of ``doc_id, declared, media`` with ``actual`` and ``embedded`` (type, start, stop of each carved part).
 
-    Null media keep their declared type and have nothing embedded.
+    Null media keep their declared type and have nothing embedded.  An empty table gives an empty result.
     """
     from pyspark.sql import functions as F
 
@@ -254,7 +218,7 @@ def media_report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` for each row.
 
     A null text is empty: 576 bytes of padding.  Equal texts give equal values; repeated rows give repeated
-    rows; further columns are not read.
+    rows; further columns are not read; an empty table gives an empty result.
     """
     names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
