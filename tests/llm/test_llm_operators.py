@@ -125,16 +125,39 @@ def test_line_runs_compact_by_levels(spark):
     assert [tuple(r) for r in runs.frequent().collect()] == [(7, 7)]
 
 
-def test_a_batch_leaves_out_what_the_runs_know_to_be_frequent(spark):
+def test_a_batch_leaves_out_what_the_runs_together_know_to_be_frequent(spark):
     runs = lines.LineRuns(spark, min_docs=2, fanout=3)
     for b in range(5):
         runs.add(spark.createDataFrame([(10 * b, 7, 7), (10 * b + 1, 7, 7), (10 * b, 8, 1 + b // 4), (10 * b, 9, b)], "doc_id long, h1 long, h2 long"))
-    # batches 0 to 2 are one run; 8 becomes frequent there; of 7 only the first batch's two are counted
-    assert sorted(tuple(r) for r in runs.levels[1][0].collect()) == [(7, 7, 2), (8, 1, 3), (9, 0, 1), (9, 1, 1), (9, 2, 1)]
+    # batches 0 to 2 are one run; of 7 only the first batch's two are counted, of 8 those of the first two batches, a run each
+    assert sorted(tuple(r) for r in runs.levels[1][0].collect()) == [(7, 7, 2), (8, 1, 2), (9, 0, 1), (9, 1, 1), (9, 2, 1)]
     assert [sorted(tuple(r) for r in run.collect()) for run in runs.levels[0]] == [[(9, 3, 1)], [(8, 2, 1), (9, 4, 1)]]
     assert sorted(tuple(r) for r in runs.frequent().collect()) == [(7, 7), (8, 1)]
 
 
+def test_no_run_is_shuffled(spark):
+    """Joins of a batch with runs, and merges of runs, shuffle the batch alone."""
+    runs = lines.LineRuns(spark, min_docs=2, fanout=9)
+    keys = spark.createDataFrame([(i, i % 50, i % 7) for i in range(400)], "doc_id long, h1 long, h2 long")
+    for _ in range(3):
+        runs.add(keys)
+
+    def exchanges(frame):
+        frame.collect()
+        return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
+
+    assert exchanges(runs.fresh(keys)) == 1 and exchanges(runs._merged(runs.runs())) == 0
+
+
+def test_batches_follow_the_number_of_keys(small, monkeypatch):
+    added = []
+    monkeypatch.setattr(lines.LineRuns, "add", lambda self, keys, add=lines.LineRuns.add: (added.append(keys.count()), add(self, keys))[1])
+    monkeypatch.setattr(lines, "BATCH_KEYS", 600)
+    lines.frequent_keys(small)
+    total = lines.batch_keys(small).count()
+    assert len(added) == -(-total // 600) > 1 and sum(added) == total
+
+
 def test_lines_do_not_depend_on_the_batches(small):
     found = [sorted(map(tuple, lines.frequent_keys(small, batches=b)[1].collect())) for b in (1, 4, 11)]
     assert found[0] and found[0] == found[1] == found[2]

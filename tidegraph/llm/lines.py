@@ -1,27 +1,28 @@
 """Operator 2: line dedup over levelled sorted runs of line hashes.  DataFrame functions only.
 
-A run is a table (h1, h2, n_docs) sorted by a 128-bit hash of line keys.  Documents come in batches.  The
-counted keys of a batch are merge-anti-joined with the keys that the runs already know to be frequent, as
-nothing more is to be learnt of those, and the rest becomes one run of level 0; when a level holds ``fanout``
-runs they are merged into one run of the next level, so a key is rewritten a logarithmic number of times.  A
-line goes when its key's runs add up to at least ``min_docs`` documents, from the documents of all batches.
+A run is a table (h1, h2, n_docs), dealt to buckets by a 128-bit hash of line keys and sorted within each.  Documents come
+in batches.  The counted keys of a batch are merge-joined with the runs, bucket by bucket, so that no run is shuffled: what all
+runs together hold of a key tells whether it is known to be frequent, and known keys are left out, as nothing more is to be
+learnt of them.  The rest becomes one run of level 0; when a level holds ``fanout`` runs they are merged into one run
+of the next level, so a key is rewritten a logarithmic number of times.  A line goes when its key's runs add up to
+at least ``min_docs`` documents, from the documents of all batches.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import keep, release
+from ..workspace import keep, new_path, release
 from .common import WHITE, unused
 
 MIN_DOCS = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A batch has about so many bytes, as the optimiser estimates them; and how few and how many batches there are (it calls what it cannot estimate huge).
-BATCH_BYTES, LEAST_BATCHES, MOST_BATCHES = 1 << 40, 4, 64
+#: Keys of documents are kept in so many slices; a batch is as many slices as have about so many keys, one at least.
+SLICES, BATCH_KEYS = 64, 1_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -51,27 +52,45 @@ class LineRuns:
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = 4):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.levels: list[list[DataFrame]] = []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many as a batch is shuffled to
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
+    def _stored(self, run: DataFrame, label: str) -> DataFrame:
+        """Written in buckets, a file each."""
+        path, name = new_path(self.spark, label), f"line_run_{uuid.uuid4().hex}"
+        run.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        stored = self.spark.table(name)
+        stored._scratch, stored._name = path, name
+        return stored
+
+    def drop(self, *runs: DataFrame) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run._name}")
+        release(*runs)
+
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
+        """Counts of all runs: a union of tables with the same buckets keeps them, so nothing is shuffled."""
         return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
 
-    def add(self, keys: DataFrame) -> None:
-        """Add a batch of (doc_id, h1, h2), distinct, of documents in no earlier batch; compact full levels.
-
-        Keys that a run holds as frequent are left out: their count is beyond ``min_docs`` whatever comes.
-        """
+    def fresh(self, keys: DataFrame) -> DataFrame:
+        """``h1, h2, n_docs`` of a batch of (doc_id, h1, h2), without the keys that the runs together know to be frequent."""
         run = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
-        if known := self.runs():
-            frequent = reduce(DataFrame.unionByName, known).where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
-            run = run.join(frequent.hint("merge"), ["h1", "h2"], "left_anti")
-        level, merged = 0, []
+        known = F.lit(0).cast("long")
+        for i, held in enumerate(self.runs()):
+            other = held.select("h1", "h2", F.col("n_docs").alias(f"__n{i}"))
+            run = run.join(other.hint("merge"), ["h1", "h2"], "left")
+            known = known + F.coalesce(f"__n{i}", F.lit(0))
+        return run.where(known < self.min_docs).select("h1", "h2", "n_docs")
+
+    def add(self, keys: DataFrame) -> None:
+        """Add a batch of (doc_id, h1, h2), distinct, of documents in no earlier batch; compact full levels."""
+        run, level, merged = self.fresh(keys), 0, []
         while True:
-            run = keep(run.sortWithinPartitions("h1", "h2"), f"line-run-{level}")
-            release(*merged)
+            run = self._stored(run, f"line-run-{level}")
+            self.drop(*merged)
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(run)
@@ -107,21 +126,18 @@ def frequent_keys(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int | None
     """The documents' keys, and those in at least ``min_docs`` documents, by adding batches to runs.
 
     Equal ``doc_id`` are one document, so they go to one batch: by the id's hash.  Without ``batches`` their number
-    follows the estimated size of ``docs``; it changes cost, never results.
+    follows how many keys there are; it changes cost, never results.
     """
-    spark = docs.sparkSession
+    found = batch_keys(docs.select("doc_id", "text")).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int"))
+    keys = keep(found.hint("rebalance", "slice"), "line-keys", ("slice",))
     if batches is None:
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        batches = min(max(LEAST_BATCHES, math.ceil(size / BATCH_BYTES)), MOST_BATCHES)
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    found = batch_keys(docs.select("doc_id", "text")).withColumn("batch", batch)
-    keys = keep(found.hint("rebalance", "batch"), "line-keys", ("batch",))
-    runs = LineRuns(spark, min_docs)
+        batches = min(SLICES, max(1, -(-keys.count() // BATCH_KEYS)))
+    runs = LineRuns(docs.sparkSession, min_docs)
     for b in range(batches):
-        runs.add(keys.where(F.col("batch") == b).drop("batch"))
+        runs.add(keys.where((F.col("slice") >= b * SLICES // batches) & (F.col("slice") < (b + 1) * SLICES // batches)).drop("slice"))
     frequent = runs.frequent()
-    release(*runs.runs())
-    return keys.drop("batch"), frequent
+    runs.drop(*runs.runs())
+    return keys.drop("slice"), frequent
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
