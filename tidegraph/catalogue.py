@@ -16,7 +16,8 @@ from .operators.discretise import discretise
 from .plans import library
 from .plans.protocol import BatchFrame
 from .sources.readers import token_transfers
-from .workspace import keep, new_path
+from .streaming import memory
+from .workspace import configured, keep, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -731,6 +732,32 @@ def walk_projection(spark, sf_dir):
     return kernels.projected_walks(edges_of(spark, sf_dir), 2, _DIMS).select("layer", "node", "col", (F.round("val", 5) + 0).alias("val"))
 
 
+# -- streams -----------------------------------------------------------------------------------------
+
+#: Updates that a replayed log is cut into, and the files of each.
+UPDATES, FILES = 6, 4
+
+
+@query(on_activity(f""", u AS (SELECT *, event_idx * {UPDATES} // (SELECT count(*) FROM log) AS update FROM edges)
+SELECT a.event_idx AS query, a.src, a.dst, max(b.t) AS last_t, (count(b.t) > 0)::INT::DOUBLE AS score FROM u a LEFT JOIN u b ON a.src = b.src AND a.dst = b.dst AND b.update < a.update GROUP BY 1, 2, 3"""))
+def streamed_edgebank(spark, sf_dir):
+    """The log replayed as a stream of updates, each of which asks for its own edges before they are entered."""
+    events = activity(spark, sf_dir).events
+    log = keep(events.where("kind = 0").select("event_idx", "t", "src", "dst"), "replayed")
+    size, path, out, at = events.count(), new_path(spark, "updates"), new_path(spark, "scores"), new_path(spark, "stream-state")
+    rows = log.withColumn("query", F.explode(F.array(F.lit(None).cast("long"), F.col("event_idx")))).select("src", "dst", "t", "query", F.expr(f"event_idx * {UPDATES} div {size}").alias("update"))
+    for i in range(UPDATES):  # one after the other: a stream takes files in the order in which they came
+        rows.where(F.col("update") == i).drop("update").repartition(FILES).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("src long, dst long, t long, query long").option("maxFilesPerTrigger", FILES).parquet(path)
+    with configured(spark, memory.SETTINGS):
+        running = memory.edgebank(stream, late="1 second").writeStream.format("parquet").option("checkpointLocation", at).outputMode("append").start(out)
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+    return spark.read.schema(memory.SCORES).parquet(out)
+
+
 # -- sources -----------------------------------------------------------------------------------------
 
 

@@ -47,8 +47,8 @@ def numbered(rows: DataFrame, keys: list[str], step: str, order: list[str], alia
 
 
 def count_before(rows: DataFrame, asked: DataFrame, keys: list[str], step: str, alias: str, bits: int = SPAN_BITS) -> DataFrame:
-    """``keys, step`` (each once) of ``asked`` with ``alias``: how many of ``rows`` have the same keys and a smaller step."""
-    there = rows.groupBy(*keys, step).agg(F.count("*").alias("__n"))
+    """``keys, step`` (each once) of ``asked`` with ``alias``: how many of ``rows``, or as many as their ``__n`` says, have the same keys and a smaller step."""
+    there = rows if "__n" in rows.columns else rows.groupBy(*keys, step).agg(F.count("*").alias("__n"))
     wanted = asked.select(*keys, step).distinct().withColumn("__asks", F.lit(1))
     steps = at_steps([there, wanted], [*keys, step], {"__n": "sum", "__asks": "max"})
     return sum_before(steps, keys, step, "__n", alias, bits).where("__asks = 1").select(*keys, step, alias)

@@ -116,8 +116,8 @@ def node_runs(events: DataFrame, tracked: DataFrame, past: NodePast | None = Non
     that degree and new neighbours are those of the first batch and zero afterwards.  Runs of the past begin at -1.
     """
     spine = node_spine(events, past) if spine is None else spine
-    rows = scan(_present(events, tracked, spine, past), ["nid"], "place", {"appearances": ("sum", "fresh"), "first_seen": ("min", "first")}, inclusive=True)
-    rows = scan(rows, ["nid"], "place", {"until": ("last", "place")}, backward=True)
+    folds = {"appearances": ("sum", "fresh"), "first_seen": ("min", "first"), "until": ("next", "place")}
+    rows = scan(_present(events, tracked, spine, past), ["nid"], "place", folds, inclusive=True)
     rows = rows.join(node_degrees(events, tracked), ["batch_id", "nid"], "left").join(new_neighbors(events, tracked, None if past is None else past.edges), ["batch_id", "nid"], "left")
     return rows.select("nid", "place", "until", "appearances", "first_seen", F.col("last").alias("last_seen"), F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("new_neighbors", F.lit(0)).alias("new_neighbors"))
 
@@ -131,7 +131,7 @@ def node_analytics(events: DataFrame, tracked: DataFrame, past: NodePast | None
 
     The runs of ``node_runs`` are expanded to the batches they cover, which are joined by number.
     """
-    spine = node_spine(events, past)
+    spine = keep(node_spine(events, past), "spine")  # a row a batch, read three times
     size = F.broadcast(spine.agg(F.count("*").alias("size")).withColumn("one", F.lit(1)))  # one row
     runs = node_runs(events, tracked, past, spine).join(size, F.lit(1) == F.col("one"))
     begin, end = F.greatest("place", F.lit(0)), F.coalesce("until", "size")
@@ -214,7 +214,7 @@ def snapshot_metrics(events: DataFrame) -> DataFrame:
 
 def trend_labels(metrics: DataFrame, metric: str = "n_edges") -> DataFrame:
     """``batch_id, label``: whether the metric grows from this snapshot to the next; the last has no label.  A row a snapshot."""
-    after = scan(metrics, [], "batch_id", {"__after": ("last", metric)}, backward=True)
+    after = scan(metrics, [], "batch_id", {"__after": ("next", metric)})
     return after.withColumn("label", (F.col("__after") > F.col(metric)).cast("int")).where("label IS NOT NULL").select("batch_id", "label")
 
 

@@ -15,6 +15,7 @@ from ..errors import EmptyBatchError, EventOrderedConversionError, InvalidDiscre
 from ..frame import EventLog
 from ..functions.ranking import global_rank
 from ..timedelta import TimeDelta
+from ..workspace import keep, release
 
 
 @dataclass(frozen=True)
@@ -33,13 +34,18 @@ class Batches:
         return self.events.sparkSession.range(self.count).withColumnRenamed("id", "batch_id")
 
     def __iter__(self) -> Iterator[DataFrame]:
-        """A DataFrame for each batch: a filter on ``batch_id``, run when it is consumed."""
-        filled = {r["batch_id"] for r in self.events.select("batch_id").distinct().toLocalIterator()}
+        """A DataFrame for each batch, to be read before the iteration ends.
+
+        The events are written once in the order of batches, so each batch is a filter that skips all files and row groups but its own.
+        """
+        stored = keep(self.events.repartitionByRange("batch_id").sortWithinPartitions("batch_id", "event_idx"), "batches")
+        filled = {r["batch_id"] for r in stored.select("batch_id").distinct().toLocalIterator()}
         for b in range(self.count):
             if b not in filled and self.on_empty == "raise":
                 raise EmptyBatchError(f"batch {b} has no event")
             if b in filled or self.on_empty is None:
-                yield self.events.where(F.col("batch_id") == b)
+                yield stored.where(F.col("batch_id") == b)
+        release(stored)
 
 
 def batched(log: EventLog, size: int = 1, unit: str = "r", on_empty: str | None = "skip", drop_last: bool = False, strict: bool = False) -> Batches:

@@ -177,8 +177,7 @@ class AsOf:
     def __init__(self, added: DataFrame):
         top = added.agg(F.max("batch_id")).first()[0]  # one number
         self.levels = max(1, int(top or 0).bit_length() + 1)
-        rows = scan(added.select("batch_id", "u", "v", "w"), ["u", "v"], "batch_id", {"a": ("sum", "w")}, inclusive=True)
-        rows = scan(rows, ["u", "v"], "batch_id", {"until": ("last", "batch_id")}, backward=True)
+        rows = scan(added.select("batch_id", "u", "v", "w"), ["u", "v"], "batch_id", {"a": ("sum", "w"), "until": ("next", "batch_id")}, inclusive=True)
         # seen by the batches after batch_id, up to the one that adds again
         ends = F.coalesce(F.col("until") + 1, F.lit(1 << self.levels))
         pieces = self._pieces(F.col("batch_id") + 1, ends)
@@ -208,19 +207,25 @@ class AsOf:
 def _meetings(pairs: DataFrame, near: DataFrame, far: DataFrame | None, at: list[str]) -> DataFrame:
     """``at, pair_id, i, j, nbr, i1, j1, i2, j2``: a row for each node that one or two steps of i or j lead to, with the weights of these steps.
 
-    ``near, far``: ``at, u, v, a``, rows of the adjacency for the nodes of pairs and of their neighbours.  Steps and paths of both ends are
-    added up at once.
+    ``near, far``: ``at, u, v, a``, rows of the adjacency for the nodes of pairs and of their neighbours, these with ``_or_stay``.  Steps and
+    paths of both ends are added up at once.
     """
     ends = pairs.select("pair_id", *at, "i", "j", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("u")), F.struct(F.lit(1).alias("side"), F.col("j").alias("u")))).alias("e")).select("pair_id", *at, "i", "j", "e.*")
-    one = ends.join(near, [*at, "u"]).select(*at, "pair_id", "i", "j", "side", F.col("v").alias("nbr"), F.col("a").alias("w"), F.lit(1).alias("steps"))
-    rows = one
+    rows = ends.join(near, [*at, "u"]).select(*at, "pair_id", "i", "j", "side", F.col("v").alias("u"), F.col("a").alias("w"))
+    stays = F.lit(True)
     if far is not None:
-        outside = (F.col("nbr") != F.col("i")) & (F.col("nbr") != F.col("j"))
-        two = one.where(outside).withColumnRenamed("nbr", "u").join(far, [*at, "u"])
-        two = two.select(*at, "pair_id", "i", "j", "side", F.col("v").alias("nbr"), (F.col("w") * F.col("a")).alias("w"), F.lit(2).alias("steps")).where(outside)
-        rows = one.unionByName(two)
-    sums = (F.sum(F.when((F.col("side") == side) & (F.col("steps") == steps), F.col("w"))).alias(f"{name}{steps}") for side, name in ((0, "i"), (1, "j")) for steps in (1, 2))
-    return rows.groupBy(*at, "pair_id", "i", "j", "nbr").agg(*sums)
+        outside = lambda c: (F.col(c) != F.col("i")) & (F.col(c) != F.col("j"))
+        stays = F.col("v").isNull()
+        rows = rows.join(far, [*at, "u"]).where(stays | outside("u") & outside("v"))
+        rows = rows.withColumn("w", F.when(stays, F.col("w")).otherwise(F.col("w") * F.col("a"))).withColumn("u", F.coalesce("v", "u"))
+    steps = F.when(stays, 1).otherwise(2)
+    sums = (F.sum(F.when((F.col("side") == side) & (steps == n), F.col("w"))).alias(f"{name}{n}") for side, name in ((0, "i"), (1, "j")) for n in (1, 2))
+    return rows.groupBy(*at, "pair_id", "i", "j", F.col("u").alias("nbr")).agg(*sums)
+
+
+def _or_stay(rows: DataFrame, at: list[str]) -> DataFrame:
+    """Rows of an adjacency, and of each node one more, without ``v``: that there is no second step."""
+    return rows.unionByName(rows.select(*at, "u").distinct(), allowMissingColumns=True)
 
 
 def _orders(k: int) -> Column:
@@ -257,7 +262,7 @@ def _all_meetings(pairs: DataFrame, edges: DataFrame, k: int, before: bool, part
         raise ValueError(f"k is 2, 4 or 8, not {k}")
     if not before:
         adj = adjacency(edges)
-        return _meetings(pairs, adj, adj if k == 8 else None, [])
+        return _meetings(pairs, adj, _or_stay(keep(adj, "adjacency"), []) if k == 8 else None, [])
     by_batch = lambda rows: rows if parts is None else rows.repartition(parts, "batch_id")
     matrix = AsOf(both_directions(edges))
     matrix.entries = keep(matrix.entries, "as-of") if k == 8 else matrix.entries
@@ -265,7 +270,7 @@ def _all_meetings(pairs: DataFrame, edges: DataFrame, k: int, before: bool, part
     if k < 8:
         return _meetings(by_batch(pairs), by_batch(near), None, ["batch_id"])
     near = keep(near, "near")  # a node is looked up once for all pairs of a batch that lead to it
-    far = keep(matrix.rows(near.select("batch_id", F.col("v").alias("u"))), "far")
+    far = keep(_or_stay(keep(matrix.rows(near.select("batch_id", F.col("v").alias("u"))), "second"), ["batch_id"]), "far")
     return _meetings(by_batch(pairs), by_batch(near), by_batch(far), ["batch_id"])
 
 

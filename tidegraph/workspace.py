@@ -17,8 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Switch off, for the session, that a union counts as partitioned as its tables are.
+
+    Spark 4.1 takes a union for partitioned even where adaptive execution, or a bucketed table that is read otherwise, has changed one of its
+    tables, and does not deal it out anew: groups then come out twice.  All queries of this library go through here.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder for scratch tables; raises on a cluster that names none."""
+    plain_unions(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
