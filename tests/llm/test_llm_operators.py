@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -135,8 +136,8 @@ def test_a_batch_leaves_out_what_the_runs_together_know_to_be_frequent(spark):
     assert sorted(tuple(r) for r in runs.frequent().collect()) == [(7, 7), (8, 1)]
 
 
-def test_no_run_is_shuffled(spark):
-    """Joins of a batch with runs, and merges of runs, shuffle the batch alone."""
+def test_no_run_is_shuffled_for_a_batch(spark):
+    """Joins of a batch with runs shuffle the batch alone; merges of runs shuffle them once."""
     runs = lines.LineRuns(spark, min_docs=2, fanout=9)
     keys = spark.createDataFrame([(i, i % 50, i % 7) for i in range(400)], "doc_id long, h1 long, h2 long")
     for _ in range(3):
@@ -146,7 +147,10 @@ def test_no_run_is_shuffled(spark):
         frame.collect()
         return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
 
-    assert exchanges(runs.fresh(keys)) == 1 and exchanges(runs._merged(runs.runs())) == 0
+    assert exchanges(runs.fresh(keys)) == 1 and exchanges(runs._merged(runs.runs())) == 1
+    # met twice, a key is known and counted no more; merged, each comes out once
+    assert {(r["h1"], r["h2"], r["n_docs"]) for r in runs._merged(runs.runs()).collect()} == {(i % 50, i % 7, 2) for i in range(400)}
+    assert runs._merged(runs.runs()).count() == 350
 
 
 def test_batches_follow_the_number_of_keys(small, monkeypatch):
@@ -438,6 +442,23 @@ def test_sharding(docs):
     assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in rows)
 
 
+def test_hilbert_cells_are_those_of_quantiles(docs):
+    """Cells by whole sorts of each dimension; shards, law and curve from them."""
+    rows = [(r["doc_id"], r["text"] or "", r["lang"], r["source"]) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    n, least = len(rows), lambda v: (v is not None, v if v is not None else "")
+    cells = []
+    for values in ([least(r[2]) for r in rows], [least(r[3]) for r in rows], [(True, len(r[1].encode()) + 1) for r in rows]):
+        order = sorted(values)
+        cuts = [order[max(1, -(-n * k // 16)) - 1] for k in range(1, 16)] if n else []
+        cells.append([sum(c < v for c in cuts) for v in values])
+    expected = sorted((str(r[0]), len(r[1].encode()) + 1, sharding.hilbert_index(c, 4)) for r, c in zip(rows, zip(*cells, strict=True), strict=True))
+    got = sharding.shard_report(docs).collect()
+    assert sorted((str(r["doc_id"]), r["size"], r["hilbert"]) for r in got) == expected
+    assert all((r["law"], r["grown_shard"]) == ("rows", None) for r in got)
+    place = {s: sum(1 for r in got if r["shard"] < s) for s in range(8)}
+    assert [x for _, x in sorted((place[r["shard"]] + r["slot"], r["hilbert"]) for r in got)] == sorted(h for _, _, h in expected)
+
+
 def test_sources_with_one_long_prefix_are_told_apart(spark):
     from pyspark.sql import functions as F
 
@@ -592,6 +613,36 @@ def test_language(docs):
             assert r["lang_pred"] == "und"
 
 
+def test_language_is_that_of_brute_force(small):
+    """Kernels by sets of byte strings; the regression solved over the landmarks, without their features."""
+    rows = sorted({(r["lang"], str(r["doc_id"]), r["text"]) for r in small.collect() if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2})
+
+    def grams(text):
+        b = " ".join(["", *text.lower().split(), ""]).encode()
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    sets, classes = [grams(t) for _, _, t in rows], sorted({r[0] for r in rows})
+    assert len(rows) < language.SAMPLE and max(Counter(r[0] for r in rows).values()) <= language.PER_CLASS
+    turns = [[i for i, r in enumerate(rows) if r[0] == c] for c in classes]
+    chosen = [t[k] for k in range(max(map(len, turns))) for t in turns if k < len(t)][: language.LANDMARKS]
+    kernel = lambda x: [len(x & sets[j]) / (len(x) * len(sets[j])) ** 0.5 for j in chosen]
+    a = np.array([kernel(x) for x in sets])
+    y = np.array([[1.0 if r[0] == c else -1.0 for c in classes] for r in rows])
+    counts = Counter(r[0] for r in rows)
+    w = np.array([len(rows) / (len(classes) * counts[r[0]]) for r in rows])[:, None]
+    bias, centre = (w * y).sum(axis=0) / w.sum(), a.mean(axis=0)
+    c = a - centre
+    alpha = np.linalg.lstsq(c.T @ (w * c) + language.RIDGE * len(rows) * a[chosen], c.T @ (w * (y - bias)), rcond=1e-12)[0]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.language_report(small).collect()}
+    for r in small.collect():
+        text = r["text"] or ""
+        if not any(map(str.isalpha, text)):
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        f = (np.array(kernel(grams(text))) - centre) @ alpha + bias
+        assert got[r["doc_id"]][0] == classes[int(f.argmax())] and abs(got[r["doc_id"]][1] - min(1, max(0, (f.max() + 1) / 2))) < 1e-3
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.language_report(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()

@@ -4,7 +4,8 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from test_llm_operators import WHITE, check_packing, components_of, library, spans_of  # noqa: F401
+import pytest
+from test_llm_operators import SCHEMA, WHITE, check_packing, components_of, library, odd_rows, spans_of  # noqa: F401
 
 DOCS = "/root/testdata/sf0.001"
 
@@ -56,6 +57,36 @@ def test_stages(spark, tmp_path, library):  # noqa: F811
         docs = out
 
 
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_stages_of_odd_rows(spark, tmp_path, library, kind):  # noqa: F811
+    """Nulls in any column, empty and long texts, repeated rows, further columns with names that operators use; and no row."""
+    long_text = " ".join(f"word{i % 997} and{i}" for i in range(40_000))
+    prose = " ".join(f"sentence{i} of words" for i in range(30))
+    rows = odd_rows() + [(70, long_text, None, None, None, None, None, None, None), (71, prose, "en", "s", 1, "n", "k", "r", 1), (72, prose + " more", "en", "s", 1, "n", "k", "r", 1), (None, prose, None, None, None, None, None, None, None)]
+    rows += [(73, prose + "\npassword = abcdefghijklmnop", "en", "s", 1, "n", "k", "r", 1)] * 2
+    docs = spark.createDataFrame(rows if kind == "odd" else [], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        out = stage(spark, docs, DOCS)
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if name == "best_fit_packing":
+            check_packing(out.collect(), docs, library)
+            break
+        assert out.columns == SCHEMA.names
+        after = out.collect()
+        texts = lambda of: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in of)
+        if name == "quality_rules":
+            assert texts(after) == texts([r for r in before if passes(r["text"] or "")])
+        elif name == "near_dedup":
+            kept = {i for i, _, _, kept in components_of([(r["doc_id"], r["text"] or "") for r in before if r["doc_id"] is not None]) if kept}
+            assert texts(after) == texts([r for r in before if r["doc_id"] is None or r["doc_id"] in kept])
+        else:
+            assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in after) == sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in before)
+            assert Counter(r["text"] is None for r in after) == Counter(r["text"] is None for r in before)
+        docs = out
+
+
 def test_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, DOCS).count() > 0

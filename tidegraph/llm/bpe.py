@@ -338,7 +338,10 @@ def _strings(path: str) -> _Strings:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids array<int>, n_tokens``: the ids of each whole text (null: empty, so no ids)."""
+    """``doc_id, ids array<int>, n_tokens``: the ids of each whole text (null: empty, so no ids).
+
+    Repeated rows give repeated rows; further columns are not read; an empty table gives an empty result.
+    """
 
     def work(_, texts):
         v = vocabulary(path)
@@ -349,7 +352,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds ``decoded`` to rows with ``ids`` (null ids: null)."""
+    """Adds ``decoded`` to rows with ``ids`` (null ids: null); other columns stay, an empty table stays empty."""
     from pyspark.sql import functions as F
 
     @F.pandas_udf(T.StringType())

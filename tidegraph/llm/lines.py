@@ -70,10 +70,10 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS {run._name}")
         release(*runs)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        """Counts of all runs: a union of tables with the same buckets keeps them, so nothing is shuffled."""
-        return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """Counts of all runs, which are dealt to buckets together."""
+        together = reduce(DataFrame.unionByName, runs).repartition(self.buckets, "h1", "h2")
+        return together.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
 
     def fresh(self, keys: DataFrame) -> DataFrame:
         """``h1, h2, n_docs`` of a batch of (doc_id, h1, h2), without the keys that the runs together know to be frequent."""

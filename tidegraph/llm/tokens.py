@@ -259,7 +259,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     ``cut_at``: where a text over ``limit`` is to be cut to fit (code points of its normal form, all of
     them if that fits; null if the text fits).  Null and empty texts have 0
-    bytes and 0 tokens.  Repeated rows give repeated rows; further columns are not read.
+    bytes and 0 tokens.  Repeated rows give repeated rows; further columns are not read; an empty table gives an empty result.
     """
 
     def work(_, texts):
@@ -272,7 +272,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
 
 def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, counts array<int>``: counts[i] is the number of tokens of the first i code points of the normalised text."""
+    """``doc_id, counts array<int>``: counts[i] is the number of tokens of the first i code points of the normalised text.
+
+    A null text is empty, and has the one count 0.  Repeated rows give repeated rows; further columns are not read; an empty table gives an empty result.
+    """
 
     def work(_, texts):
         v = counter(path)
