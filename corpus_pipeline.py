@@ -1,4 +1,7 @@
-"""From raw documents to packed training sequences: the stages, and a run over all of them."""
+"""From raw documents to packed training sequences: the stages, and a run over all of them.
+
+All stages but the last give the columns they get, whatever they are called, and give an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +16,27 @@ PACKING_CACHE = 200_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality policy keeps."""
+    """Documents that the quality policy keeps.  A null or empty text has too few words and goes; repeated rows and rows without an id are judged each."""
     return quality.filter_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more documents share."""
+    """Documents without the lines that ten or more documents share.  Null texts stay null, empty ones empty; rows of one id are one document to the counts."""
     return lines.dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies.  Rows without an id or without words stay; rows of one id stay or go together."""
     return neardup.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets masked."""
+    """Documents with their secrets masked.  Null texts stay null; no row goes."""
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, packed into sequences of 2048 tokens."""
+    """Pieces of documents, packed into sequences of 2048 tokens.  A null or empty text is its end token alone; rows without an id have pieces too."""
     return packing.packing_report(docs, vocabulary_path(), cached=PACKING_CACHE)
 
 
