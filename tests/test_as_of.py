@@ -84,6 +84,35 @@ def test_common_neighbours(spark, k):
         assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
+@pytest.fixture
+def kept_rows(monkeypatch):
+    """Rows of each table that the kernels write."""
+    counts, keep = [], kernels.keep
+
+    def counted(df, label, *args):
+        kept = keep(df, label, *args)
+        counts.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(kernels, "keep", counted)
+    return counts
+
+
+def test_sums_write_no_rows_of_hubs_for_each_batch(spark, kept_rows, monkeypatch):
+    monkeypatch.setattr(kernels, "NODES", 20)  # several blocks of nodes, several spans
+    monkeypatch.setattr(kernels, "PAIRS", 7)
+    rows = [(b, b, 7 * b, b % 50, 1000 + b % 2) for b in range(150)]  # two hubs, each next to half of all others
+    frame = spark.createDataFrame(rows, "batch_id long, event_idx long, t long, src long, dst long")
+    pairs = [(b, b, b % 50, (b + 4) % 50) for b in range(150)]
+    found = kernels.common_neighbor_sums(spark.createDataFrame(pairs, "pair_id long, batch_id long, i long, j long"), frame, F.col("nbr") % 10)
+    expected, there = Counter(), set()
+    for (p, o, n), w in brute_common(rows, pairs, 8).items():
+        expected[p, o] += w * (n % 10)
+        there.add((p, o))
+    assert {(r["pair_id"], r["order"]): r["value"] for r in found.collect()} == {x: expected[x] for x in there}
+    assert sum(kept_rows) < 2 * len(rows) * 2 * 9  # entries times levels; the rows of the hubs before every batch are 150 times 25 and more
+
+
 def brute_walks(rows, layers, decay):
     end = max(r[2] for r in rows)
     state = [defaultdict(Counter) for _ in range(layers + 1)]
