@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tidegraph.functions import blocks
 from tidegraph.operators import kernels
 
 
@@ -113,6 +114,19 @@ def test_sums_write_no_rows_of_hubs_for_each_batch(spark, kept_rows, monkeypatch
     assert sum(kept_rows) < 2 * len(rows) * 2 * 9  # entries times levels; the rows of the hubs before every batch are 150 times 25 and more
 
 
+def test_common_neighbours_write_no_rows_of_hubs_for_each_batch(spark, kept_rows, monkeypatch):
+    monkeypatch.setattr(kernels, "NODES", 20)
+    monkeypatch.setattr(kernels, "PAIRS", 7)
+    rows = [(b, b, 7 * b, b % 50, 1000 + b % 2) for b in range(150)] + [(60 + b, 150 + b, 7 * b, b, b + b % 2) for b in range(50)]  # links among users, and loops
+    frame = spark.createDataFrame(rows, "batch_id long, event_idx long, t long, src long, dst long")
+    pairs = [(b, b, b % 50, (b + 3) % 50) for b in range(150)] + [(150, 140, 1000, 1001), (151, 140, 8, 1000), (152, 0, 1, 2), (153, 149, 900, 901)]
+    found = kernels.common_neighbors(spark.createDataFrame(pairs, "pair_id long, batch_id long, i long, j long"), frame, 8, before=True).collect()
+    expected = brute_common(rows, pairs, 8)
+    assert {(r["pair_id"], r["order"], r["nbr"]): r["weight"] for r in found} == expected and len(found) == len(expected)
+    assert {o for _, o, _ in expected} == {*blocks.ORDERS}
+    assert sum(kept_rows) < 2 * len(rows) * 2 * 9
+
+
 def brute_walks(rows, layers, decay):
     end = max(r[2] for r in rows)
     state = [defaultdict(Counter) for _ in range(layers + 1)]
