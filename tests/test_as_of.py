@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,39 @@ def test_walk_matrices_of_three_layers(spark):
             assert got[layer, node] == pytest.approx(dict(row)), (layer, node)
 
 
+def test_walks_of_the_last_layer_are_not_written(spark, kept_rows):
+    rows = [(b, b, 7 * b, b % 50, 1000 + b % 2) for b in range(150)]
+    frame = spark.createDataFrame(rows, "batch_id long, event_idx long, t long, src long, dst long")
+    state = brute_walks(rows, 2, 1e-3)
+    found = kernels.walk_matrices(frame, 2, 1e-3)
+    got = {(r["layer"], r["node"], r["col"]): r["val"] for r in found.collect()}
+    assert got == pytest.approx({(n, u, c): v for n in range(3) for u, row in enumerated(state[n]) for c, v in row.items()})
+    assert sum(kept_rows) == 2 * len(rows)  # the steps alone; versions of rows as of batches were more
+
+
+def enumerated(rows):
+    return [(u, row) for u, row in rows.items() if row]
+
+
+def test_walks_in_slices_and_with_states_are_the_sums_over_paths(monkeypatch):
+    rng = np.random.default_rng(5)
+    steps = [rng.integers(0, 40, 3000), rng.integers(0, 30, 3000), rng.integers(0, 4, 3000), rng.random(3000) + 0.1]
+    walks = [rng.integers(0, 40, 2500), rng.integers(1, 6, 2500), rng.integers(0, 25, 2500), rng.random(2500) + 0.1]
+    expected = np.zeros((30, 25))
+    for m in range(6):
+        s, w = steps[2] == m, walks[1] == m
+        earlier = walks[0][w][None, :] < steps[0][s][:, None]
+        np.add.at(expected, (np.repeat(steps[1][s], w.sum()), np.tile(walks[2][w], s.sum())), (steps[3][s][:, None] * walks[3][w] * earlier).ravel())
+    for state, cut, paths, run in ((1 << 23, 1 << 20, 1 << 20, 64), (90, 7, 50, 3), (90, 7, 50, 10**6)):
+        for name, value in (("STATE", state), ("SLICE", cut), ("PATHS", paths), ("RUN", run)):
+            monkeypatch.setattr(blocks, name, value)
+        got = np.zeros_like(expected)
+        for node, col, val in blocks.walked(steps, walks):
+            assert not got[node, col].any()
+            got[node, col] = val
+        np.testing.assert_allclose(got, expected)
+
+
 def test_projected_walks_are_the_matrices_times_signs(spark):
     rows, frame = edges_of(spark, 60)
     dims = 128
