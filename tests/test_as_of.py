@@ -3,8 +3,10 @@
 import math
 import random
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +130,47 @@ def test_common_neighbours_write_no_rows_of_hubs_for_each_batch(spark, kept_rows
     assert sum(kept_rows) < 2 * len(rows) * 2 * 9
 
 
+def test_blocks_get_the_edges_of_ends_and_no_rows_as_of_a_batch(spark, monkeypatch):
+    def count(write):
+        def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind, span = blocks.columns(batches, ["kind", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array([int((kind == 1).sum())]), pa.array([0], pa.int32()), pa.array([int(span[0])]), pa.array([0.0])], ["pair_id", "place", "nbr", "weight"])
+
+        return block
+
+    monkeypatch.setattr(blocks, "on_pairs", count)
+    monkeypatch.setattr(kernels, "NODES", 20)
+    monkeypatch.setattr(kernels, "PAIRS", 15)
+    rows = [(0, m, 0, m % 2, 1000 + m // 2) for m in range(80)] + [(b, 80 + b, b, 0, 1000) for b in range(1, 60)]  # 0 and 1 have 40 neighbours from the first batch on
+    frame = spark.createDataFrame(rows, "batch_id long, event_idx long, t long, src long, dst long")
+    pairs = spark.createDataFrame([(b, b, 0, 1) for b in range(60)], "pair_id long, batch_id long, i long, j long")
+    near = kernels.common_neighbors(pairs, frame, 8, before=True).toPandas()
+    spans, blocks_of = near["nbr"].nunique(), (near["nbr"] == near["nbr"][0]).sum()
+    assert spans > 1 and blocks_of == 3
+    # of every span the neighbours at its start, and the edges in it; rows as of its batches are 60 times 80, for each block
+    assert 0 < near["pair_id"].sum() <= blocks_of * (spans * 80 + 60)
+
+
+def test_products_of_a_block_are_bounded_and_repeats_add_up():
+    rng = np.random.default_rng(5)
+    users, items, n = 3000, 40, 9000
+    e = [rng.integers(0, 4, n), rng.integers(0, users, n), users + rng.integers(0, items, n), rng.integers(1, 3, n).astype(float)]  # batch, user, item, weight
+    pairs = [np.full(200, 3), rng.integers(0, users, 200), rng.integers(0, users, 200), np.arange(200)]
+    pairs[2] = np.where(pairs[1] == pairs[2], (pairs[2] + 1) % users, pairs[2])
+    flag, x = np.ones(n, np.int64), (e[1] % 10).astype(float)
+    near, edges = [*e, 1 - flag, 0 * x], [e[0], e[2], e[1], e[3], x]  # the block has all users and no item
+    adj = np.zeros((users, items))
+    np.add.at(adj, (e[1][e[0] < 3], e[2][e[0] < 3] - users), e[3][e[0] < 3])
+    met = 0
+    for ids, products, nodes, values in blocks.meetings(pairs, near, [c[e[0] < 3] for c in edges]):
+        assert all(p.size <= 1 << 18 for p in products)
+        i, j = pairs[1][ids], pairs[2][ids]
+        expected = (adj[i] @ adj[nodes].T) * (adj[j] @ adj[nodes].T) * (nodes != i[:, None]) * (nodes != j[:, None])
+        assert np.array_equal(products[5], expected) and not any(p.any() for p in products[:5]) and np.array_equal(values, nodes % 10)
+        met += len(ids)
+    assert met == 200
+
+
 def brute_walks(rows, layers, decay):
     end = max(r[2] for r in rows)
     state = [defaultdict(Counter) for _ in range(layers + 1)]
