@@ -1,6 +1,7 @@
 """Matrices as they were before a batch, walks and their projections, against brute force."""
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -211,6 +212,29 @@ def test_walks_of_the_last_layer_are_not_written(spark, kept_rows):
     assert sum(kept_rows) == 2 * len(rows)  # the steps alone; versions of rows as of batches were more
 
 
+def written_files(spark):
+    """Shuffle files of the session."""
+    return {f for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+
+
+def test_steps_are_sent_to_blocks_in_few_bytes(spark):
+    rng = random.Random(4)
+    rows = [(i // 200, i, 40 * i, rng.randrange(1000), 10_000 + rng.randrange(20)) for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "batch_id long, event_idx long, t long, src long, dst long")
+    earlier = written_files(spark)
+    spread = kernels.walk_matrices(frame, 2).where("layer > 0").groupBy("layer").agg(F.count("*").alias("n"), F.sum("val").alias("val"))
+    found = {r["layer"]: (r["n"], r["val"]) for r in spread.collect()}
+    assert sum(os.path.getsize(f) for f in written_files(spark) - earlier) < 100 * 2 * len(rows)  # as rows, sent to blocks of both ends, they took more
+    end = rows[-1][2]
+    steps = defaultdict(lambda: np.zeros((100, 2)))  # of a node, of each batch: weights in all, which are those out of it and those into it
+    for b, _, t, s, d in rows:
+        for u in (s, d):
+            steps[u][b] += math.exp(-1e-6 * (end - t))
+    paths = sum((w[1:, 0] * np.cumsum(w[:-1, 1])).sum() for w in steps.values())  # over every middle: steps in, times earlier steps out
+    assert found[1] == pytest.approx((len({(s, d) for *_, s, d in rows}) * 2, 2 * sum(math.exp(-1e-6 * (end - r[2])) for r in rows)))
+    assert found[2][1] == pytest.approx(paths)
+
+
 def enumerated(rows):
     return [(u, row) for u, row in rows.items() if row]
 
