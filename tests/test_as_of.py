@@ -235,6 +235,62 @@ def test_steps_are_sent_to_blocks_in_few_bytes(spark):
     assert found[2][1] == pytest.approx(paths)
 
 
+def test_edges_are_sent_to_blocks_of_sums_in_few_bytes(spark):
+    rng = random.Random(6)
+    rows = [(i // 200, i, 40 * i, rng.randrange(1000), 10_000 + rng.randrange(20)) for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "batch_id long, event_idx long, t long, src long, dst long")
+    pairs = frame.select(F.col("event_idx").alias("pair_id"), "batch_id", F.col("src").alias("i"), F.col("dst").alias("j"))
+    earlier = written_files(spark)
+    assert kernels.common_neighbor_sums(pairs, frame, F.col("nbr") % 10).agg(F.count("*")).first()[0] > len(rows)
+    assert sum(os.path.getsize(f) for f in written_files(spark) - earlier) < 200 * len(rows)
+
+
+@pytest.mark.parametrize("of", [1, 3])
+def test_sums_by_middles_by_nodes_and_by_blocks_are_those_of_brute_force(monkeypatch, of):
+    rng = random.Random(8)
+    rows = [(i // 5, i, 0, rng.randrange(30), 25 + rng.randrange(9)) for i in range(400)]  # some nodes on both sides
+    rows += [(k, 0, 0, 28, k) for k in range(30)] + [(3, 0, 0, 7, 7), (9, 0, 0, 7, 2), (40, 0, 0, 7, 2)] * 2  # a hub, loops, links, repeats
+    pairs = [(900 + k, rng.randrange(20, 90), rng.randrange(34), rng.randrange(34)) for k in range(150)]
+    pairs = [p for p in pairs if p[2] != p[3]] + [(1, 30, 500, 7), (2, 30, 7, 500), (3, 30, 500, 501), (4, 20, 28, 7)]
+    ids, batch, i, j = (np.array(x) for x in zip(*pairs, strict=True))
+    b, _, _, src, dst = (np.array(x) for x in zip(*rows, strict=True))
+
+    def sums(value, state, middles):
+        monkeypatch.setattr(blocks, "STATE", state)
+        monkeypatch.setattr(blocks, "MIDDLES", middles)
+        out = Counter()
+        for block in range(of):
+            held = blocks.Held(b, [src, dst], [value(src), value(dst)], int(batch.min()), int(batch.max()), block, of)
+            for x in blocks.meeting_sums([batch, i, j, ids], held):
+                for p, o, v in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                    out[p, blocks.ORDERS[o]] += v
+        return dict(out)
+
+    taken = Counter()
+    for name in ("_by_middles", "_by_nodes", "_by_blocks"):
+        monkeypatch.setattr(blocks, name, lambda p, *args, name=name, f=getattr(blocks, name): taken.update({name: len(p[0])}) or f(p, *args))
+    brute = brute_common(rows, pairs, 8)
+    for value in (lambda n: n % 10, lambda n: n % 10 - 4, lambda n: n / 7):
+        expected = Counter()
+        for (p, o, n), w in brute.items():
+            expected[p, o] += w * float(value(n))
+        for state, middles, ways in ((1 << 23, 512, {"_by_middles"}), (1 << 23, 15, {"_by_middles", "_by_blocks"}), (1, 15, {"_by_middles", "_by_nodes"}), (1, 0, {"_by_middles", "_by_nodes"}), (1 << 23, 0, {"_by_middles", "_by_blocks"})):  # ends without edges have few middles, none
+            taken.clear()
+            assert sums(value, state, middles) == pytest.approx(dict(expected)), (state, middles)
+            if value(1) == int(value(1)):
+                assert ways == {x for x, n in taken.items() if n}
+
+
+def test_sums_too_large_for_whole_doubles_are_not_taken_off(monkeypatch):
+    n = 40
+    src, dst = np.repeat(np.arange(n), 2), np.tile([1000, 1001], n)
+    held = blocks.Held(np.zeros(2 * n, np.int64), [src, dst], [src * 10.0**15, dst * 10.0**15], 1, 1, 0, 1)
+    pairs = [np.array([1]), np.array([0]), np.array([1]), np.array([5])]
+    assert blocks._by_middles(pairs, held, blocks._few_middles(pairs, held)[1]) is None
+    (found,) = blocks.meeting_sums(pairs, held)
+    assert dict(zip(found["place"].to_pylist(), found["value"].to_pylist(), strict=True)) == pytest.approx({0: 2001e15, 5: sum(4 * k for k in range(2, n)) * 1e15})
+
+
 def enumerated(rows):
     return [(u, row) for u, row in rows.items() if row]
 
