@@ -245,6 +245,18 @@ def test_edges_are_sent_to_blocks_of_sums_in_few_bytes(spark):
     assert sum(os.path.getsize(f) for f in written_files(spark) - earlier) < 200 * len(rows)
 
 
+def test_edges_are_sent_to_blocks_of_rows_in_few_bytes(spark):
+    rng = random.Random(7)
+    rows = [(i // 20, i, 40 * i, rng.randrange(300), 10_000 + rng.randrange(20)) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "batch_id long, event_idx long, t long, src long, dst long")
+    pairs = frame.select(F.col("event_idx").alias("pair_id"), "batch_id", F.col("src").alias("i"), F.col("dst").alias("j"))
+    earlier = written_files(spark)
+    found = kernels.common_neighbors(pairs, frame, 8, before=True).agg(F.count("*"), F.sum("weight")).first()
+    expected = brute_common(rows, [(i, b, s, d) for b, i, _, s, d in rows], 8)
+    assert tuple(found) == (len(expected), sum(expected.values()))
+    assert sum(os.path.getsize(f) for f in written_files(spark) - earlier) < 150 * len(rows)
+
+
 @pytest.mark.parametrize("of", [1, 3])
 def test_sums_by_middles_by_nodes_and_by_blocks_are_those_of_brute_force(monkeypatch, of):
     rng = random.Random(8)
